@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack
+from .token_store import read_documents, write_store
 
 
 def _path(name: str) -> str:
@@ -21,5 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), end_id=0).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing,)}
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, index = write_store(table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"), end_id=2, spaces_matter=False)
+    return read_documents(blocks, index)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store)}
 SQL: dict[str, str] = {}
