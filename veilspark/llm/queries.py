@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .packing import pack
 from .token_store import read_documents, write_store
 
+from .topk import top_k
+
 
 def _path(name: str) -> str:
     import public_tokenizers
@@ -27,5 +30,23 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(blocks, index)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store)}
-SQL: dict[str, str] = {}
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k)}
+SQL: dict[str, str] = {
+    "op8_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5
+    """,
+}
