@@ -9,6 +9,9 @@ from .packing import pack
 from .token_store import read_documents, write_store
 
 from .topk import top_k
+from ._common import held_out
+from .quality import quality
+from .toxicity import toxicity
 
 
 def _path(name: str) -> str:
@@ -34,7 +37,21 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 4, 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), ~out, threshold=0.3)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 5, 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality(docs, table(spark, sf_dir, "labels"), ~out, threshold=0.3)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k, op5_toxicity, op10_quality)}
 SQL: dict[str, str] = {
     "op8_top_k": """
         WITH v AS (
