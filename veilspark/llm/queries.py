@@ -13,6 +13,8 @@ from ._common import held_out
 from .quality import quality
 from .toxicity import toxicity
 
+from . import language
+
 
 def _path(name: str) -> str:
     import public_tokenizers
@@ -51,7 +53,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k, op5_toxicity, op10_quality)}
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 3, 1)
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, docs.select("doc_id", "lang"), ~out)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k, op5_toxicity, op10_quality, op7_language)}
 SQL: dict[str, str] = {
     "op8_top_k": """
         WITH v AS (
