@@ -14,6 +14,8 @@ from .quality import quality
 from .toxicity import toxicity
 
 from . import language
+from .decontamination import decontaminate
+from .token_counts import token_counts
 
 
 def _path(name: str) -> str:
@@ -61,7 +63,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k, op5_toxicity, op10_quality, op7_language)}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k, op5_toxicity, op10_quality, op7_language, op3_token_counts, op2_decontamination)}
 SQL: dict[str, str] = {
     "op8_top_k": """
         WITH v AS (
