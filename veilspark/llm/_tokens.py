@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -12,13 +14,20 @@ import numpy as np
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than space and newline.
 _ODD = re.compile(r"[^\S \n]")
+#: Punctuation that ends most words; no apostrophe, which may begin a pre-token of letters.
+_MARKS = ".,!?;:$#%&*()-"
+#: The characters that byte-level vocabularies write for the 256 bytes (printable ones stand for themselves).
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_LEVEL = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 
 
 class Encoder:
     """ids(text) as uint16 or uint32 bytes. `spaces_matter`: False if the tokenizer drops white space.
 
     Pre-tokens never reach over a cut made here, so the ids of a text are those of its stretches put together.
-    At most `keep` stretches are remembered.
+    At most `keep` stretches and twice as many pre-tokens are remembered. A new stretch goes through the tokenizer's own
+    normaliser, pre-tokenizer and model. Most are one word and perhaps some marks in Latin letters, whose pre-tokens are
+    plain: these skip the first two, which take most of the time.
     """
 
     def __init__(self, path: str, spaces_matter: bool, keep: int = 500_000):
@@ -28,7 +37,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.spaces_matter, self.keep, self.known = spaces_matter, keep, {"": b""}
+        self.code = "H" if self.dtype is np.uint16 else "I"
+        self.normalizer, self.pre_tokenizer, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.spaces_matter, self.keep, self.known, self.pieces = spaces_matter, keep, {"": b""}, {}
 
     def _parts(self, text: str) -> list[str]:
         if not self.spaces_matter:
@@ -38,15 +49,40 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *(" " + p for p in rest)]
 
+    def _pre_tokens(self, part: str) -> list[str]:
+        word = part.rstrip(_MARKS)
+        letters = word[1:] if word[:1] == " " else word
+        if letters.isalpha() and max(letters) < "\u0100":
+            if not self.spaces_matter:
+                word = letters.lower()
+            word = word.replace(" ", "\u0120") if word.isascii() else "".join([_LEVEL[b] for b in word.encode()])
+            marks = part[len(part.rstrip(_MARKS)) :]
+            return [word, marks] if marks else [word]
+        if self.normalizer is not None:
+            part = self.normalizer.normalize_str(part)
+        return [piece for piece, _ in self.pre_tokenizer.pre_tokenize_str(part)]
+
+    def _fresh(self, part: str) -> bytes:
+        out = []
+        for piece in self._pre_tokens(part):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                if len(self.pieces) >= 2 * self.keep:
+                    self.pieces = {}
+                ids = self.pieces[piece] = array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
     def ids(self, texts: Iterable[str]) -> list[bytes]:
         split = [self._parts(t) for t in texts]
         new = {p for parts in split for p in parts if p not in self.known}
         if len(self.known) + len(new) > self.keep:
             self.known = {"": b""}
             new = {p for parts in split for p in parts if p}
-        fresh = list(new)
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.dtype).tobytes()
+        gc.disable()  # nothing made here is cyclic, and it is much
+        for p in new:
+            self.known[p] = self._fresh(p)
+        gc.enable()
         get = self.known.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
