@@ -16,6 +16,9 @@ from .toxicity import toxicity
 from . import language
 from .decontamination import decontaminate
 from .token_counts import token_counts
+from .substring_dedup import substring_dedup
+
+from .jaccard import jaccard_components
 
 
 def _path(name: str) -> str:
@@ -73,7 +76,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k, op5_toxicity, op10_quality, op7_language, op3_token_counts, op2_decontamination)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=90, k=3)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k, op5_toxicity, op10_quality, op7_language, op3_token_counts, op2_decontamination, op9_substring_dedup, op6_jaccard_join)}
 SQL: dict[str, str] = {
     "op8_top_k": """
         WITH v AS (
