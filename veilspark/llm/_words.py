@@ -91,7 +91,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool)
 
 def run_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """64 bits for each run of k words that begins at one of `at`, by a sum with fixed random terms; for small k."""
-    out = np.full(len(at), np.uint64(k) * _TERMS[63], np.uint64)
+    out = np.full(len(at), k * int(_TERMS[63]) & _M, np.uint64)
     for j in range(k):
         out += h[at + j] * _TERMS[j]
     return mix(out)

@@ -3,7 +3,8 @@
 1. Documents of equal shingle sets are one class; only classes are compared.
 2. Candidates. Two sets of n and m elements with a similarity of t or more differ in at most (n+m)(1-t)/(1+t) elements.
    By bands of size, sets are cut into one part more than that (by a hash of the shingle), so that similar sets agree in at
-   least one whole part: a part's hash is a signature, and sets that share one meet in a group. Groups of the same members
+   least one whole part: a part's hash is a signature, and sets that share one meet in a group. A count-min sketch of all
+   signatures tells most of those that no other document has; they are not sent. Groups of the same members
    are one group; a group of over `most_group` members is dealt to blocks, each pair of blocks to a task.
 3. In a group, bitmaps of the sets (a bit for the parity of the shingles that hash to it) never differ in more bits than
    the sets in elements, so they rule out most pairs and no similar one. What is left is a graph, of which a
@@ -33,6 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _sketch
 from ._common import dropped, saved, slices, text_bytes
 from ._words import NOT_SPACE, mix, run_hash, words
 from .components import components
@@ -127,16 +129,28 @@ def _bits(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
 def _described(docs: DataFrame, t: Threshold, k: int) -> DataFrame:
     """doc_key, n, s1 and s2 (hashes of the set), signatures and bitmap of each document."""
 
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_key"), "text")
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    expected = int(size / 6 * 4.4 * (100 - t.percent) / (100 + t.percent))  # only the sketch's size hangs on it
+
+    def keys(batches):
+        for b in slices(batches):
+            text, h = shingle_sets(*text_bytes(b.column("text")), k)
+            found = _signatures(t, text, h, np.bincount(text, minlength=b.num_rows))
+            yield np.concatenate(found).view(np.uint64)
+
+    shared = _sketch.sketch(named.select("text"), keys, expected)
+
     def run(batches):
+        filter_ = _sketch.opened(shared)
         for b in slices(batches):
             text, h = shingle_sets(*text_bytes(b.column("text")), k)
             n = np.bincount(text, minlength=b.num_rows)
             s1, s2 = (_added(text, mix(h ^ _SALTS[i]), b.num_rows).view(np.int64) for i in (0, 1))
-            signatures = _signatures(t, text, h, n)
+            signatures = [x[filter_.may(x.view(np.uint64))] for x in _signatures(t, text, h, n)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in signatures])]), pa.int32()), pa.array(np.concatenate(signatures)))
             yield pa.RecordBatch.from_arrays([b.column("doc_key"), pa.array(n), pa.array(s1), pa.array(s2), lists, pa.array(_bits(text, h, n), pa.binary())], names=["doc_key", "n", "s1", "s2", "signatures", "bits"])
 
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_key"), "text")
     return saved(named.mapInArrow(run, "doc_key long, n long, s1 long, s2 long, signatures array<long>, bits binary"), "described")
 
 
