@@ -9,7 +9,7 @@ from ..config import HIGH_RISK, RISK_HIGH, RISK_MEDIUM, RISK_NONE
 
 
 def _chars(v: Column) -> Column:
-    return F.split(v, "(?!^)")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda i: F.substring(v, i, F.lit(1)))
 
 
 def luhn_valid(v: Column) -> Column:

@@ -90,7 +90,7 @@ def sketch(docs: DataFrame, keys_of: Callable[[Iterator], Iterator[np.ndarray]],
 
     parts = docs.mapInArrow(counted, "block long, n long, small binary, large binary")
     merged = parts.groupBy("block").applyInPandas(merge, "block long, bits binary")
-    found = [(r["block"], bytes(r["bits"])) for r in merged.toLocalIterator(prefetchPartitions=True)]
+    found = [(r["block"], bytes(r["bits"])) for r in merged.collect()]
     return docs.sparkSession.sparkContext.broadcast((rows, blocks, found))
 
 

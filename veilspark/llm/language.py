@@ -65,11 +65,15 @@ def fit(sample: list[tuple[str, str]], buckets: int = 1 << 16, switch: float = 1
     names = sorted({v for _, v in sample})
     logs, allowed = np.zeros((buckets, max(1, len(names))), np.float32), np.zeros((len(SCRIPTS), max(1, len(names))), np.float32)
     for k, name in enumerate(names):
-        raw, offsets = text_bytes(pa.array([t for t, v in sample if v == name], pa.large_string()))
-        w = words(raw, offsets, ALNUM, True)
-        counts = np.bincount(features(raw, w, buckets).ravel(), minlength=buckets) + 0.5
+        texts = [t for t, v in sample if v == name]
+        counts, scripts = np.full(buckets, 0.5), np.zeros(len(SCRIPTS))
+        for begin in range(0, len(texts), 250):
+            raw, offsets = text_bytes(pa.array(texts[begin : begin + 250], pa.large_string()))
+            w = words(raw, offsets, ALNUM, True)
+            counts += np.bincount(features(raw, w, buckets).ravel(), minlength=buckets)
+            scripts += np.bincount(_SCRIPT[raw[w.start]], minlength=len(SCRIPTS))
         logs[:, k] = np.log(counts / counts.sum())
-        share = np.bincount(_SCRIPT[raw[w.start]], minlength=len(SCRIPTS)) / max(1, len(w.start))
+        share = scripts / max(1, scripts.sum())
         allowed[:, k] = np.where(share < 0.01, -1e4, 0)
     allowed[(allowed < 0).all(1)] = 0  # a script that no language is known for narrows nothing
     return Languages(names, logs - logs.max(1, keepdims=True), allowed, switch)

@@ -37,7 +37,7 @@ def _places(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> bytes:
     """Sorted by document: the documents, how many places each has, and the places."""
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
     counts = np.diff(np.append(new, len(doc))).astype(np.uint32)
-    return np.int64(len(new)).tobytes() + _packed(np.diff(doc[new], prepend=0), text[new], counts, start.astype(np.uint32))
+    return np.int64(len(new)).tobytes() + _packed(np.diff(doc[new].astype(np.int64), prepend=0), text[new].astype(np.int32), counts, start.astype(np.uint32))
 
 
 def _placed(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -61,33 +61,39 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 18, rounds: int = 200
     Only buckets that lie in more toxic documents than chance explains (by least_z standard errors) get a weight: the
     rest would only be learnt by heart.
     """
-    column = pa.array([t or "" for t, _ in sample], pa.large_string())
     y = np.array([float(v > 0) for _, v in sample])
     weights, bias = np.zeros(buckets, np.float32), start
     if not len(y) or y.min() == y.max():
         return Toxicity(weights, start if not len(y) or y.max() == 0 else -start)
-    raw, offsets = text_bytes(column)
-    w = words(raw, offsets, ALNUM, True)
-    f = features(raw, w, buckets)
-    first, at = sentences(raw, offsets, w)
-    of_sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
-    doc = np.repeat(np.arange(len(y)), np.diff(at))
-    pairs = np.unique(w.text_of() * np.int64(buckets) + f)
-    in_doc = np.bincount(pairs % buckets, minlength=buckets)
-    in_toxic = np.bincount(pairs[y[pairs // buckets] > 0] % buckets, minlength=buckets)
-    n, n1 = len(y), y.sum()
-    p = in_doc / n
+    parts, n_sentences, docs = [], 0, []
+    for begin in range(0, len(sample), 250):  # the arrays over bytes are several times the texts
+        raw, offsets = text_bytes(pa.array([t or "" for t, _ in sample[begin : begin + 250]], pa.large_string()))
+        w = words(raw, offsets, ALNUM, True)
+        first, at = sentences(raw, offsets, w)
+        of_sentence = n_sentences + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
+        parts.append((features(raw, w, buckets), of_sentence.astype(np.int32), (begin + w.text_of()).astype(np.int32)))
+        docs.append(begin + np.repeat(np.arange(len(at) - 1), np.diff(at)))
+        n_sentences += len(first)
+    f, of_sentence, of_doc = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
+    doc, n, n1 = np.concatenate(docs), len(y), y.sum()
+    in_doc, in_toxic = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    for row in f:
+        pairs = np.unique(of_doc * np.int64(buckets) + row)
+        in_doc += np.bincount(pairs % buckets, minlength=buckets)
+        in_toxic += np.bincount(pairs[y[pairs // buckets] > 0] % buckets, minlength=buckets)
+    p = np.minimum(in_doc / n, 1.0)
     z = (in_toxic / n1 - (in_doc - in_toxic) / (n - n1)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1)))
     chosen = np.flatnonzero(z >= least_z)
-    number = np.full(buckets, -1)
+    number = np.full(buckets, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     kind = number[f]
     has = kind >= 0
     sentence, kind = np.broadcast_to(of_sentence, f.shape)[has], kind[has]
+    del f, parts, has
     v = np.append(np.zeros(len(chosen)), start)
     m, s = np.zeros(len(v)), np.zeros(len(v))
     for step in range(1, rounds + 1):
-        logit = np.bincount(sentence, v[kind], len(first)) + v[-1]
+        logit = np.bincount(sentence, v[kind], n_sentences) + v[-1]
         a = np.bincount(doc, np.logaddexp(0, logit), n) + 1e-9
         slope = np.where(y > 0, -np.exp(-a) / -np.expm1(-a), 1.0) / n
         g = slope[doc] / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -128,7 +134,7 @@ def score(docs: DataFrame, model: Toxicity, sentence_threshold: float = 0.3) ->
     return docs.mapInArrow(run, schema + ", score double, offending array<struct<sentence:int,start:bigint,end:bigint,score:double>>")
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 8000, most_bytes: int = 16_384) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 5000, most_bytes: int = 16_384) -> Toxicity:
     """From labels.toxic of at most `sample` rows that `allowed` (over doc_id) lets in."""
     return fit(labelled_sample(docs, labels, "toxic", allowed, sample, most_bytes))
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import KNOWN_MIN, EngineConfig
 from ..functions import normalize
-from ..functions.patterns import alternation
+from ..functions.patterns import CODE_RULES, alternation
 from ..functions.scalars import contains_cjk, is_code, stripped
-from ..functions.spans import SPANS, detect_code, detect_text, dictionary_spans, merged, no_spans, span
+from ..functions.spans import SPANS, detect_rules, detect_text, dictionary_spans, merged, no_spans, span
 
 #: Named classifiers of text as code; add one to use it by name.
 CLASSIFIERS: dict[str, Callable[[Column], Column]] = {"heuristic": is_code}
@@ -56,8 +56,8 @@ def model_spans(text: Column, code: Column) -> Column:
 
 
 def detected(text: Column, code: Column, config: EngineConfig) -> Column:
-    rules = F.when(code, detect_code(text)).otherwise(detect_text(text))
-    return F.concat(rules, model_spans(text, code), *(d(text, code) for d in config.detectors))
+    """Code rules where the text is code, text rules, models and further detectors, in this order."""
+    return F.concat(F.when(code, detect_rules(text, CODE_RULES)).otherwise(no_spans()), detect_text(text), model_spans(text, code), *(d(text, code) for d in config.detectors))
 
 
 def dictionary_by_join(docs: DataFrame, values: DataFrame, key: list[str], per_label: bool) -> DataFrame:
@@ -104,22 +104,20 @@ def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame
     docs = classified(docs)
     text, code = F.col("text"), F.col("is_code")
     if config.normalise:
-        same = F.struct(text.alias("text"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.lit(True).alias("identity")).cast(normalize.NORMALISED)
         change = F.coalesce(normalize.may_change(text, code), F.lit(False)) if not config.whitespace else F.lit(True)
         # only texts that may change cross to Python; the rest stay in the JVM
-        plain = docs.where(~change).withColumn("__norm", same)
-        edited = docs.where(change).withColumn("__norm", normalize.normalised(text, code, config))
+        plain = docs.where(~change).withColumn("__found", F.coalesce(detected(text, code, config), no_spans()))
+        edited = docs.where(change).withColumn("__norm", normalize.normalised(text, code, config)).withColumn("__raw", detected(F.col("__norm.text"), code, config))
+        edited = edited.withColumn("__found", F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__raw")), no_spans())).drop("__norm", "__raw")
         docs = plain.unionByName(edited)
-        found = normalize.spans_to_original(F.col("__norm"), detected(F.col("__norm.text"), code, config))
     else:
-        found = detected(text, code, config)
-    docs = docs.withColumn("__found", F.coalesce(found, no_spans()))
+        docs = docs.withColumn("__found", F.coalesce(detected(text, code, config), no_spans()))
     docs = _dictionary(docs, known, config, True, "__known")
     docs = _dictionary(docs, sensitive if config.use_known_items else None, config, False, "__listed")
     docs = docs.withColumn("candidates", F.array_distinct(F.concat("__found", "__known", "__listed")))
     docs = without_safe(docs, safe)
     kept = merged(F.col("__unsafe"), F.coalesce(contains_cjk(text), F.lit(False)))
-    return docs.withColumn("spans", kept).drop("__norm", "__found", "__known", "__listed", "__unsafe")
+    return docs.withColumn("spans", kept).drop("__found", "__known", "__listed", "__unsafe")
 
 
 def without_safe(docs: DataFrame, safe: DataFrame | None) -> DataFrame:
