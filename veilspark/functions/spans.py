@@ -1,5 +1,8 @@
 """Spans: where rules match, which of overlapping ones stay, and texts rewritten at spans.
 
+Explode arrays of spans with the _outer forms and drop nulls after: Spark puts a filter on the array under a plain explode,
+which would run every rule again.
+
 A span is struct<start int, end int, label string, score double, source string>, half-open, in characters.
 """
 

@@ -46,7 +46,7 @@ def mask(found: DataFrame, tags: DataFrame | None = None) -> tuple[DataFrame, Da
     tags = empty_map(found.sparkSession) if tags is None else tags
     order = "doc_ord" if "doc_ord" in found.columns else "doc_id"
     rows = kept(found.withColumn("__row", F.monotonically_increasing_id()))
-    each = rows.select("__row", F.col(order).alias("o1"), "text", F.explode("spans").alias("m"))
+    each = rows.select("__row", F.col(order).alias("o1"), "text", F.explode_outer("spans").alias("m")).where("m is not null")
     each = each.select("__row", "o1", (-F.col("m.start")).alias("o2"), "m.start", "m.end", "m.label", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value"))
     full = kept(extended_map(each.select("o1", "o2", "label", "value"), tags))
     one = full.groupBy("value").agg(F.max_by("tag", "n").alias("tag"))

@@ -16,6 +16,7 @@ from ..functions import normalize
 from ..functions.patterns import CODE_RULES, alternation
 from ..functions.scalars import contains_cjk, is_code, stripped
 from ..functions.spans import SPANS, detect_rules, detect_text, dictionary_spans, merged, no_spans, span
+from ..session import kept, spread
 
 #: Named classifiers of text as code; add one to use it by name.
 CLASSIFIERS: dict[str, Callable[[Column], Column]] = {"heuristic": is_code}
@@ -23,6 +24,8 @@ CLASSIFIERS: dict[str, Callable[[Column], Column]] = {"heuristic": is_code}
 MODELS: dict[str, Callable[[Column], Column]] = {}
 # What the models' labels become or are dropped for.
 ZH_LABELS = {"name": "PERSON", "address": "ADDRESS", "company": "ORGANIZATION", "government": "ORGANIZATION", "organization": "ORGANIZATION", "position": "POSITION"}
+#: Characters between two cuts of a text, and the most distinct heads of a dictionary that are sent to all tasks.
+STRETCH, MOST_HEADS = 512, 100_000
 EN_GENERAL, EN_EXCLUDED, ZH_LEAST, ZH_CHUNK, ZH_OVERLAP = ("PERSON", "ORGANIZATION", "LOCATION"), ("US_DRIVER_LICENSE",), 0.7, 350, 50
 
 
@@ -65,14 +68,24 @@ def dictionary_by_join(docs: DataFrame, values: DataFrame, key: list[str], per_l
     three, the rest is compared in place; of what overlaps, the leftmost and then the longest stays, as a pattern of all
     values would find. per_label: labels are searched apart and may overlap. Values of fewer characters meet by their own length."""
     edge = lambda c: c.rlike("^[A-Za-z0-9]$")
-    keyed = values.select("label", "value", F.least(F.length("value"), F.lit(3)).alias("k")).withColumn("head", F.substring("value", F.lit(1), F.col("k")))
-    sizes = [r["k"] for r in keyed.select("k").distinct().collect()]  # 1, 2 and 3 at most
-    windows = docs.where(F.length("text") > 0).select(*key, "text", F.explode(F.array(*(F.lit(s) for s in sizes or [3]))).alias("k"))
-    windows = windows.where(F.length("text") >= F.col("k")).select(*key, "text", "k", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("k") + 1)).alias("p")).withColumn("head", F.substring("text", F.col("p"), F.col("k")))
-    end = F.col("p") + F.length("value")
-    before, after = F.substring("text", F.col("p") - 1, F.lit(1)), F.substring("text", end, F.lit(1))
-    clear = ~(edge(F.substring("value", 1, 1)) & (F.col("p") > 1) & edge(before)) & ~(edge(F.substring("value", -1, 1)) & edge(after))
-    found = windows.join(keyed, ["k", "head"]).where((F.substring("text", F.col("p"), F.length("value")) == F.col("value")) & clear)
+    keyed = values.select("label", "value", F.least(F.length("value"), F.lit(3)).alias("k")).withColumn("head", F.substring("value", F.lit(1), F.col("k"))).where("k > 0")
+    shape = keyed.agg(F.max(F.length("value")).alias("longest"), F.collect_set("k").alias("sizes")).first()
+    longest, sizes = shape["longest"] or 1, sorted(shape["sizes"])  # 1, 2 and 3 at most
+    # stretches of a text, each with one character before and enough after it, so that a place costs no look at the whole text
+    stretch = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(STRETCH))).alias("at")
+    cut = spread(docs).where(F.length("text") > 0).select(*key, "text", stretch)
+    cut = cut.select(*key, "at", (F.col("at") > 0).cast("int").alias("lead"), F.substring("text", F.greatest(F.col("at"), F.lit(1)), F.lit(STRETCH + longest + 2)).alias("piece"))
+    inside = F.least(F.length("piece") - F.col("lead"), F.lit(STRETCH))
+    placed = cut.select(*key, "at", "lead", "piece", F.explode(F.sequence(F.lit(1), inside)).alias("j")).select(*key, "at", "lead", "piece", "j", F.explode(F.array(*(F.lit(s) for s in sizes or [3]))).alias("k"))
+    here = F.col("j") + F.col("lead")
+    windows = placed.withColumn("head", F.substring("piece", here, F.col("k"))).where(F.length("head") == F.col("k"))
+    heads = keyed.select("k", "head").distinct()
+    if heads.count() <= MOST_HEADS:  # then most places end here, before any shuffle
+        windows = windows.join(F.broadcast(heads), ["k", "head"], "left_semi")
+    windows = windows.select(*key, "k", "head", (F.col("at") + F.col("j")).alias("p"), F.when(here > 1, F.substring("piece", here - 1, F.lit(1))).otherwise("").alias("before"), F.substring("piece", here, F.lit(longest + 1)).alias("rest"))
+    after = F.substring("rest", F.length("value") + 1, F.lit(1))
+    clear = ~(edge(F.substring("value", 1, 1)) & edge(F.col("before"))) & ~(edge(F.substring("value", -1, 1)) & edge(after))
+    found = windows.join(keyed, ["k", "head"]).where(F.startswith(F.col("rest"), F.col("value")) & clear)
     group = [*key, "label"] if per_label else key
     ordered = found.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((F.col("p") - 1).alias("s"), (-F.length("value")).alias("l"), "label"))).alias("m"))
     disjoint = F.aggregate("m", no_spans(), lambda k, x: F.when((F.size(k) > 0) & (F.element_at(k, -1).end > x.s), k).otherwise(F.concat(k, F.array(span(x.s, x.s - x.l, x["label"])))))
@@ -101,7 +114,7 @@ def _dictionary(docs: DataFrame, values: DataFrame | None, config: EngineConfig,
 def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame | None = None, sensitive: DataFrame | None = None, safe: DataFrame | None = None) -> DataFrame:
     """docs with is_code, candidates (all spans found) and spans (what stays). known and sensitive: (label, value); safe: (value)."""
     config = config or EngineConfig()
-    docs = classified(docs)
+    docs = classified(spread(docs))
     text, code = F.col("text"), F.col("is_code")
     if config.normalise:
         change = F.coalesce(normalize.may_change(text, code), F.lit(False)) if not config.whitespace else F.lit(True)
@@ -124,11 +137,8 @@ def without_safe(docs: DataFrame, safe: DataFrame | None) -> DataFrame:
     """__unsafe: candidates whose stripped text is no safe value, by an anti-join on the value."""
     if safe is None:
         return docs.withColumn("__unsafe", F.col("candidates"))
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    from ..session import kept
-
-    placed = kept(placed)
-    each = placed.select("__row", "text", F.posexplode("candidates").alias("__i", "m"))
+    placed = kept(docs.withColumn("__row", F.monotonically_increasing_id()))
+    each = placed.select("__row", "text", F.posexplode_outer("candidates").alias("__i", "m")).where("m is not null")
     value = stripped(F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")))
     left = each.withColumn("value", value).join(safe.select("value").distinct(), "value", "left_anti")
     back = left.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "m"))), lambda x: x.m).cast(SPANS).alias("__unsafe"))
@@ -137,5 +147,5 @@ def without_safe(docs: DataFrame, safe: DataFrame | None) -> DataFrame:
 
 def long_spans(found: DataFrame) -> DataFrame:
     """A row for each span: doc_id, start, end, label, score, source, value, and nth (its number among the document's equal values)."""
-    each = found.select("doc_id", "text", F.explode("spans").alias("m")).select("doc_id", "m.*", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value"))
+    each = found.select("doc_id", "text", F.explode_outer("spans").alias("m")).where("m is not null").select("doc_id", "m.*", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value"))
     return each.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "value").orderBy("start")))

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _values(docs: DataFrame, key: str, column: str, name: str) -> DataFrame:
-    found = docs.select(key, F.col(column).alias("text")).select(key, "text", F.explode(rule_spans(F.col("text"), RULES[name])).alias("m"))
+    found = docs.select(key, F.col(column).alias("text")).select(key, "text", F.explode_outer(rule_spans(F.col("text"), RULES[name])).alias("m")).where("m is not null")
     return found.select(key, F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value"))
 
 
@@ -131,7 +131,7 @@ _ALL_SQL = " UNION ALL ".join(f"SELECT '{n}' AS label, doc_id, source, lang, unn
 
 def _counted(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-    found = docs.select("doc_id", "source", "lang", F.explode(detect_rules(F.col("text"), [RULES[n] for n in _COUNTED])).alias("m"))
+    found = docs.select("doc_id", "source", "lang", F.explode_outer(detect_rules(F.col("text"), [RULES[n] for n in _COUNTED])).alias("m")).where("m is not null")
     return found.select("doc_id", "source", "lang", F.col("m.label").alias("label"))
 
 
@@ -231,7 +231,7 @@ _PLACES_SQL = f"""
 @query(_PLACES_SQL + " SELECT '<' || label || '_' || row_number() OVER (PARTITION BY label ORDER BY first) || '>' AS tag, label, row_number() OVER (PARTITION BY label ORDER BY first) AS n, value FROM f")
 def tag_dictionary(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    spans = docs.select("doc_id", "text", F.explode(detect_rules(F.col("text"), [RULES["EMAIL"], RULES["IP_ADDRESS"]])).alias("m"))
+    spans = docs.select("doc_id", "text", F.explode_outer(detect_rules(F.col("text"), [RULES["EMAIL"], RULES["IP_ADDRESS"]])).alias("m")).where("m is not null")
     places = spans.select("m.label", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value"), F.col("doc_id").alias("o1"), (-F.col("m.start")).alias("o2"))
     return codec.extended_map(places, codec.empty_map(spark))
 
@@ -279,7 +279,7 @@ def block_items(spark, sf):
 @query()
 def classify_values(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    spans = docs.select("text", F.explode(detect_text(F.col("text"))).alias("m"))
+    spans = docs.select("text", F.explode_outer(detect_text(F.col("text"))).alias("m")).where("m is not null")
     values = spans.select(F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value")).distinct()
     return lists.classified(values)
 
@@ -378,7 +378,7 @@ def box_overlap(spark, sf):
 # ---- evaluation: rules against rules, shifted ----
 def _gold(spark, sf) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    m = docs.select("doc_id", "text", F.posexplode(matches(F.col("text"), "[A-Z][a-z]{5,}")).alias("i", "m")).select("doc_id", F.col("i").cast("long").alias("ord"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value"), F.when(F.col("i") % 3 == 0, "PERSON_NAME").otherwise("PHONE_NUMBER").alias("label"))
+    m = docs.select("doc_id", "text", F.posexplode_outer(matches(F.col("text"), "[A-Z][a-z]{5,}")).alias("i", "m")).where("m is not null").select("doc_id", F.col("i").cast("long").alias("ord"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value"), F.when(F.col("i") % 3 == 0, "PERSON_NAME").otherwise("PHONE_NUMBER").alias("label"))
     found = m.where("ord % 4 <> 1").select("doc_id", "ord", (F.col("start") + F.when(F.col("ord") % 5 == 0, 1).otherwise(0)).alias("start"), "end", "value", F.when(F.col("ord") % 3 == 0, "PERSON").when(F.col("ord") % 7 == 0, "EMAIL").otherwise("TW_PHONE").alias("label"))
     return m, found
 

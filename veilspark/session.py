@@ -13,6 +13,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it has fewer partitions than the session has cores: for work that costs far more than moving its rows."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ranked(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
     """row_number() over (partition by group order by order), without a task that holds a whole group.
 
