@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize, scalars
@@ -330,7 +330,7 @@ def column_mask(spark, sf):
 
 # ---- words, lines and boxes: documents laid out as words of 10 to a line ----
 def _words(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").where("length(text) < 3000").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \\n]+", " ")), " ")).alias("i", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \\n]+", " ")), " ")).alias("i", "text"))
     return docs.select(F.col("doc_id").alias("image_id"), F.lit(0).alias("page"), F.floor(F.col("i") / 10).alias("line_id"), (F.col("i") % 10).alias("word_ix"), "text", (F.col("i") % 10 * 50).cast("double").alias("left"), (F.floor(F.col("i") / 10) * 20).cast("double").alias("top"), (F.length("text") * 7).cast("double").alias("width"), F.lit(15.0).alias("height"))
 
 
@@ -352,9 +352,8 @@ def word_boxes(spark, sf):
 
 @query(_WORDS_SQL + " SELECT image_id, line_id, compact || n AS pair FROM (SELECT *, lead(compact) OVER (PARTITION BY image_id ORDER BY line_id) AS n FROM lines) WHERE n IS NOT NULL")
 def line_pairs(spark, sf):
-    page = Window.partitionBy("image_id", "page").orderBy("line_id")
-    each = boxes.lines(_words(spark, sf)).withColumn("compact", boxes.line_text(F.col("words")))
-    return each.withColumn("n", F.lead("compact").over(page)).where("n is not null").select("image_id", "line_id", F.concat("compact", "n").alias("pair"))
+    each = boxes.lines(_words(spark, sf)).select(*boxes.PAGE, "line_id", boxes.line_text(F.col("words")).alias("compact"))
+    return boxes.with_next(each, "compact", "n").where("n is not null").select("image_id", "line_id", F.concat("compact", "n").alias("pair"))
 
 
 @query()
