@@ -130,8 +130,9 @@ _ALL_SQL = " UNION ALL ".join(f"SELECT '{n}' AS label, doc_id, source, lang, unn
 
 
 def _counted(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-    found = docs.select("doc_id", "source", "lang", F.explode_outer(detect_rules(F.col("text"), [RULES[n] for n in _COUNTED])).alias("m")).where("m is not null")
+    """A row for each span that detect() keeps, under all rules. The SQL can say _COUNTED only."""
+    docs = detect(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
+    found = docs.select("doc_id", "source", "lang", F.explode_outer("spans").alias("m")).where("m is not null")
     return found.select("doc_id", "source", "lang", F.col("m.label").alias("label"))
 
 
