@@ -369,7 +369,7 @@ _BOX = "b AS (SELECT l_orderkey % 50 AS image_id, l_orderkey * 10 + l_linenumber
         least((a.x1 - a.x0) * (a.y1 - a.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) AS small FROM b a JOIN b c ON a.image_id = c.image_id AND a.box_id < c.box_id)
     SELECT image_id, a, b FROM p WHERE w > 0 AND h > 0 AND w * h / small >= 0.85""")
 def box_overlap(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey % 40 = 7")
+    li = table(spark, sf, "lineitem")
     d = (F.col("l_discount") * 100)
     b = li.select((F.col("l_orderkey") % 50).alias("image_id"), F.lit(0).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), F.col("l_quantity").alias("x0"), d.alias("y0"), (F.col("l_quantity") + F.col("l_tax") * 100 + 1).alias("x1"), (d + 5).alias("y1"))
     return boxes.overlapping_pairs(b).select("image_id", "a", "b")
