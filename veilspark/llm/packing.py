@@ -33,8 +33,9 @@ from ._common import saved, slices
 from ._tokens import encoder
 
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CHUNKS = "doc_id long, no_id boolean, source string, row long, doc_tokens long, start long, length long, ids binary"
-_PACKED = PIECES.replace("source string", "no_id boolean, source string")
+_CHUNKS = "doc_id long, no_id boolean, source string, no_source boolean, row long, doc_tokens long, start long, length long, ids binary"
+_PACKED = PIECES.replace("source string", "no_id boolean, source string, no_source boolean")
+_QUEUE = ["no_source", "source"]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, spaces_matter: bool = True, chunk: int = 16_384) -> DataFrame:
@@ -51,10 +52,10 @@ def encoded(docs: DataFrame, path: str, end_id: int, spaces_matter: bool = True,
                     for k, v in zip(out, (i, len(ids), s, len(part), squeeze.compress(part.tobytes())), strict=True):
                         out[k].append(v)
             at = pa.array(out.pop("at"), pa.int64())
-            kept = [b.column(k).take(at) for k in ("doc_id", "no_id", "source", "row")]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[k], pa.int64()) for k in ("doc_tokens", "start", "length")), pa.array(out["ids"], pa.binary())], names=["doc_id", "no_id", "source", "row", "doc_tokens", "start", "length", "ids"])
+            kept = [b.column(k).take(at) for k in ("doc_id", "no_id", "source", "no_source", "row")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[k], pa.int64()) for k in ("doc_tokens", "start", "length")), pa.array(out["ids"], pa.binary())], names=["doc_id", "no_id", "source", "no_source", "row", "doc_tokens", "start", "length", "ids"])
 
-    columns = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.monotonically_increasing_id().alias("row"), "text")
+    columns = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), F.monotonically_increasing_id().alias("row"), "text")
     return saved(columns.mapInArrow(run, _CHUNKS), "encoded")
 
 
@@ -96,22 +97,24 @@ class Progress:
 
 
 def _queue_places(chunks: DataFrame, blocks: int) -> DataFrame:
-    """place: tokens before each document in its queue. Documents lie in a queue by block (a hash of doc_id) and row."""
-    docs = chunks.where("start = 0").select("source", "row", "doc_tokens", F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)).alias("block"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = docs.groupBy("source", "block").agg(F.sum("doc_tokens").alias("n")).select("source", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    """place: tokens before each document in its queue; held: tokens of the queue. Documents lie in a queue by block (a hash of doc_id) and row."""
+    docs = chunks.where("start = 0").select(*_QUEUE, "row", "doc_tokens", F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)).alias("block"))
+    queue = Window.partitionBy(*_QUEUE)
+    before = queue.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = docs.groupBy(*_QUEUE, "block").agg(F.sum("doc_tokens").alias("n"))
+    base = sums.select(*_QUEUE, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(queue).alias("held"))
+    inside = Window.partitionBy(*_QUEUE, "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     own = docs.withColumn("own", F.coalesce(F.sum("doc_tokens").over(inside), F.lit(0)))
-    return own.join(base, ["source", "block"]).select("row", (F.col("base") + F.col("own")).alias("place"))
+    return own.join(base, [*_QUEUE, "block"]).select("row", (F.col("base") + F.col("own")).alias("place"), "held")
 
 
-def _fill(queues: dict[str, deque], owed: dict[str, Fraction], first_id: int, window: int, least: int):
+def _fill(queues: dict[str | None, deque], owed: dict[str | None, Fraction], first_id: int, window: int, least: int):
     """Deficit round-robin over one partition. queues: (doc_id, no_id, doc_tokens, start, ids) to serve; owed: deficits to begin with."""
     held = {s: sum(len(x[-1]) for x in q) for s, q in queues.items()}
     left = sum(held.values())
     quantum = {s: window * n / left for s, n in held.items() if n} if left else {}
     deficit = {s: float(owed[s]) for s in quantum}
-    turn, sequence, filled = deque(sorted(quantum)), first_id, 0
+    turn, sequence, filled = deque(sorted(quantum, key=lambda s: (s is not None, s or ""))), first_id, 0
     while left:
         s = turn[0]
         q = queues[s]
@@ -120,7 +123,7 @@ def _fill(queues: dict[str, deque], owed: dict[str, Fraction], first_id: int, wi
         while give >= min(least, held[s]) and give:
             n = min(give, window - filled, len(q[0][-1]))
             doc_id, no_id, doc_tokens, start, ids = q[0]
-            yield doc_id, no_id, s, start, n, zlib.crc32(ids[:n].astype("<u4").tobytes()), doc_tokens, sequence, filled
+            yield doc_id, no_id, s or "", s is None, start, n, zlib.crc32(ids[:n].astype("<u4").tobytes()), doc_tokens, sequence, filled
             if n == len(ids):
                 q.popleft()
             else:
@@ -132,66 +135,79 @@ def _fill(queues: dict[str, deque], owed: dict[str, Fraction], first_id: int, wi
                 sequence, filled = sequence + 1, 0
                 break
         else:  # served what it was owed: the next queue's turn. A queue that a full window cut short goes on in the next.
-            turn.rotate(-1)
-            if not held[s]:
-                turn.remove(s)
+            turn.popleft()
+            if held[s]:
+                turn.append(s)
             continue
         deficit[s] -= quantum[s] if held[s] else 0  # it keeps its turn and has had its quantum
         if not held[s]:
-            turn.remove(s)
+            turn.popleft()
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, least: int = 64, per_task: int = 4_000_000, weights: dict[str, float] | None = None, max_queues: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, least: int = 64, per_task: int = 4_000_000, weights: dict[str | None, float] | None = None) -> DataFrame:
     """Pieces of the documents' ids (each followed by end_id) in sequences of at most `window` tokens; columns PIECES.
 
-    A corpus of more than max_queues sources has its sources dealt to that many queues by hash (weights then name queues
-    "0", "1", ...). sequence_id rises with the order of packing and has gaps between partitions.
+    Every source is one queue, however many there are: without weights a queue's progress follows from what it holds, which
+    its chunks carry. weights must name every source (None for null). sequence_id rises with the order of packing and has
+    gaps between partitions.
     """
     chunks = encoded(docs, path, end_id)
     spark = docs.sparkSession
-    if chunks.select("source").distinct().limit(max_queues + 1).count() > max_queues:
-        chunks = chunks.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string"))
-    sums = {r["source"]: r["n"] for r in chunks.where("start = 0").groupBy("source").agg(F.sum("doc_tokens").alias("n")).collect()}  # at most max_queues rows
-    if not sums:
+    sums = chunks.where("start = 0").groupBy(*_QUEUE).agg(F.sum("doc_tokens").alias("n"))
+    count, total = sums.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not count:
         return spark.createDataFrame([], PIECES)
-    mix = Progress(sums, weights)
+    mix = None
+    if weights:
+        rows = sums.limit(len(weights) + 1).collect()
+        mix = Progress({None if r["no_source"] else r["source"]: r["n"] for r in rows}, weights)  # fails where a source has no weight
     size = max(1, per_task // window) * window
-    tasks = max(1, math.ceil(mix.total / size))
-    stride = size // window + len(sums) + 2
+    tasks = max(1, math.ceil(total / size))
+    stride = size // window + count + 2
 
-    def bound(source: str, p: int) -> int:
-        return mix.served(source, p * size) if p < tasks else sums[source]
+    def bound(source: str | None, held: int, p: int) -> int:
+        """Tokens of a queue before partition p."""
+        if p >= tasks:
+            return held
+        return mix.served(source, p * size) if mix else p * size * held // total
+
+    def owes(source: str | None, held: int, p: int) -> Fraction:
+        return mix.exact(source, p * size) - mix.served(source, p * size) if mix else Fraction(p * size * held % total, total)
 
     def deal(frames):
         """Each chunk to the partition, or partitions, that its place in the queue belongs to."""
         for f in frames:
             rows = []
             for x in f.itertuples(index=False):
-                p = bisect_right(range(1, tasks), x.place, key=lambda k: bound(x.source, k))
+                source, held = None if x.no_source else x.source, int(x.held)
+                p = bisect_right(range(1, tasks), x.place, key=lambda k: bound(source, held, k))  # noqa: B023
                 while p < tasks:
-                    low, high = max(x.place, bound(x.source, p)), min(x.place + x.length, bound(x.source, p + 1))
+                    low, high = max(x.place, bound(source, held, p)), min(x.place + x.length, bound(source, held, p + 1))
                     if low < high:
-                        rows.append((p, x.source, low, x.doc_id, x.no_id, x.doc_tokens, x.start + low - x.place, low - x.place, high - low, x.ids))
+                        rows.append((p, x.source, x.no_source, held, low, x.doc_id, x.no_id, x.doc_tokens, x.start + low - x.place, low - x.place, high - low, x.ids))
                     if high >= x.place + x.length:
                         break
                     p += 1
-            yield pd.DataFrame(rows, columns=["p", "source", "place", "doc_id", "no_id", "doc_tokens", "start", "skip", "length", "ids"])
+            yield pd.DataFrame(rows, columns=["p", "source", "no_source", "held", "place", "doc_id", "no_id", "doc_tokens", "start", "skip", "length", "ids"])
 
     def fill(key, f):
-        p, queues, unpack = int(key[0]), {}, zstandard.ZstdDecompressor()
+        p, queues, owed, unpack = int(key[0]), {}, {}, zstandard.ZstdDecompressor()
         f = f.sort_values("place")
         for x in f.itertuples(index=False):
             ids = np.frombuffer(unpack.decompress(x.ids), kind)
-            queues.setdefault(x.source, deque()).append((x.doc_id, x.no_id, x.doc_tokens, x.start, ids[x.skip : x.skip + x.length]))
-        owed = {s: mix.exact(s, p * size) - mix.served(s, p * size) for s in queues}
+            source = None if x.no_source else x.source
+            if source not in queues:
+                queues[source], owed[source] = deque(), owes(source, int(x.held), p)
+            queues[source].append((x.doc_id, x.no_id, x.doc_tokens, x.start, ids[x.skip : x.skip + x.length]))
         return pd.DataFrame(_fill(queues, owed, p * stride, window, least), columns=[c.split()[0] for c in _PACKED.split(", ")])
 
     kind = np.uint16 if _vocabulary(path) <= 1 << 16 else np.uint32
-    blocks = max(1, mix.total // per_task)
-    placed = chunks.join(_queue_places(chunks, blocks), "row").select("source", "doc_id", "no_id", "doc_tokens", "start", "length", "ids", (F.col("place") + F.col("start")).alias("place"))
-    dealt = placed.mapInPandas(deal, "p int, source string, place long, doc_id long, no_id boolean, doc_tokens long, start long, skip long, length long, ids binary")
+    blocks = max(1, total // per_task)
+    placed = chunks.join(_queue_places(chunks, blocks), "row").select(*_QUEUE, "held", "doc_id", "no_id", "doc_tokens", "start", "length", "ids", (F.col("place") + F.col("start")).alias("place"))
+    dealt = placed.mapInPandas(deal, "p int, source string, no_source boolean, held long, place long, doc_id long, no_id boolean, doc_tokens long, start long, skip long, length long, ids binary")
     packed = dealt.groupBy("p").applyInPandas(fill, _PACKED)
-    return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+    named = packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).withColumn("source", F.when(~F.col("no_source"), F.col("source")))
+    return named.drop("no_id", "no_source")
 
 
 def _vocabulary(path: str) -> int:
