@@ -313,8 +313,8 @@ def column_header_types(spark, sf):
 
 @query("SELECT CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS label, CAST(0 AS BIGINT) AS votes, CAST(0 AS BIGINT) AS hit_cells WHERE false")
 def column_vote_customer(spark, sf):
-    votes = tables.column_votes(tables.cells(table(spark, sf, "customer").select("c_mktsegment", "c_acctbal")))
-    return votes.select("name", "label", "votes", "hit_cells").where("label = 'EMAIL'")
+    votes = tables.column_votes(tables.cells(table(spark, sf, "customer")))
+    return votes.select("name", "label", "votes", "hit_cells")
 
 
 @query("SELECT 'c_name' AS name, 'PERSON' AS label, count(*) AS cells, count(DISTINCT c_name) AS tags FROM customer")
