@@ -93,8 +93,9 @@ def dictionary_by_join(docs: DataFrame, values: DataFrame, key: list[str], per_l
     return spans.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")) if per_label else spans
 
 
-def _dictionary(docs: DataFrame, values: DataFrame | None, config: EngineConfig, per_label: bool, name: str) -> DataFrame:
-    """docs with the spans of a dictionary of (label, value): by pattern if it is small, else by join."""
+def _dictionary(docs: DataFrame, values: DataFrame | None, config: EngineConfig, per_label: bool, name: str, text: Column | None = None) -> DataFrame:
+    """docs with the spans of a dictionary of (label, value) in `text` (a column of docs): by pattern if it is small, else by join on a number given to each row."""
+    text = F.col("text") if text is None else text
     if values is None:
         return docs.withColumn(name, no_spans())
     held = values.select("label", "value").where(F.length("value") >= (1 if per_label else KNOWN_MIN)).distinct()
@@ -104,11 +105,12 @@ def _dictionary(docs: DataFrame, values: DataFrame | None, config: EngineConfig,
             by_label: dict[str, list[str]] = {}
             for r in sorted(rows):
                 by_label.setdefault(r["label"], []).append(r["value"])
-            return docs.withColumn(name, F.coalesce(F.concat(no_spans(), *(dictionary_spans(F.col("text"), alternation(v), label) for label, v in by_label.items())), no_spans()))
+            return docs.withColumn(name, F.coalesce(F.concat(no_spans(), *(dictionary_spans(text, alternation(v), label) for label, v in by_label.items())), no_spans()))
         labels = {r["value"]: r["label"] for r in rows}
-        return docs.withColumn(name, F.coalesce(dictionary_spans(F.col("text"), alternation(list(labels)), labels), no_spans()))
-    found = dictionary_by_join(docs, held, ["doc_id"], per_label).withColumnRenamed("spans", name)
-    return docs.join(found, "doc_id", "left").withColumn(name, F.coalesce(name, no_spans()))
+        return docs.withColumn(name, F.coalesce(dictionary_spans(text, alternation(list(labels)), labels), no_spans()))
+    placed = kept(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = dictionary_by_join(placed.select("__row", text.alias("text")), held, ["__row"], per_label).withColumnRenamed("spans", name)
+    return placed.join(found, "__row", "left").withColumn(name, F.coalesce(name, no_spans())).drop("__row")
 
 
 def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame | None = None, sensitive: DataFrame | None = None, safe: DataFrame | None = None) -> DataFrame:
@@ -121,11 +123,16 @@ def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame
         # only texts that may change cross to Python; the rest stay in the JVM
         plain = docs.where(~change).withColumn("__found", F.coalesce(detected(text, code, config), no_spans()))
         edited = docs.where(change).withColumn("__norm", normalize.normalised(text, code, config)).withColumn("__raw", detected(F.col("__norm.text"), code, config))
-        edited = edited.withColumn("__found", F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__raw")), no_spans())).drop("__norm", "__raw")
-        docs = plain.unionByName(edited)
+        edited = edited.withColumn("__found", F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__raw")), no_spans())).drop("__raw")
+        docs = plain.withColumn("__norm", F.lit(None).cast(normalize.NORMALISED)).unionByName(edited)
     else:
         docs = docs.withColumn("__found", F.coalesce(detected(text, code, config), no_spans()))
     docs = _dictionary(docs, known, config, True, "__known")
+    if config.normalise and known is not None:  # also as the normalised text has them, but in code
+        docs = _dictionary(docs, known, config, True, "__inner", F.when(~code, F.col("__norm.text")))
+        inside = F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__inner")), no_spans())
+        docs = docs.withColumn("__known", F.concat(inside, "__known")).drop("__inner")
+    docs = docs.drop("__norm")
     docs = _dictionary(docs, sensitive if config.use_known_items else None, config, False, "__listed")
     docs = docs.withColumn("candidates", F.array_distinct(F.concat("__found", "__known", "__listed")))
     docs = without_safe(docs, safe)
