@@ -65,7 +65,7 @@ def fit(sample: list[tuple[str, int]], size: int = 112_640) -> Quality:
     share = (len(classes[1]) + 0.5) / (len(classes[0]) + len(classes[1]) + 1)
 
     def dictionary(texts: list[str]) -> bytes:
-        blocks = [raw[i : i + BLOCK] for raw in (t.encode() for t in texts) for i in range(0, min(len(raw), 4 * BLOCK), BLOCK)]
+        blocks = [raw[i : i + BLOCK] for raw in (t.encode() for t in texts) for i in range(0, len(raw), BLOCK)]
         try:
             return zstandard.train_dictionary(size, blocks, level=3).as_bytes()
         except zstandard.ZstdError:  # too few texts to train from: the texts themselves
