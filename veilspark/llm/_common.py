@@ -69,6 +69,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_
             begin = end
 
 
+def without(docs: DataFrame, added: list[str]) -> DataFrame:
+    """docs without the columns that an operator adds itself, so that a table which has them already is no clash."""
+    return docs.drop(*added)
+
+
 def held_out(doc_id, parts: int, part: int):
     """Whether crc32 of doc_id, as text, leaves `part` when divided by `parts`."""
     from pyspark.sql import functions as F

@@ -1,106 +1,130 @@
-"""A count-min sketch of 64-bit keys that tells which keys may occur more than once."""
+"""A count-min sketch spread over tasks: how often, at most about, each 64-bit key of a table occurs.
+
+The table is cut into slices first, one row each, written once so that a slice is the same whenever it is read. Each slice
+counts its keys in the cells of the sketch; this partial sketch is sparse (sorted cells as differences). Cells are dealt
+in blocks: one task adds up what all slices counted in a block, and sends each slice the sums of those cells it has
+touched. So neither the driver nor any task holds the whole sketch, and its cells grow with the keys: it filters alike
+at every size. Counts are overestimates where keys share cells, never less than the truth.
+
+A block gets at most one entry a cell from each slice, however often a key occurs there, so frequent keys make no task large.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-
-#: Cells in a block: blocks are merged apart, each by one task.
-BLOCK = 1 << 20
-
-
-class Repeated:
-    """The merged sketch: for each row of the sketch a bit for each cell that was counted twice or more."""
-
-    def __init__(self, rows: int, blocks: int, found: list[tuple[int, bytes]]):
-        self.rows, self.cells = rows, blocks * BLOCK
-        bits = np.zeros(rows * self.cells // 8, np.uint8)
-        unpack = zstandard.ZstdDecompressor()
-        for b, packed in found:
-            bits[b * BLOCK // 8 : (b + 1) * BLOCK // 8] = np.frombuffer(unpack.decompress(packed), np.uint8)
-        self.bits = bits
-
-    def may(self, keys: np.ndarray) -> np.ndarray:
-        """False for keys that certainly occur once."""
-        out = np.ones(len(keys), bool)
+from pyspark.sql import functions as F
+
+from ._common import saved, slices, text_bytes
+from ._words import mix
+
+_ROW = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
+
+
+def sliced(docs: DataFrame, name: str, most: int = 8_000_000) -> DataFrame:
+    """slice long, held binary: the rows of docs, about `most` bytes of text to a slice; one longer text is a slice of its own."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def row():
+            sink = pa.BufferOutputStream()
+            schema = pa.schema([f.with_nullable(True) for f in held[0].schema])  # batches of a table may differ in that
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(pa.RecordBatch.from_arrays(b.columns, schema=schema))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "held"])
+
+        for b in slices(batches, most=most):
+            more = int(text_bytes(b.column("text"))[1][-1])
+            if held and size + more > most:
+                yield row()
+                number, held, size = number + 1, [], 0
+            held.append(b)
+            size += more
+        if held:
+            yield row()
+
+    return saved(docs.mapInArrow(run, "slice long, held binary"), name)
+
+
+def opened(held: bytes) -> pa.RecordBatch:
+    """The rows of a slice."""
+    with pa.ipc.open_stream(held) as found:
+        return found.read_all().combine_chunks().to_batches()[0]
+
+
+def _packed(cell: np.ndarray, n: np.ndarray) -> bytes:
+    """Of sorted cells and their counts: how many, how many steps do not fit a byte, the steps, the counts, the long steps."""
+    steps = np.diff(cell, prepend=0)
+    long_ = steps[steps >= 255].astype(np.uint32)
+    head = np.array([len(cell), len(long_)], np.uint32)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in (head, np.minimum(steps, 255).astype(np.uint8), np.minimum(n, 255).astype(np.uint8), long_)))
+
+
+def _unpacked(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(part)
+    k, m = (int(x) for x in np.frombuffer(raw, np.uint32, 2))
+    steps = np.frombuffer(raw, np.uint8, k, 8).astype(np.int64)
+    steps[steps == 255] = np.frombuffer(raw[8 + 2 * k :], np.uint32, m)
+    return np.cumsum(steps), np.frombuffer(raw, np.uint8, k, 8 + k)
+
+
+class Sketch:
+    """`rows` rows of about per_key cells for each expected key, in blocks of at most `most` cells, 24 blocks a row at least."""
+
+    def __init__(self, expected: int, per_key: float, rows: int, most: int = 1 << 24):
+        cells = max(1 << 16, int(expected * per_key))
+        self.rows, self.block = rows, max(1 << 12, min(most, cells // 24))
+        self.blocks = -(-cells // self.block)
+
+    def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
+        h = mix(keys ^ _ROW[row]) if row else keys
+        block = (h >> np.uint64(32)) * np.uint64(self.blocks) >> np.uint64(32)
+        inside = (h & np.uint64(0xFFFFFFFF)) * np.uint64(self.block) >> np.uint64(32)
+        return (block * np.uint64(self.block) + inside).astype(np.int64)
+
+    def counted(self, slices_: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+        """slices_ with found: the levels of its cells, by block. keys_of must give a slice's keys in the same order each time."""
+
+        def count(batches):
+            for b in batches:
+                for number, held in zip(b.column("slice").to_pylist(), b.column("held"), strict=True):
+                    keys, at, part = keys_of(opened(held.as_buffer())), [], []
+                    for r in range(self.rows):
+                        cell, n = np.unique(self.cells(keys, r), return_counts=True)
+                        cuts = np.searchsorted(cell, np.arange(self.blocks + 1) * self.block)
+                        for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                            mine = slice(cuts[i], cuts[i + 1])
+                            at.append(r * self.blocks + int(i))
+                            part.append(_packed(cell[mine] - i * self.block, n[mine]))
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([number] * len(at), pa.int64()), pa.array(part, pa.binary())], names=["at", "slice", "part"])
+
+        def add(key, frame):
+            total, squeeze = np.zeros(self.block, np.uint32), zstandard.ZstdCompressor(level=1)
+            found = [_unpacked(p) for p in frame["part"]]
+            for cell, n in found:
+                total[cell] += n
+            levels = [squeeze.compress(np.floor(np.log2(total[cell])).astype(np.uint8).tobytes()) for cell, _ in found]
+            return pd.DataFrame({"slice": frame["slice"], "at": key[0], "levels": levels})
+
+        parts = slices_.mapInArrow(count, "at int, slice long, part binary")
+        sums = parts.groupBy("at").applyInPandas(add, "slice long, at int, levels binary")
+        return slices_.join(sums.groupBy("slice").agg(F.collect_list(F.struct("at", "levels")).alias("found")), "slice", "left")
+
+    def levels(self, keys: np.ndarray, found: list[dict] | None) -> np.ndarray:
+        """floor(log2) of the estimated count of each key of a slice; 0 is a key that certainly occurs once."""
+        out, unpack = np.full(len(keys), 255, np.uint8), zstandard.ZstdDecompressor()
+        by_block = {x["at"]: x["levels"] for x in found or ()}
         for r in range(self.rows):
-            at = cells(keys, r, self.cells) + r * self.cells
-            out &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            _, inverse = np.unique(self.cells(keys, r), return_inverse=True)
+            raw = b"".join(unpack.decompress(by_block[at]) for at in range(r * self.blocks, (r + 1) * self.blocks) if at in by_block)
+            out = np.minimum(out, np.frombuffer(raw, np.uint8)[inverse])
         return out
-
-
-def cells(keys: np.ndarray, row: int, n: int) -> np.ndarray:
-    """The cell of each key in a row of n (below 2**32) cells: high bits for the first row, low bits for the second."""
-    half = keys >> np.uint64(32) if row == 0 else keys & np.uint64(0xFFFFFFFF)
-    return (half * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def sketch(docs: DataFrame, keys_of: Callable[[Iterator], Iterator[np.ndarray]], expected: int, per_key: float = 2.0, rows: int = 2, most: int = 1 << 30):
-    """Broadcast of a Repeated over the keys that keys_of makes of docs' Arrow batches.
-
-    Each row has per_key cells an expected key, at most `most`: beyond that the sketch lets more keys through that occur
-    once, and still none that occurs twice is lost. Each task sends the cells it has counted, by block; a block's parts
-    are added up in one task, and only a bit a cell goes to the driver: at most rows * most / 8 bytes, compressed.
-    """
-    blocks = max(1, min(most, int(expected * per_key)) // BLOCK + 1)
-    n = blocks * BLOCK
-
-    def send(held: list[np.ndarray]) -> pd.DataFrame:
-        keys, out, squeeze = np.concatenate(held), [], zstandard.ZstdCompressor(level=1)
-        for r in range(rows):
-            at = np.sort(cells(keys, r, n))
-            first = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-            for b in range(blocks):
-                part = at[first[b] : first[b + 1]] - b * BLOCK
-                if len(part):
-                    steps = np.diff(part, prepend=0)
-                    small = np.minimum(steps, 255).astype(np.uint8)
-                    large = steps[steps >= 255].astype(np.uint32)
-                    out.append((r * blocks + b, len(part), squeeze.compress(small.tobytes()), large.tobytes()))
-        return pd.DataFrame(out, columns=["block", "n", "small", "large"])
-
-    def count(batches):
-        held, size = [], 0
-        for keys in keys_of(batches):
-            held.append(keys)
-            size += len(keys)
-            if size >= 4_000_000:
-                yield send(held)
-                held, size = [], 0
-        if size:
-            yield send(held)
-
-    def counted(batches):
-        import pyarrow as pa
-
-        for f in count(batches):
-            yield pa.RecordBatch.from_pandas(f, preserve_index=False)
-
-    def merge(key, frame):
-        total, unpack = np.zeros(BLOCK, np.uint8), zstandard.ZstdDecompressor()
-        for small, large in zip(frame["small"], frame["large"], strict=True):
-            steps = np.frombuffer(unpack.decompress(small), np.uint8).astype(np.int64)
-            steps[steps == 255] = np.frombuffer(large, np.uint32)
-            total = np.minimum(total + np.minimum(np.bincount(np.cumsum(steps), minlength=BLOCK), 2).astype(np.uint8), 2)
-        return pd.DataFrame({"block": [key[0]], "bits": [zstandard.ZstdCompressor(level=3).compress(np.packbits(total >= 2).tobytes())]})
-
-    parts = docs.mapInArrow(counted, "block long, n long, small binary, large binary")
-    merged = parts.groupBy("block").applyInPandas(merge, "block long, bits binary")
-    found = [(r["block"], bytes(r["bits"])) for r in merged.collect()]
-    return docs.sparkSession.sparkContext.broadcast((rows, blocks, found))
-
-
-_opened: dict[int, Repeated] = {}
-
-
-def opened(shared) -> Repeated:
-    """The sketch of a broadcast, unpacked once in each Python worker; earlier ones are let go."""
-    key = shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared.value)
-    if key not in _opened:
-        _opened.clear()
-        _opened[key] = Repeated(*shared.value)
-    return _opened[key]

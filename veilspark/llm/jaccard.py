@@ -1,46 +1,48 @@
 """Documents linked by the Jaccard similarity of their word shingles, exactly, and the components of the links.
 
-1. Documents of equal shingle sets are one class; only classes are compared.
-2. Candidates. Two sets of n and m elements with a similarity of t or more differ in at most (n+m)(1-t)/(1+t) elements.
-   By bands of size, sets are cut into one part more than that (by a hash of the shingle), so that similar sets agree in at
-   least one whole part: a part's hash is a signature, and sets that share one meet in a group. A count-min sketch of all
-   signatures tells most of those that no other document has; they are not sent. Groups of the same members
-   are one group; a group of over `most_group` members is dealt to blocks, each pair of blocks to a task.
-3. In a group, bitmaps of the sets (a bit for the parity of the shingles that hash to it) never differ in more bits than
-   the sets in elements, so they rule out most pairs and no similar one. What is left is a graph, of which a
-   spanning forest is verified: stars of one document and its candidates.
-4. Verification is a T-occurrence search by DivideSkip: the shingles of a star's centre have inverted lists of the
-   candidates; the short ones are merged with a heap, and what occurs often enough there is looked up in the long ones by
-   binary search. Candidates that reach the overlap that similarity t needs are links.
-5. If a pair of a forest fails, another path may still link its documents: the groups it lies in are searched again,
-   without the pairs known to fail, until no pair fails. So no link between components is lost, though most pairs inside a
-   component are never looked at.
+1. A spread count-min sketch (_sketch) tells about how many documents hold each shingle. Shingles are ordered by that
+   level of rarity, then by hash: one order for all documents.
+2. A set of n shingles shares at least ceil(n t) with any set it is linked with, so the two have a shingle among the first
+   n - ceil(n t) + 1 of each. Only these go to the inverted lists, and of these only shingles that may occur twice: most
+   documents have that many of their own and send nothing. Documents of equal sets are one class, listed once.
+3. Classes in one list, within reach of each other by size and by place in the list's order, are candidates. The search
+   runs in rounds, so that a list of N copies never makes N**2 pairs: the first asks each class for the list neighbour it
+   meets most often (of those that are first of a list); links give components; after that only lists that still hold
+   several components count, and there only the members outside the largest one ask all others, a part of them a round
+   and in the end every one. So each two classes of a list that links don't join have been compared.
+4. Asked pairs go to blocks of candidates with inverted lists over whole sets. A T-occurrence search by DivideSkip finds
+   those that reach the overlap needed: the longest lists are set aside, a heap merges the short ones, and what occurs
+   often enough there is looked up in the long ones by binary search.
 
 Words are runs of anything but ASCII white space, after lower-casing A-Z. A set holds the distinct shingles of `k` words;
 a text of fewer words is one shingle; null, empty and blank texts are linked with nothing. A null doc_id sorts before all
-others. Classes are named by 64 bits of hash: n of them agree by chance with about n**2 / 2**65.
+others. Rows that repeat a doc_id are documents each. An empty table gives an empty one; columns but doc_id and text are
+ignored. Texts of any length are whole. Shingles are compared by 64 bits of hash, and sets by 128 bits.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _sketch
 from ._common import dropped, saved, slices, text_bytes
+from ._sketch import Sketch, opened, sliced
 from ._words import NOT_SPACE, mix, run_hash, words
 from .components import components
 
 _NONE = -(1 << 63)
-_SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xAAAAAAAAAAAAAAB5)]
+#: How many members of a list ask in each round after the first.
+ROUNDS = (64, 4096, None)
+_SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
+_DESCRIBED = "doc_key long, n long, s1 long, s2 long, tokens binary, prefix array<long>, places array<int>"
 
 
 class Threshold:
@@ -48,30 +50,14 @@ class Threshold:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.low = [1]  # the smallest size of each band
-        while self.low[-1] < 1 << 40:
-            self.low.append(max(self.low[-1] + 1, self.partner(self.low[-1] - 1) + 1))
-        self._low = np.array(self.low)
-
-    def partner(self, n: int) -> int:
-        """The largest set that one of n elements can be linked with."""
-        return n * 100 // self.percent
 
     def overlap(self, n, m):
-        """Elements that sets of n and m must share."""
+        """Elements that linked sets of n and m share at least."""
         return -(-self.percent * (n + m) // (100 + self.percent))
 
-    def differ(self, n, m):
-        """Elements in which linked sets of n and m differ at most."""
-        return (n + m) - 2 * self.overlap(n, m)
-
-    def bands(self, n: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self._low, n, "right") - 1
-
-    def parts(self, band: int) -> int:
-        top = self.low[band + 1] - 1
-        m = self.partner(top)
-        return (top + m) * (100 - self.percent) // (100 + self.percent) + 1
+    def prefix(self, n):
+        """How many of n elements, in an order common to all sets, are enough to meet every linked set's."""
+        return n + 1 + -self.percent * n // 100
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,275 +76,234 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return text[new], h[new]
 
 
+def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of a slice, a part of its texts at a time."""
+    found, base = [], 0
+    for b in slices(iter([batch]), most=2_000_000):
+        text, h = shingle_sets(*text_bytes(b.column("text")), k)
+        found.append((text + base, h))
+        base += b.num_rows
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _added(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     np.add.at(out, index, values)
-    return out
-
-
-def _signatures(t: Threshold, text: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """The signatures of each text: of its band's parts, and of the band below, whose sets may be linked with it."""
-    own, out = t.bands(np.maximum(n, 1)), [[] for _ in n]
-    value, high = mix(h ^ _SALTS[2]), mix(h ^ _SALTS[3]) >> np.uint64(32)
-    for below in (0, 1):
-        band = own - below
-        fits = (n > 0) & (band >= 0)
-        fits[fits] &= n[fits] <= np.array([t.partner(t.low[b + 1] - 1) for b in band[fits]], np.int64)
-        parts = np.zeros(len(n), np.int64)
-        parts[fits] = [t.parts(b) for b in band[fits]]
-        base = np.cumsum(parts) - parts
-        used = fits[text]
-        index = base[text[used]] + (high[used] * parts[text[used]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        total = _added(index, value[used], int(parts.sum()))
-        which = np.arange(len(total)) - np.repeat(base, parts)
-        sig = mix(total + mix(np.repeat(band, parts).astype(np.uint64) * _SALTS[0] + which.astype(np.uint64) * _SALTS[1]))
-        for i in np.flatnonzero(parts):
-            out[i].append(sig[base[i] : base[i] + parts[i]])
-    return [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in out]
-
-
-def _bits(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """For each text a bitmap of 2 to 4 times as many bits as it has shingles, a power of two of 64 or more."""
-    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
-    base = np.cumsum(size) - size
-    place = base[text] + (mix(h ^ _SALTS[1]) & (size[text] - 1).astype(np.uint64)).astype(np.int64)
-    packed = np.packbits(np.bincount(place, minlength=int(size.sum())) & 1)
-    return [packed[b // 8 : (b + s) // 8].tobytes() for b, s in zip(base, size, strict=True)]
+    return out.view(np.int64)
 
 
 def _described(docs: DataFrame, t: Threshold, k: int) -> DataFrame:
-    """doc_key, n, s1 and s2 (hashes of the set), signatures and bitmap of each document."""
-
+    """doc_key, n, s1 and s2 (hashes of the set) of each document; of those that may be linked, once a slice and set, the
+    set's hashes (tokens), the shingles of its prefix that may occur twice, and their places in the set's order."""
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_key"), "text")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expected = int(size / 6 * 4.4 * (100 - t.percent) / (100 + t.percent))  # only the sketch's size hangs on it
+    parts = sliced(named, "slices")
+    sketch = Sketch(size // 6, 12.0, 1)  # a word for 6 bytes: only the cells hang on it
 
-    def keys(batches):
-        for b in slices(batches):
-            text, h = shingle_sets(*text_bytes(b.column("text")), k)
-            found = _signatures(t, text, h, np.bincount(text, minlength=b.num_rows))
-            yield np.concatenate(found).view(np.uint64)
-
-    shared = _sketch.sketch(named.select("text"), keys, expected)
+    def keys(b):
+        return _sets(b, k)[1]
 
     def run(batches):
-        filter_ = _sketch.opened(shared)
-        for b in slices(batches):
-            text, h = shingle_sets(*text_bytes(b.column("text")), k)
-            n = np.bincount(text, minlength=b.num_rows)
-            s1, s2 = (_added(text, mix(h ^ _SALTS[i]), b.num_rows).view(np.int64) for i in (0, 1))
-            signatures = [x[filter_.may(x.view(np.uint64))] for x in _signatures(t, text, h, n)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in signatures])]), pa.int32()), pa.array(np.concatenate(signatures)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_key"), pa.array(n), pa.array(s1), pa.array(s2), lists, pa.array(_bits(text, h, n), pa.binary())], names=["doc_key", "n", "s1", "s2", "signatures", "bits"])
-
-    return saved(named.mapInArrow(run, "doc_key long, n long, s1 long, s2 long, signatures array<long>, bits binary"), "described")
-
-
-def _groups(classes: DataFrame, total: int, per_bucket: int = 4_000_000) -> DataFrame:
-    """group, size, c: the classes that share a signature, groups of the same members once."""
-    buckets = max(12, total // per_bucket)
-
-    def deal(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            lists = b.column("signatures")
-            sig = lists.flatten().to_numpy().view(np.uint64)
-            c = np.repeat(b.column("c").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            to = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
-            parts = [order[cuts[i] : cuts[i + 1]] for i in range(buckets)]
-            keep = [i for i in range(buckets) if len(parts[i])]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([sig[parts[i]].tobytes() for i in keep], pa.binary()), pa.array([squeeze.compress(c[parts[i]].tobytes()) for i in keep], pa.binary())], names=["bucket", "sig", "c"])
-
-    def meet(frame):
-        unpack = zstandard.ZstdDecompressor()
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["sig"]])
-        c = np.concatenate([np.frombuffer(unpack.decompress(x), np.int64) for x in frame["c"]])
-        order = np.argsort(sig)
-        equal = np.zeros(len(order) + 1, bool)
-        equal[1:-1] = sig[order][1:] == sig[order][:-1]
-        many = order[equal[1:] | equal[:-1]]
-        many = many[np.lexsort((c[many], sig[many]))]
-        sig, c = sig[many], c[many]
-        if not len(sig):
-            return pd.DataFrame({"group": [], "size": [], "c": []})
-        new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(new, len(sig)))
-        name = mix(np.add.reduceat(mix(c.view(np.uint64) ^ _SALTS[0]), new) + size.astype(np.uint64))
-        _, first = np.unique(name, return_index=True)
-        keep = np.zeros(len(new), bool)
-        keep[first] = True
-        each = np.repeat(keep, size)
-        return pd.DataFrame({"group": np.repeat(name.view(np.int64), size)[each], "size": np.repeat(size, size)[each], "c": c[each]})
-
-    dealt = classes.select("c", "signatures").mapInArrow(deal, "bucket long, sig binary, c binary")
-    return dealt.groupBy("bucket").applyInPandas(meet, "group long, size long, c long").distinct()
-
-
-def _forest(ids: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.ndarray, failed: list, t: Threshold) -> list[tuple[int, int]]:
-    """Pairs that span the graph of possible links of one group; members of one root are linked already."""
-    size = min(map(len, bits))
-    folded = []
-    for b in bits:
-        x = np.frombuffer(b, np.uint64)
-        while 8 * len(x) > size:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        folded.append(x)
-    x, out, left, queue = np.stack(folded), [], np.ones(len(ids), bool), []
-
-    def reach(found):
-        left[found] = False
-        queue.extend(found.tolist())
-        same = np.flatnonzero(left & np.isin(root, root[found]))
-        left[same] = False
-        queue.extend(same.tolist())
-
-    for start in range(len(ids)):
-        if left[start]:
-            reach(np.array([start]))
-        while queue:
-            i = queue.pop()
-            rest = np.flatnonzero(left)
-            if not len(rest):
-                break
-            small, large = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
-            rest = rest[small * 100 >= large * t.percent]
-            rest = rest[np.bitwise_count(x[rest] ^ x[i]).sum(1) <= t.differ(n[i], n[rest])] if len(rest) else rest
-            if failed[i] is not None and len(rest):
-                rest = rest[~np.isin(ids[rest], failed[i])]
-            if len(rest):
-                out.extend((int(ids[i]), int(ids[r])) for r in rest)
-                reach(rest)
-        queue.clear()
+        for batch in batches:
+            for held, found in zip(batch.column("held"), batch.column("found").to_pylist(), strict=True):
+                b = opened(held.as_buffer())
+                text, h = _sets(b, k)
+                n = np.bincount(text, minlength=b.num_rows)
+                s1, s2 = (_added(text, mix(h ^ s), b.num_rows) for s in _SALTS)
+                level = sketch.levels(h, found)
+                order = np.lexsort((h, level, text))
+                first = np.concatenate([[0], np.cumsum(n)])
+                place = np.arange(len(h)) - np.repeat(first[:-1], n)
+                sent = (place < np.repeat(t.prefix(n), n)) & (level[order] > 0)
+                alive = np.bincount(text[order][sent], minlength=b.num_rows) > 0
+                _, once = np.unique(np.stack([s1, s2]), axis=1, return_index=True)
+                alive &= np.isin(np.arange(b.num_rows), once)
+                sent &= alive[text]
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(text[order][sent], minlength=b.num_rows))])
+                lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x)) for x in (h[order][sent].view(np.int64), place[sent].astype(np.int32))]
+                tokens = [h[first[i] : first[i + 1]].tobytes() if alive[i] else None for i in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_key"), pa.array(n), pa.array(s1), pa.array(s2), pa.array(tokens, pa.binary()), *lists], names=[c.split()[0] for c in _DESCRIBED.split(", ")])
+
+    out = saved(sketch.counted(parts, keys).mapInArrow(run, _DESCRIBED), "described")
+    dropped(parts)
     return out
 
 
-def _candidates(members: DataFrame, t: Threshold, most_group: int) -> DataFrame:
-    """a, b: the forests of all groups. members: group, size, c, n, bits, root, failed."""
-    blocks = F.ceil(F.col("size") / most_group).cast("long")
-    block = F.pmod(F.xxhash64("c"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
-    dealt = members.withColumn("blocks", blocks).withColumn("block", block).withColumn("pair", F.explode(pairs)).drop("blocks", "block", "size")
-    sorted_ = dealt.repartition("group", "pair").sortWithinPartitions("group", "pair")
+def _close(t: Threshold, a: str, b: str) -> Column:
+    """Whether sizes, and places of a common shingle in both orders, leave room for the overlap."""
+    n, m, i, j = (F.col(f"{x}.{y}") for y in ("n", "place") for x in (a, b))
+    need = F.ceil(t.percent * (n + m) / F.lit(100 + t.percent) - 1e-9)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * t.percent) & (F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= need)
 
-    def run(frames):
-        def rows():
-            for f in frames:
-                yield from f[["group", "pair", "c", "n", "bits", "root", "failed"]].itertuples(index=False, name=None)
 
-        out = []
-        for _, found in groupby(rows(), key=lambda r: r[:2]):
-            found = list(found)
-            if len(found) > 1:
-                out += _forest(np.array([r[2] for r in found]), np.array([r[3] for r in found]), [r[4] for r in found], np.array([r[5] for r in found]), [r[6] for r in found], t)
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+def _first_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
+    """a, b, bundle: each class with the first member of a list that it shares most lists with."""
+    centre = lists.groupBy("token").agg(F.min_by(F.struct("c", "n", "place"), "c").alias("y"))
+    met = lists.select("token", F.struct("c", "n", "place").alias("x")).join(centre, "token")
+    met = met.where((F.col("x.c") != F.col("y.c")) & _close(t, "x", "y"))
+    often = met.groupBy(F.col("x.c").alias("b"), F.col("y.c").alias("a")).agg(F.count("*").alias("k"))
+    best = often.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
+    return best.select("a", "b", F.col("a").alias("bundle"))
 
-    return sorted_.mapInPandas(run, "a long, b long").distinct()
 
+def _next_pairs(mixed: DataFrame, most: int | None, t: Threshold) -> DataFrame:
+    """a, b, bundle: of lists with several components, members outside the largest with all of other components.
 
-def t_occurrence(lists: list[list[int]], least: int, reach) -> list[tuple[int, int]]:
+    At most `most` members of a list ask, one for each part of them by hash; all, if most is None.
+    """
+    part = F.lit(0) if most is None else F.pmod(F.xxhash64("c", F.lit(most)), F.lit(most))
+    other = mixed.where(F.col("label") != F.col("major")).withColumn("part", F.when(F.col("others") > (most or 0), part) if most else F.lit(None).cast("long"))
+    member = F.struct("c", "n", "place", "label")
+    few = other.where("part is null").select("token", "major", "others", member.alias("y"))
+    many = other.where("part is not null").groupBy("token", "major", "others", "part").agg(F.min_by(member, "c").alias("y")).drop("part")
+    asking = few.unionByName(many)
+    met = mixed.select("token", member.alias("x")).join(asking, "token").where((F.col("x.label") != F.col("y.label")) & _close(t, "x", "y"))
+    chunk = F.pmod(F.xxhash64("y.c"), F.ceil(F.col("others") / 256).cast("long"))
+    bundle = F.xxhash64("major", chunk)
+    pairs = met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), bundle.alias("bundle"), (F.col("x.c") < F.col("y.c")).alias("swap"))
+    once = pairs.groupBy("a", "b").agg(F.min(F.struct("bundle", "swap")).alias("s"))
+    turned = lambda x, y: F.when(F.col("s.swap"), F.col(y)).otherwise(F.col(x))
+    return once.select(turned("a", "b").alias("a"), turned("b", "a").alias("b"), F.col("s.bundle").alias("bundle"))
+
+
+def t_occurrence(lists: list[np.ndarray], least: int, reach) -> list[tuple[int, int]]:
     """(candidate, occurrences) of the candidates that occur in at least reach(candidate) of the sorted lists, all of which are at least `least`.
 
     DivideSkip: the longest lists are set aside; what occurs `least` times must occur in the others at least that less
-    their number, which a heap finds; then it is looked up in the long lists.
+    their number, which a heap finds; then it is looked up in the long lists by binary search, until it can't get there.
     """
-    lists = sorted((x for x in lists if x), key=len)
-    if not lists:
+    lists = sorted((x for x in lists if len(x)), key=len)
+    if len(lists) < least:
         return []
-    aside = min(len(lists), max(0, least - 1), int(least / (0.0085 * math.log2(len(lists[-1]) + 1) + 1)))
-    short, long_ = lists[: len(lists) - aside], [np.array(x) for x in lists[len(lists) - aside :]]
-    out = []
-    need = max(1, least - aside)
-    for c, same in groupby(heapq.merge(*short)):
-        n = sum(1 for _ in same)
-        if n >= need:
-            for x in long_:
-                i = int(np.searchsorted(x, c))
-                n += i < len(x) and int(x[i]) == c
-            if n >= reach(c):
-                out.append((c, n))
+    aside = min(least - 1, int(least / (0.0085 * math.log2(len(lists[-1]) + 1) + 1)))
+    short, long_ = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    need = least - aside
+    found = [(c, n) for c, n in ((c, sum(1 for _ in same)) for c, same in groupby(heapq.merge(*(x.tolist() for x in short)))) if n >= need]
+    if len(found) > 8:
+        c, n = (np.array(x) for x in zip(*found, strict=True))
+        goal = np.array([reach(x) for x in c.tolist()])
+        for left, x in zip(range(aside, 0, -1), long_, strict=True):
+            may = n + left >= goal
+            c, n, goal = c[may], n[may], goal[may]
+            at = np.minimum(np.searchsorted(x, c), len(x) - 1)
+            n = n + (x[at] == c)
+        return [(int(i), int(k)) for i, k, g in zip(c, n, goal, strict=True) if k >= g]
+    out, plain = [], [x.tolist() for x in long_]
+    for c, n in found:
+        goal, left = reach(c), aside
+        for x in plain:
+            if n + left < goal:
+                break
+            i = bisect_left(x, c)
+            n, left = n + (i < len(x) and x[i] == c), left - 1
+        if n >= goal:
+            out.append((c, n))
     return out
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: Threshold, k: int, most_star: int = 256) -> DataFrame:
-    """a, b, good: whether the documents of each pair are linked. Stars of over most_star candidates are dealt to several tasks."""
-    degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-    dealt = pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / most_star).cast("long")))
-    stars = dealt.select("a", "part", F.col("b").alias("c")).unionByName(dealt.select("a", "part", F.col("a").alias("c")).distinct())
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_key"), "text")
-    held = stars.join(classes.select("c", "doc_key"), "c").join(texts, "doc_key").select("a", "part", "c", "text")
+def _block_links(sets: list[np.ndarray], asked: list[list[int]], centres: dict[int, np.ndarray], t: Threshold):
+    """(centre, candidate, linked) of a block: sets and the centres that ask for each; inverted lists over the block."""
+    sizes = np.array([len(s) for s in sets])
+    token = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(token, kind="stable")
+    token, of = token[order], of[order]
+    wanted: dict[int, list[int]] = {}
+    for i, centre in enumerate(asked):
+        for a in centre:
+            wanted.setdefault(a, []).append(i)
+    for a, mine in wanted.items():
+        x = centres[a]
+        begin, end = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
+        lists = [of[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True) if e > b]
+        goal = t.overlap(len(x), sizes).tolist()
+        least = int(min(goal[i] for i in mine))
+        good = {i for i, _ in t_occurrence(lists, least, lambda i: max(least, goal[i]))}  # noqa: B023
+        yield from ((a, i, i in good) for i in mine)
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, t: Threshold, per_block: int = 400_000) -> DataFrame:
+    """a, b, good: whether the classes of each pair are linked. A bundle's candidates are dealt to blocks of about per_block shingles; each gets the centres it needs."""
+    size = classes.select(F.col("c").alias("b"), "n", F.col("tokens").alias("set"))
+    asked = pairs.groupBy("bundle", "b").agg(F.collect_list("a").alias("asked")).join(size.select("b", "n"), "b")
+    weight = asked.groupBy("bundle").agg(F.ceil(F.sum("n") / per_block).cast("long").alias("blocks"))
+    dealt = asked.join(weight, "bundle").select("bundle", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b", "asked")
+    centres = dealt.select("bundle", "block", F.explode("asked").alias("b")).distinct().withColumn("asked", F.lit(None).cast("array<long>"))
+    held = dealt.unionByName(centres).join(size.select("b", "set"), "b")
 
     def run(frames):
         def rows():
             for f in frames:
-                yield from f[["a", "part", "c", "text"]].itertuples(index=False, name=None)
+                yield from f[["bundle", "block", "b", "asked", "set"]].itertuples(index=False, name=None)
 
         out = []
-        for (a, _), star in groupby(rows(), key=lambda r: r[:2]):
-            sets = {}
-            for _, _, c, text in star:
-                _, h = shingle_sets(*text_bytes(pa.array([text], pa.large_string())), k)
-                if int(mix(h ^ _SALTS[0]).sum(dtype=np.uint64).view(np.int64)) == c:  # not another text of the same doc_id
-                    sets[c] = h
-            if a not in sets or len(sets) < 2:
-                continue
-            centre = sets.pop(a)
-            names, need = list(sets), [int(t.overlap(len(centre), len(h))) for h in sets.values()]
-            at = [np.searchsorted(centre, h) for h in sets.values()]
-            lists: list[list[int]] = [[] for _ in centre]
-            for i, (p, h) in enumerate(zip(at, sets.values(), strict=True)):
-                p = np.minimum(p, len(centre) - 1)
-                for j in p[centre[p] == h].tolist():
-                    lists[j].append(i)
-            good = {i for i, _ in t_occurrence(lists, min(need), need.__getitem__)}
-            out += [(a, c, i in good) for i, c in enumerate(names)]
+        for _, block in groupby(rows(), key=lambda r: r[:2]):
+            names, sets, asked, centres = [], [], [], {}
+            for _, _, b, ask, raw in block:
+                if ask is None:
+                    centres[b] = np.frombuffer(raw, np.uint64)
+                else:
+                    names.append(b)
+                    sets.append(np.frombuffer(raw, np.uint64))
+                    asked.append(list(ask))
+            out += [(a, names[i], good) for a, i, good in _block_links(sets, asked, centres, t)]
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["a", "b", "good"])
                 out = []
         if out:
             yield pd.DataFrame(out, columns=["a", "b", "good"])
 
-    return held.repartition("a", "part").sortWithinPartitions("a", "part").mapInPandas(run, "a long, b long, good boolean")
+    return held.repartition("bundle", "block").sortWithinPartitions("bundle", "block").mapInPandas(run, "a long, b long, good boolean")
+
 
+def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists with several components: label of each member, the largest component (major) and how many lie outside it (others)."""
+    named = lists.join(roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    held = named.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token")
+    kinds = held.agg(F.max_by("label", F.struct("k", "label")).alias("major"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
+    return named.join(kinds, "token")
 
-def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, most_group: int = 2048) -> DataFrame:
+
+def _links(lists: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
+    """node, root: the components of the links between classes."""
+    tried = saved(_compared(_first_pairs(lists, t), classes, t), "tried")
+    roots = components(tried.where("good").select("a", "b"))
+    for most in ROUNDS:
+        mixed = saved(_mixed(lists, roots), "mixed")
+        if mixed.isEmpty():
+            break
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = _next_pairs(mixed, most, t).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+        fresh = fresh.join(known.select(F.col("a").alias("low"), F.col("b").alias("high")), ["low", "high"], "left_anti").select("a", "b", "bundle")
+        found = saved(_compared(fresh, classes, t), "tried")
+        whole = most is None or mixed.agg(F.max("others")).first()[0] <= most  # every member outside has asked: nothing is left
+        dropped(mixed)
+        tried, good = tried.unionByName(found), found.where("good").select("a", "b")
+        if not good.isEmpty():
+            again = components(good.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            dropped(roots)
+            roots = again
+        if whole:
+            break
+    dropped(tried)
+    return roots
+
+
+def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each document."""
     t = Threshold(percent)
     described = _described(docs, t, k)
-    real = described.where("n > 0")
-    classes = real.groupBy("n", "s1", "s2").agg(F.min("doc_key").alias("doc_key"), F.first("signatures").alias("signatures"), F.first("bits").alias("bits")).withColumnRenamed("s1", "c")
-    brief = saved(real.groupBy("n", "s1", "s2").agg(F.min("doc_key").alias("doc_key")).select(F.col("s1").alias("c"), "n", "s2", "doc_key"), "classes")
-    total = real.agg(F.sum(F.size("signatures"))).first()[0] or 0
-    bits = real.select(F.col("s1").alias("c"), "n", "bits")
-    grouped = saved(_groups(classes, total), "groups")
-    members = grouped.join(bits.join(grouped.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"]), "c")
-    members = saved(members.select("group", "size", "c", "n", "bits"), "members")
-    dropped(grouped)
-    links, failed, now = None, None, members.select("*", F.col("c").alias("root"), F.lit(None).cast("array<long>").alias("failed"))
-    roots = None
-    while True:
-        tried = saved(_verified(_candidates(now, t, most_group), brief, docs, t, k), "tried")
-        good, bad = tried.where("good").select("a", "b"), tried.where("not good").select("a", "b")
-        if links is None or not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            roots = saved(components(links), "roots")
-        if bad.isEmpty():
-            break
-        both = bad.unionByName(bad.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        failed = both if failed is None else failed.unionByName(both)
-        again = members.join(members.join(both.select(F.col("a").alias("c")).distinct(), "c", "left_semi").select("group").distinct(), "group", "left_semi")
-        known = failed.groupBy(F.col("a").alias("c")).agg(F.collect_set("b").alias("failed"))
-        now = again.join(roots.withColumnRenamed("node", "c"), "c", "left").join(known, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    named = roots.join(brief.select(F.col("c").alias("node"), "doc_key"), "node")
-    least = named.groupBy("root").agg(F.min("doc_key").alias("component"))
-    linked = named.select("node", "root").distinct().join(least, "root").select(F.col("node").alias("s1"), "component")
-    own = brief.select(F.col("c").alias("s1"), "n", "s2", F.col("doc_key").alias("class_doc"))
-    found = described.select("doc_key", "n", "s1", "s2").join(own, ["n", "s1", "s2"], "left").join(linked, "s1", "left")
-    component = F.coalesce("component", "class_doc", "doc_key")
+    alive = described.where(F.col("tokens").isNotNull()).groupBy("n", "s1", "s2").agg(*(F.first(x).alias(x) for x in ("tokens", "prefix", "places")))
+    classes = saved(alive.withColumn("c", F.monotonically_increasing_id()), "classes")
+    each = classes.select("c", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("c", "n", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
+    shared = each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    lists = saved(each.join(shared, "token"), "lists")
+    roots = _links(lists, classes, t)
+    dropped(lists)
+    own = described.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_key").alias("least"))
+    named = classes.select("n", "s1", "s2", "c").join(roots.select(F.col("node").alias("c"), "root"), "c").join(own, ["n", "s1", "s2"])
+    of_root = named.groupBy("root").agg(F.min("least").alias("component"))
+    linked = named.join(of_root, "root").select("n", "s1", "s2", "component")
+    found = described.select("doc_key", "n", "s1", "s2").join(own, ["n", "s1", "s2"], "left").join(linked, ["n", "s1", "s2"], "left")
     real_id = lambda c: F.when(c != _NONE, c)
-    return found.select(real_id(F.col("doc_key")).alias("doc_id"), F.col("n").alias("n_shingles"), real_id(component).alias("component_id"))
+    return found.select(real_id(F.col("doc_key")).alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.coalesce("component", "least", "doc_key")).alias("component_id"))

@@ -1,15 +1,16 @@
 """Substring deduplication: every word in a window of words that occurred before is removed.
 
-Pass 1 sketches how often each window (a hash of its words) occurs: tasks count the windows of their documents in a
-count-min sketch, the parts are added up, and a bit a cell says whether a window may occur twice. Pass 2 keeps the windows
-that may, the first of each in a slice of documents only (the rest of that slice are known repeats at once, so a passage
-that a third of all documents hold is sent once a slice); they are grouped exactly, by 96 bits of hash, and all but the
-earliest (doc_id, start) are repeats. Repeats go back to their documents, where a last pass cuts the words they cover.
-The sketch only ever overestimates, so it loses no repeat; where it is too small it lets more through to be grouped.
+Pass 1 counts each window (a hash of its words) in a spread count-min sketch (_sketch): the partial sketches of slices of
+the documents are merged by block, and each slice learns which of its windows may occur twice. Pass 2 sends those alone,
+the first of each in its slice only (the rest of that slice are known repeats at once, so a passage that a third of all
+documents hold is sent once a slice); they are grouped exactly, by 96 bits of hash, and all but the earliest
+(doc_id, start) are repeats. Repeats go back to their slice, where a last pass cuts the words they cover. The sketch only
+ever overestimates, so it loses no repeat; its cells grow with the words, so it filters alike at every size.
 
 Words are runs of anything but ASCII white space. Null and empty texts have none. A null doc_id sorts before all others.
-Rows that share a doc_id and text are one document in two rows: their windows start at the same place, so neither repeats
-the other. Two hashes of windows of different words agree with a chance of about n**2 / 2**97 for n windows.
+Rows that share a doc_id and a start are one place: a repeated row does not repeat itself. An empty table gives an empty
+one. Texts of any length are whole: one of more than a slice's bytes is a slice of its own. Two hashes of windows of
+different words agree with a chance of about n**2 / 2**97 for n windows.
 """
 
 from __future__ import annotations
@@ -21,94 +22,85 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _sketch
-from ._common import saved, slices, text_bytes
+from ._common import saved, slices, text_bytes, without
+from ._sketch import Sketch, opened, sliced
 from ._words import NOT_SPACE, long_run_hash, words
 
 _NONE = -(1 << 63)
-_PART = "bucket long, kind long, n long, h1 binary, h2 binary, place binary"
+_PART = "bucket long, slice long, n long, h1 binary, h2 binary, place binary"
+ADDED = ["n_words", "n_removed", "kept_text", "kept_sha256"]
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
-
-
-def _places(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> bytes:
-    """Sorted by document: the documents, how many places each has, and the places."""
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(new, len(doc))).astype(np.uint32)
-    return np.int64(len(new)).tobytes() + _packed(np.diff(doc[new].astype(np.int64), prepend=0), text[new].astype(np.int32), counts, start.astype(np.uint32))
+def _places(doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> bytes:
+    """Sorted by row: the rows of a slice, their documents, how many places each has, and the places."""
+    new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(new, len(row))).astype(np.uint32)
+    parts = (np.diff(doc[new].astype(np.int64), prepend=0), row[new].astype(np.int32), counts, start.astype(np.uint32))
+    return np.int64(len(new)).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
 
 
 def _placed(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, data = int(np.frombuffer(raw, np.int64, 1)[0]), zstandard.ZstdDecompressor().decompress(raw[8:])
-    doc, text = np.cumsum(np.frombuffer(data, np.int64, n)), np.frombuffer(data, np.int32, n, 8 * n)
+    doc, row = np.cumsum(np.frombuffer(data, np.int64, n)), np.frombuffer(data, np.int32, n, 8 * n)
     counts = np.frombuffer(data, np.uint32, n, 12 * n)
-    return np.repeat(doc, counts), np.repeat(text, counts), np.frombuffer(data, np.uint32, -1, 16 * n).astype(np.int64)
-
-
-def _joined(blobs) -> list[np.ndarray]:
-    found = [_placed(b) for b in blobs]
-    return [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """text, with doc_id and a hash of the text that together name it."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_key"), F.hash("text").alias("text_key"), "text")
-
-
-def repeats(docs: DataFrame, window: int, per_key: float = 2.0, most_cells: int = 1 << 30, per_bucket: int = 2_000_000) -> DataFrame:
-    """doc_key, text_key and starts (32-bit numbers, ascending) of the windows of each document that start earlier elsewhere."""
-    keyed = _keyed(docs)
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expected = size // 6  # words of English and its neighbours; only the sketch's size hangs on it
-
-    def keys(batches):
-        for b in slices(batches):
-            w = words(*text_bytes(b.column("text")), NOT_SPACE, False)
-            yield long_run_hash(w.hash, w.places(window), window, 0)
-
-    shared = _sketch.sketch(keyed.select("text"), keys, expected, per_key, most=most_cells)
-    buckets = max(12, expected // 3 // per_bucket)
-    homes = max(12, size // 64_000_000)
+    return np.repeat(doc, counts), np.repeat(row, counts), np.frombuffer(data, np.uint32, -1, 16 * n).astype(np.int64)
+
+
+def _windows(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
+    """(h1, h2, row, start) of the windows of a slice, a part of its texts at a time."""
+    found, base = [], 0
+    for b in slices(iter([batch]), most=2_000_000):
+        w = words(*text_bytes(b.column("text")), NOT_SPACE, False)
+        at = w.places(window)
+        row = w.text_of()[at]
+        h2 = (long_run_hash(w.hash, at, window, 1) >> np.uint64(32)).astype(np.uint32)
+        found.append((long_run_hash(w.hash, at, window, 0), h2, base + row, at - w.first[row]))
+        base += b.num_rows
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucket: int = 1_000_000) -> DataFrame:
+    """slice, late: for each slice the places of windows that start earlier elsewhere, in pieces of _places."""
+    expected = size // 6  # a word for 6 bytes: only the cells and buckets hang on it
+    sketch, buckets = Sketch(expected, per_key, 2), max(12, expected // 3 // per_bucket)
+
+    def keys(b):
+        return _windows(b, window)[0]
+
+    def sent(number: int, batch: pa.RecordBatch, found) -> list[tuple]:
+        h1, h2, row, start = _windows(batch, window)
+        keep = sketch.levels(h1, found) > 0
+        h1, h2, row, start = h1[keep], h2[keep], row[keep], start[keep]
+        doc = batch.column("__doc_key").to_numpy()[row]
+        order = np.lexsort((start, doc, h2, h1))
+        same = np.zeros(len(order), bool)
+        same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
+        late = np.zeros(len(order), bool)
+        late[order] = (doc[order] != doc[first]) | (start[order] != start[first])
+        out, known = [], np.flatnonzero(late)
+        if len(known):
+            out.append((number % buckets, number, 0, b"", b"", _places(doc[known], row[known], start[known])))
+        chosen = np.flatnonzero(~late)
+        to = (h1[chosen] >> np.uint64(20)) % np.uint64(buckets)
+        by = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[by], np.arange(buckets + 1, dtype=to.dtype))
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            c = chosen[by[cuts[k] : cuts[k + 1]]]
+            out.append((int(k), number, len(c), h1[c].tobytes(), h2[c].tobytes(), _places(doc[c], row[c], start[c])))
+        return out
 
     def find(batches):
-        filter_ = _sketch.opened(shared)
-        for b in slices(batches, most=4_000_000):
-            b = b.take(pa.array(np.argsort(b.column("doc_key").to_numpy(), kind="stable")))
-            docs_, texts = b.column("doc_key").to_numpy(), b.column("text_key").to_numpy()
-            w = words(*text_bytes(b.column("text")), NOT_SPACE, False)
-            at = w.places(window)
-            h1 = long_run_hash(w.hash, at, window, 0)
-            keep = filter_.may(h1)
-            if not keep.any():
-                continue
-            h2 = (long_run_hash(w.hash, at, window, 1)[keep] >> np.uint64(32)).astype(np.uint32)
-            at, h1 = at[keep], h1[keep]
-            d = w.text_of()[at]
-            start = at - w.first[d]
-            order = np.lexsort((h2, h1))  # stable: documents and starts stay in order
-            same = np.zeros(len(order), bool)
-            same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            first = order[head]
-            twin = (docs_[d[order]] == docs_[d[first]]) & (start[order] == start[first])  # the same place in a row that repeats it
-            known = np.zeros(len(order), bool)
-            known[order] = same & ~twin
-            rows = []
-            for kind, chosen, key, n in ((0, np.flatnonzero(~known), h1, buckets), (1, np.flatnonzero(known), None, homes)):
-                to = (h1[chosen] >> np.uint64(20)) % np.uint64(n) if kind == 0 else _home(docs_[d[chosen]], n)
-                by = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[by], np.arange(n + 1, dtype=to.dtype))
-                for k in range(n):
-                    c = chosen[by[cuts[k] : cuts[k + 1]]]
-                    if len(c):
-                        rows.append((k if kind == 0 else k % buckets, kind, len(c), h1[c].tobytes() if kind == 0 else b"", h2[c].tobytes() if kind == 0 else b"", _places(docs_[d[c]], texts[d[c]], start[c])))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in _PART.split(", ")]), preserve_index=False)
+        for batch in batches:
+            for number, held, found in zip(batch.column("slice").to_pylist(), batch.column("held"), batch.column("found").to_pylist(), strict=True):
+                rows = sent(number, opened(held.as_buffer()), found)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in _PART.split(", ")]), preserve_index=False)
 
     def group(frame):
-        mine = frame[frame["kind"] == 0]
-        doc, text, start = _joined(mine["place"])
+        known, mine = frame[frame["n"] == 0], frame[frame["n"] > 0]
+        placed = [_placed(p) for p in mine["place"]]
+        doc, row, start = (np.concatenate([p[i] for p in placed] or [np.zeros(0, np.int64)]) for i in range(3))
+        of = np.repeat(np.arange(len(mine)), mine["n"])
         h1 = np.concatenate([np.frombuffer(x, np.uint64) for x in mine["h1"]] or [np.zeros(0, np.uint64)])
         h2 = np.concatenate([np.frombuffer(x, np.uint32) for x in mine["h2"]] or [np.zeros(0, np.uint32)])
         order = np.argsort(h1)
@@ -119,67 +111,63 @@ def repeats(docs: DataFrame, window: int, per_key: float = 2.0, most_cells: int
         same = np.zeros(len(order), bool)
         same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
         first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
-        late = order[(doc[order] != doc[first]) | (start[order] != start[first])]
-        more = _joined(frame.loc[frame["kind"] == 1, "place"])
-        doc, text, start = np.concatenate([doc[late], more[0]]), np.concatenate([text[late], more[1]]), np.concatenate([start[late], more[2]])
-        home = _home(doc, homes)
-        order = np.lexsort((start, text, doc, home))
-        cuts = np.searchsorted(home[order], np.arange(homes + 1, dtype=home.dtype))
-        out = [(h, _places(doc[o], text[o], start[o])) for h in range(homes) if len(o := order[cuts[h] : cuts[h + 1]])]
-        return pd.DataFrame(out, columns=["home", "place"])
-
-    def gather(frame):
-        doc, text, start = _joined(frame["place"])
-        order = np.lexsort((start, text, doc))
-        doc, text, start = doc[order], text[order], start[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
-        return pd.DataFrame({"doc_key": doc[new], "text_key": text[new], "starts": [s.astype(np.uint32).tobytes() for s in np.split(start, new[1:])] if len(new) else []})
-
-    parts = keyed.mapInArrow(find, _PART)
-    late = parts.groupBy("bucket").applyInPandas(group, "home int, place binary")
-    return saved(late.groupBy("home").applyInPandas(gather, "doc_key long, text_key int, starts binary"), "repeats")
-
-
-def _home(doc: np.ndarray, n: int) -> np.ndarray:
-    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(n)
-
-
-def substring_dedup(docs: DataFrame, window: int = 20, per_key: float = 2.0, most_cells: int = 1 << 30) -> DataFrame:
-    """docs with n_words, n_removed, kept_text (the text without the removed words and the white space after each; the text itself if none) and kept_sha256 (of the kept words joined by one space)."""
-    found = repeats(docs, window, per_key, most_cells)
+        late = np.sort(order[(doc[order] != doc[first]) | (start[order] != start[first])])
+        cuts = np.searchsorted(of[late], np.arange(len(mine) + 1))
+        numbers = mine["slice"].to_numpy()
+        out = [(numbers[i], _places(doc[o], row[o], start[o])) for i in range(len(mine)) if len(o := late[cuts[i] : cuts[i + 1]])]
+        return pd.DataFrame(out + list(zip(known["slice"], known["place"], strict=True)), columns=["slice", "place"])
+
+    found = sketch.counted(parts, keys).mapInArrow(find, _PART)
+    late = found.groupBy("bucket").applyInPandas(group, "slice long, place binary")
+    return late.groupBy("slice").agg(F.collect_list("place").alias("late"))
+
+
+def _cut(raw: bytes, starts: np.ndarray, window: int) -> tuple[int, list[bytes], bytes]:
+    """(words, kept words, the text without the others and the white space after each)."""
+    array = np.frombuffer(raw, np.uint8)
+    w = words(array, np.array([0, len(array)]), NOT_SPACE, False)
+    gone = np.zeros(len(w.start) + 1, np.int64)
+    np.add.at(gone, starts, 1)
+    np.add.at(gone, starts + window, -1)
+    kept = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
+    until = np.append(w.start[1:], len(array))
+    text = raw[: w.start[0]] + b"".join([raw[s:e] for s, e in zip(w.start[kept].tolist(), until[kept].tolist(), strict=True)])
+    return len(w.start), [raw[s:e] for s, e in zip(w.start[kept].tolist(), w.end[kept].tolist(), strict=True)], text
+
+
+def substring_dedup(docs: DataFrame, window: int = 20, per_key: float = 4.0) -> DataFrame:
+    """docs with n_words, n_removed, kept_text (the text without the removed words and the white space after each; the text itself if none) and kept_sha256 (of the kept words joined by one space). Columns of docs with these names are replaced."""
+    docs = without(docs, ADDED)
     names = docs.columns
-    keyed = docs.withColumns({"__doc_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)), "__text_key": F.hash("text")})
-    marks = found.select(F.col("doc_key").alias("__doc_key"), F.col("text_key").alias("__text_key"), "starts")
-    both = keyed.join(marks.withColumnRenamed("starts", "__starts"), ["__doc_key", "__text_key"], "left").select(*names, "__starts")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = sliced(docs.withColumn("__doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))), "slices")
+    both = parts.join(_repeats(parts, size, window, per_key), "slice", "left")
 
     def cut(batches):
         from hashlib import sha256
 
-        for b in slices(batches):
-            n, removed, kept, digests = [], [], [], []
-            for text, starts in zip(b.column("text").to_pylist(), b.column("__starts").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                if starts is None:
-                    parts = raw.split()
-                    n.append(len(parts))
-                    removed.append(0)
+        for batch in batches:
+            for held, late in zip(batch.column("held"), batch.column("late").to_pylist(), strict=True):
+                b, marks = opened(held.as_buffer()), {}
+                for place in late or ():
+                    _, row, start = _placed(place)
+                    new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    for r, s in zip(row[new].tolist(), np.split(start, new[1:]), strict=True):
+                        marks.setdefault(r, []).append(s)
+                n, removed, kept, digests = [], [], [], []
+                for i, text in enumerate(b.column("text").to_pylist()):
+                    raw = (text or "").encode()
+                    if i in marks:
+                        total, parts_, now = _cut(raw, np.concatenate(marks[i]), window)
+                        text = now.decode()
+                    else:
+                        parts_ = raw.split()
+                        total = len(parts_)
+                    n.append(total)
+                    removed.append(total - len(parts_))
                     kept.append(text)
-                    digests.append(sha256(b" ".join(parts)).hexdigest())
-                    continue
-                array = np.frombuffer(raw, np.uint8)
-                w = words(array, np.array([0, len(array)]), NOT_SPACE, False)
-                at = np.frombuffer(starts, np.uint32).astype(np.int64)
-                gone = np.zeros(len(w.start) + 1, np.int64)
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + window, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                until = np.append(w.start[1:], len(array))
-                parts = [raw[s:e] for s, e in zip(w.start[~gone], w.end[~gone], strict=True)]
-                n.append(len(gone))
-                removed.append(int(gone.sum()))
-                kept.append((raw[: w.start[0]] + b"".join([raw[s:e] for s, e in zip(w.start[~gone], until[~gone], strict=True)])).decode())
-                digests.append(sha256(b" ".join(parts)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())], names=[*names, "n_words", "n_removed", "kept_text", "kept_sha256"])
+                    digests.append(sha256(b" ".join(parts_)).hexdigest())
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())], names=[*names, *ADDED])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return both.mapInArrow(cut, schema + ", n_words long, n_removed long, kept_text string, kept_sha256 string")
