@@ -94,7 +94,8 @@ def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucke
         for batch in batches:
             for number, held, found in zip(batch.column("slice").to_pylist(), batch.column("held"), batch.column("found").to_pylist(), strict=True):
                 rows = sent(number, opened(held.as_buffer()), found)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in _PART.split(", ")]), preserve_index=False)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=[c.split()[0] for c in _PART.split(", ")])
 
     def group(frame):
         known, mine = frame[frame["n"] == 0], frame[frame["n"] > 0]
