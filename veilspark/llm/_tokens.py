@@ -1,4 +1,4 @@
-"""Token ids of whole texts with the tokenizers library, encoding each distinct stretch between spaces once in a while."""
+"""Token ids of whole texts with the tokenizers library, encoding each distinct word once in a while."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ import numpy as np
 
 #: Between two characters that are not white space, a space always starts a new pre-token.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-#: White space other than space and newline.
-_ODD = re.compile(r"[^\S \n]")
+#: Texts whose white space is more than single spaces and one or two new lines between words: these are cut by _SAFE alone.
+_ODD = re.compile(r"[^\S \n]|  | \n|\n |\n\n\n|^ |\s$")
 #: Punctuation that ends most words; no apostrophe, which may begin a pre-token of letters.
 _MARKS = ".,!?;:$#%&*()-"
 #: The characters that byte-level vocabularies write for the 256 bytes (printable ones stand for themselves).
@@ -21,41 +21,50 @@ _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 1
 _LEVEL = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 
 
+class _Known(dict):
+    """Ids of stretches; a new one is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        super().__init__({"": b""})
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.encode(part)
+        return ids
+
+
 class Encoder:
     """ids(text) as uint16 or uint32 bytes. `spaces_matter`: False if the tokenizer drops white space.
 
-    Pre-tokens never reach over a cut made here, so the ids of a text are those of its stretches put together.
-    At most `keep` stretches and twice as many pre-tokens are remembered. A new stretch goes through the tokenizer's own
-    normaliser, pre-tokenizer and model. Most are one word and perhaps some marks in Latin letters, whose pre-tokens are
-    plain: these skip the first two, which take most of the time.
+    Strings of special tokens in a text get their ids, as the library gives them by default; with ordinary=True they are
+    ordinary text. Pre-tokens never reach over a cut made here, so the ids of a text are those of its stretches put
+    together. About `keep` stretches of each kind are remembered. A new one goes through the tokenizer's own normaliser,
+    pre-tokenizer and model. Most are one word and perhaps some marks in Latin letters, whose pre-tokens are plain: these
+    skip the first two, which take most of the time.
     """
 
-    def __init__(self, path: str, spaces_matter: bool, keep: int = 500_000):
+    def __init__(self, path: str, spaces_matter: bool, ordinary: bool = False, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (ordinary and t.special)]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.code = "H" if self.dtype is np.uint16 else "I"
         self.normalizer, self.pre_tokenizer, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.spaces_matter, self.keep, self.known, self.pieces = spaces_matter, keep, {"": b""}, {}
-
-    def _parts(self, text: str) -> list[str]:
-        if not self.spaces_matter:
-            return text.replace("\n", " ").split(" ")
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD.search(text):
-            return _SAFE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + p for p in rest)]
+        self.spaces_matter, self.keep, self.pieces = spaces_matter, keep, {}
+        self.plain, self.spaced = _Known(self._fresh), _Known(lambda word: self._fresh(" " + word))
+        self.line = self._fresh("\n") if spaces_matter else b""
 
     def _pre_tokens(self, part: str) -> list[str]:
         word = part.rstrip(_MARKS)
         letters = word[1:] if word[:1] == " " else word
-        if letters.isalpha() and max(letters) < "\u0100":
+        if letters.isalpha() and max(letters) < "Ā":
             if not self.spaces_matter:
                 word = letters.lower()
-            word = word.replace(" ", "\u0120") if word.isascii() else "".join([_LEVEL[b] for b in word.encode()])
+            word = word.replace(" ", "Ġ") if word.isascii() else "".join([_LEVEL[b] for b in word.encode()])
             marks = part[len(part.rstrip(_MARKS)) :]
             return [word, marks] if marks else [word]
         if self.normalizer is not None:
@@ -73,25 +82,37 @@ class Encoder:
             out.append(ids)
         return b"".join(out)
 
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return b"".join([self.plain[first], *map(self.spaced.__getitem__, rest)])
+
+    def _ids(self, text: str) -> bytes:
+        if self.special is not None and self.special.search(text):
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if not self.spaces_matter:
+            return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
+        if _ODD.search(text):
+            return b"".join(map(self.plain.__getitem__, _SAFE.split(text)))
+        return self.line.join(map(self._line, text.split("\n")))
+
     def ids(self, texts: Iterable[str]) -> list[bytes]:
-        split = [self._parts(t) for t in texts]
-        new = {p for parts in split for p in parts if p not in self.known}
-        if len(self.known) + len(new) > self.keep:
-            self.known = {"": b""}
-            new = {p for parts in split for p in parts if p}
+        for known in (self.plain, self.spaced):
+            if len(known) > self.keep:
+                known.clear()
+                known[""] = b""
         gc.disable()  # nothing made here is cyclic, and it is much
-        for p in new:
-            self.known[p] = self._fresh(p)
-        gc.enable()
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        try:
+            return [self._ids(t) for t in texts]
+        finally:
+            gc.enable()
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaces_matter: bool) -> Encoder:
+def encoder(path: str, spaces_matter: bool, ordinary: bool = False) -> Encoder:
     """One for each Python worker, kept from task to task."""
-    if (path, spaces_matter) not in _encoders:
-        _encoders[path, spaces_matter] = Encoder(path, spaces_matter)
-    return _encoders[path, spaces_matter]
+    key = (path, spaces_matter, ordinary)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

@@ -23,7 +23,6 @@ from collections import deque
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -35,25 +34,26 @@ from ._tokens import encoder
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CHUNKS = "doc_id long, no_id boolean, source string, no_source boolean, row long, doc_tokens long, start long, length long, ids binary"
 _PACKED = PIECES.replace("source string", "no_id boolean, source string, no_source boolean")
+_PACKED_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
 _QUEUE = ["no_source", "source"]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, spaces_matter: bool = True, chunk: int = 16_384) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int, spaces_matter: bool = True, chunk: int = 16_384, ordinary: bool = False) -> DataFrame:
     """A row for each `chunk` ids of a document, compressed: so that the longest document is many rows."""
 
     def run(batches):
-        enc, squeeze = encoder(path, spaces_matter), zstandard.ZstdCompressor(level=1)
+        enc, squeeze = encoder(path, spaces_matter, ordinary), zstandard.ZstdCompressor(level=1)
+        end, width = enc.dtype(end_id).tobytes(), np.dtype(enc.dtype).itemsize
         for b in slices(batches):
-            out = {k: [] for k in ("at", "doc_tokens", "start", "length", "ids")}
+            out = []
             for i, ids in enumerate(enc.ids(t or "" for t in b.column("text").to_pylist())):
-                ids = np.append(np.frombuffer(ids, enc.dtype), enc.dtype(end_id)).astype(enc.dtype)
-                for s in range(0, len(ids), chunk):
-                    part = ids[s : s + chunk]
-                    for k, v in zip(out, (i, len(ids), s, len(part), squeeze.compress(part.tobytes())), strict=True):
-                        out[k].append(v)
-            at = pa.array(out.pop("at"), pa.int64())
-            kept = [b.column(k).take(at) for k in ("doc_id", "no_id", "source", "no_source", "row")]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[k], pa.int64()) for k in ("doc_tokens", "start", "length")), pa.array(out["ids"], pa.binary())], names=["doc_id", "no_id", "source", "no_source", "row", "doc_tokens", "start", "length", "ids"])
+                ids += end
+                for s in range(0, len(ids), width * chunk):
+                    part = ids[s : s + width * chunk]
+                    out.append((i, len(ids) // width, s // width, len(part) // width, squeeze.compress(part)))
+            at, *numbers, parts = zip(*out, strict=True)
+            kept = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in ("doc_id", "no_id", "source", "no_source", "row")), *(pa.array(x, pa.int64()) for x in numbers), pa.array(parts, pa.binary())], names=["doc_id", "no_id", "source", "no_source", "row", "doc_tokens", "start", "length", "ids"])
 
     columns = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), F.monotonically_increasing_id().alias("row"), "text")
     return saved(columns.mapInArrow(run, _CHUNKS), "encoded")
@@ -108,26 +108,30 @@ def _queue_places(chunks: DataFrame, blocks: int) -> DataFrame:
     return own.join(base, [*_QUEUE, "block"]).select("row", (F.col("base") + F.col("own")).alias("place"), "held")
 
 
-def _fill(queues: dict[str | None, deque], owed: dict[str | None, Fraction], first_id: int, window: int, least: int):
-    """Deficit round-robin over one partition. queues: (doc_id, no_id, doc_tokens, start, ids) to serve; owed: deficits to begin with."""
-    held = {s: sum(len(x[-1]) for x in q) for s, q in queues.items()}
+def _fill(queues: dict[str | None, deque], owed: dict[str | None, Fraction], first_id: int, window: int, least: int) -> list[tuple]:
+    """Deficit round-robin over one partition. queues: [document, place in it, ids as little-endian 32-bit bytes] to serve; owed: deficits to begin with.
+
+    (document, start, length, crc32, sequence, offset) of each piece; a piece is cut from a row of a queue, never over two.
+    """
+    held = {s: sum(len(x[2]) for x in q) // 4 for s, q in queues.items()}
     left = sum(held.values())
     quantum = {s: window * n / left for s, n in held.items() if n} if left else {}
     deficit = {s: float(owed[s]) for s in quantum}
-    turn, sequence, filled = deque(sorted(quantum, key=lambda s: (s is not None, s or ""))), first_id, 0
+    turn, sequence, filled, out = deque(sorted(quantum, key=lambda s: (s is not None, s or ""))), first_id, 0, []
     while left:
         s = turn[0]
         q = queues[s]
         deficit[s] += quantum[s]
         give = min(int(deficit[s]), held[s]) if len(turn) > 1 else held[s]
         while give >= min(least, held[s]) and give:
-            n = min(give, window - filled, len(q[0][-1]))
-            doc_id, no_id, doc_tokens, start, ids = q[0]
-            yield doc_id, no_id, s or "", s is None, start, n, zlib.crc32(ids[:n].astype("<u4").tobytes()), doc_tokens, sequence, filled
-            if n == len(ids):
+            row = q[0]
+            doc, start, ids = row
+            n = min(give, window - filled, len(ids) // 4)
+            out.append((doc, start, n, zlib.crc32(ids[: 4 * n]), sequence, filled))
+            if 4 * n == len(ids):
                 q.popleft()
             else:
-                q[0] = (doc_id, no_id, doc_tokens, start + n, ids[n:])
+                row[1], row[2] = start + n, ids[4 * n :]
             filled, give, left = filled + n, give - n, left - n
             held[s] -= n
             deficit[s] -= n
@@ -142,16 +146,17 @@ def _fill(queues: dict[str | None, deque], owed: dict[str | None, Fraction], fir
         deficit[s] -= quantum[s] if held[s] else 0  # it keeps its turn and has had its quantum
         if not held[s]:
             turn.popleft()
+    return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, least: int = 64, per_task: int = 4_000_000, weights: dict[str | None, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, least: int = 128, per_task: int = 4_000_000, weights: dict[str | None, float] | None = None, ordinary: bool = False) -> DataFrame:
     """Pieces of the documents' ids (each followed by end_id) in sequences of at most `window` tokens; columns PIECES.
 
     Every source is one queue, however many there are: without weights a queue's progress follows from what it holds, which
     its chunks carry. weights must name every source (None for null). sequence_id rises with the order of packing and has
-    gaps between partitions.
+    gaps between partitions. ordinary: strings of special tokens in a text are ordinary text.
     """
-    chunks = encoded(docs, path, end_id)
+    chunks = encoded(docs, path, end_id, ordinary=ordinary)
     spark = docs.sparkSession
     sums = chunks.where("start = 0").groupBy(*_QUEUE).agg(F.sum("doc_tokens").alias("n"))
     count, total = sums.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -174,38 +179,51 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, least:
     def owes(source: str | None, held: int, p: int) -> Fraction:
         return mix.exact(source, p * size) - mix.served(source, p * size) if mix else Fraction(p * size * held % total, total)
 
-    def deal(frames):
+    taken = ["source", "no_source", "held", "doc_id", "no_id", "doc_tokens"]
+
+    def deal(batches):
         """Each chunk to the partition, or partitions, that its place in the queue belongs to."""
-        for f in frames:
-            rows = []
-            for x in f.itertuples(index=False):
-                source, held = None if x.no_source else x.source, int(x.held)
-                p = bisect_right(range(1, tasks), x.place, key=lambda k: bound(source, held, k))  # noqa: B023
+        for b in batches:
+            at, out = [], []
+            columns = (b.column(k).to_pylist() for k in ("source", "no_source", "held", "place", "start", "length"))
+            for i, (source, none, held, place, start, length) in enumerate(zip(*columns, strict=True)):
+                source, end = None if none else source, place + length
+                p = bisect_right(range(1, tasks), place, key=lambda k: bound(source, held, k))  # noqa: B023
                 while p < tasks:
-                    low, high = max(x.place, bound(source, held, p)), min(x.place + x.length, bound(source, held, p + 1))
+                    low, high = max(place, bound(source, held, p)), min(end, bound(source, held, p + 1))
                     if low < high:
-                        rows.append((p, x.source, x.no_source, held, low, x.doc_id, x.no_id, x.doc_tokens, x.start + low - x.place, low - x.place, high - low, x.ids))
-                    if high >= x.place + x.length:
+                        at.append(i)
+                        out.append((p, low, start + low - place, low - place, high - low))
+                    if high >= end:
                         break
                     p += 1
-            yield pd.DataFrame(rows, columns=["p", "source", "no_source", "held", "place", "doc_id", "no_id", "doc_tokens", "start", "skip", "length", "ids"])
-
-    def fill(key, f):
-        p, queues, owed, unpack = int(key[0]), {}, {}, zstandard.ZstdDecompressor()
-        f = f.sort_values("place")
-        for x in f.itertuples(index=False):
-            ids = np.frombuffer(unpack.decompress(x.ids), kind)
-            source = None if x.no_source else x.source
+            if not out:
+                continue
+            p, place, start, skip, length = (pa.array(x, pa.int64()) for x in zip(*out, strict=True))
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([p, place, start, skip, length, *(rows.column(k) for k in (*taken, "ids"))], names=["p", "place", "start", "skip", "length", *taken, "ids"])
+
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        p, queues, owed, unpack = table.column("p")[0].as_py(), {}, {}, zstandard.ZstdDecompressor()
+        columns = (table.column(k).to_pylist() for k in ("source", "no_source", "held", "start", "skip", "length"))
+        for i, (source, none, held, start, skip, length, ids) in enumerate(zip(*columns, table.column("ids"), strict=True)):
+            source = None if none else source
             if source not in queues:
-                queues[source], owed[source] = deque(), owes(source, int(x.held), p)
-            queues[source].append((x.doc_id, x.no_id, x.doc_tokens, x.start, ids[x.skip : x.skip + x.length]))
-        return pd.DataFrame(_fill(queues, owed, p * stride, window, least), columns=[c.split()[0] for c in _PACKED.split(", ")])
+                queues[source], owed[source] = deque(), owes(source, held, p)
+            raw = np.frombuffer(unpack.decompress(ids.as_buffer()), kind)[skip : skip + length].astype("<u4")
+            queues[source].append([i, start, memoryview(raw.view(np.uint8))])
+        doc, *rest = zip(*_fill(queues, owed, p * stride, window, least), strict=True)
+        own = table.select(["doc_id", "no_id", "source", "no_source", "doc_tokens"]).take(pa.array(doc, pa.int64()))
+        start, length, crc, sequence, offset = (pa.array(x, pa.int64()) for x in rest)
+        own = dict(zip(own.column_names, own.columns, strict=True)) | {"start": start, "length": length, "ids_crc32": crc, "sequence_id": sequence, "offset": offset}
+        return pa.table({c: own[c] for c in _PACKED_NAMES})
 
     kind = np.uint16 if _vocabulary(path) <= 1 << 16 else np.uint32
     blocks = max(1, total // per_task)
-    placed = chunks.join(_queue_places(chunks, blocks), "row").select(*_QUEUE, "held", "doc_id", "no_id", "doc_tokens", "start", "length", "ids", (F.col("place") + F.col("start")).alias("place"))
-    dealt = placed.mapInPandas(deal, "p int, source string, no_source boolean, held long, place long, doc_id long, no_id boolean, doc_tokens long, start long, skip long, length long, ids binary")
-    packed = dealt.groupBy("p").applyInPandas(fill, _PACKED)
+    placed = chunks.join(_queue_places(chunks, blocks), "row").select(*taken, "start", "length", "ids", (F.col("place") + F.col("start")).alias("place"))
+    dealt = placed.mapInArrow(deal, "p long, place long, start long, skip long, length long, source string, no_source boolean, held long, doc_id long, no_id boolean, doc_tokens long, ids binary")
+    packed = dealt.groupBy("p").applyInArrow(fill, _PACKED)
     named = packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).withColumn("source", F.when(~F.col("no_source"), F.col("source")))
     return named.drop("no_id", "no_source")
 
