@@ -5,14 +5,15 @@
 2. A set of n shingles shares at least ceil(n t) with any set it is linked with, so the two have a shingle among the first
    n - ceil(n t) + 1 of each. Only these go to the inverted lists, and of these only shingles that may occur twice: most
    documents have that many of their own and send nothing. Documents of equal sets are one class, listed once.
-3. Classes in one list, within reach of each other by size and by place in the list's order, are candidates. The search
-   runs in rounds, so that a list of N copies never makes N**2 pairs: the first asks each class for the list neighbour it
-   meets most often (of those that are first of a list); links give components; after that only lists that still hold
-   several components count, and there only the members outside the largest one ask all others, a part of them a round
-   and in the end every one. So each two classes of a list that links don't join have been compared.
-4. Asked pairs go to blocks of candidates with inverted lists over whole sets. A T-occurrence search by DivideSkip finds
-   those that reach the overlap needed: the longest lists are set aside, a heap merges the short ones, and what occurs
-   often enough there is looked up in the long ones by binary search.
+3. Classes that meet in a list are candidates of each other. The search runs in rounds, so that a list of N copies never
+   makes N**2 pairs: first each class is searched for by the list neighbour it meets most often, of those that come first
+   in a list; links give components. After that only lists that still hold several components count. They are bundled by
+   their largest component; members outside it ask the whole bundle, a few of them a round and in the end every one, so
+   each two classes of a list that links don't join have been compared. What a round finds is kept as links of components,
+   one for each two of them, never as pairs.
+4. A bundle is dealt to blocks, each with inverted lists over its sets; the askers go to every block. A T-occurrence search
+   by DivideSkip finds the sets that reach the overlap needed: the longest lists are set aside, a heap merges the short
+   ones, and what occurs often enough there is looked up in the long ones by binary search.
 
 Words are runs of anything but ASCII white space, after lower-casing A-Z. A set holds the distinct shingles of `k` words;
 a text of fewer words is one shingle; null, empty and blank texts are linked with nothing. A null doc_id sorts before all
@@ -40,7 +41,7 @@ from .components import components
 
 _NONE = -(1 << 63)
 #: How many members of a list ask in each round after the first.
-ROUNDS = (64, 4096, None)
+ROUNDS = (4, 32, 256, None)
 _SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
 _DESCRIBED = "doc_key long, n long, s1 long, s2 long, tokens binary, prefix array<long>, places array<int>"
 
@@ -133,37 +134,16 @@ def _close(t: Threshold, a: str, b: str) -> Column:
     """Whether sizes, and places of a common shingle in both orders, leave room for the overlap."""
     n, m, i, j = (F.col(f"{x}.{y}") for y in ("n", "place") for x in (a, b))
     need = F.ceil(t.percent * (n + m) / F.lit(100 + t.percent) - 1e-9)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * t.percent) & (F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= need)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * t.percent) & (F.least(i, j) + F.least(n - i, m - j) >= need)
 
 
-def _first_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
-    """a, b, bundle: each class with the first member of a list that it shares most lists with."""
+def _first_askers(lists: DataFrame, t: Threshold) -> DataFrame:
+    """a, b: of the classes that come first in a list, the one that each class b shares most lists with."""
     centre = lists.groupBy("token").agg(F.min_by(F.struct("c", "n", "place"), "c").alias("y"))
     met = lists.select("token", F.struct("c", "n", "place").alias("x")).join(centre, "token")
     met = met.where((F.col("x.c") != F.col("y.c")) & _close(t, "x", "y"))
     often = met.groupBy(F.col("x.c").alias("b"), F.col("y.c").alias("a")).agg(F.count("*").alias("k"))
-    best = often.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    return best.select("a", "b", F.col("a").alias("bundle"))
-
-
-def _next_pairs(mixed: DataFrame, most: int | None, t: Threshold) -> DataFrame:
-    """a, b, bundle: of lists with several components, members outside the largest with all of other components.
-
-    At most `most` members of a list ask, one for each part of them by hash; all, if most is None.
-    """
-    part = F.lit(0) if most is None else F.pmod(F.xxhash64("c", F.lit(most)), F.lit(most))
-    other = mixed.where(F.col("label") != F.col("major")).withColumn("part", F.when(F.col("others") > (most or 0), part) if most else F.lit(None).cast("long"))
-    member = F.struct("c", "n", "place", "label")
-    few = other.where("part is null").select("token", "major", "others", member.alias("y"))
-    many = other.where("part is not null").groupBy("token", "major", "others", "part").agg(F.min_by(member, "c").alias("y")).drop("part")
-    asking = few.unionByName(many)
-    met = mixed.select("token", member.alias("x")).join(asking, "token").where((F.col("x.label") != F.col("y.label")) & _close(t, "x", "y"))
-    chunk = F.pmod(F.xxhash64("y.c"), F.ceil(F.col("others") / 256).cast("long"))
-    bundle = F.xxhash64("major", chunk)
-    pairs = met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), bundle.alias("bundle"), (F.col("x.c") < F.col("y.c")).alias("swap"))
-    once = pairs.groupBy("a", "b").agg(F.min(F.struct("bundle", "swap")).alias("s"))
-    turned = lambda x, y: F.when(F.col("s.swap"), F.col(y)).otherwise(F.col(x))
-    return once.select(turned("a", "b").alias("a"), turned("b", "a").alias("b"), F.col("s.bundle").alias("bundle"))
+    return often.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
 
 
 def t_occurrence(lists: list[np.ndarray], least: int, reach) -> list[tuple[int, int]]:
@@ -201,91 +181,115 @@ def t_occurrence(lists: list[np.ndarray], least: int, reach) -> list[tuple[int,
     return out
 
 
-def _block_links(sets: list[np.ndarray], asked: list[list[int]], centres: dict[int, np.ndarray], t: Threshold):
-    """(centre, candidate, linked) of a block: sets and the centres that ask for each; inverted lists over the block."""
-    sizes = np.array([len(s) for s in sets])
+def _block_links(names: list[int], sets: list[np.ndarray], askers: dict[int, tuple[int, np.ndarray]], t: Threshold):
+    """Links of components, (one, other), that the askers (label and set, by class) have with a block of sets (labelled names)."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while x in root:
+            x = root[x]
+        return x
+
+    sizes, labels = np.array([len(s) for s in sets]), np.array(names)
     token = np.concatenate(sets)
     of = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(token, kind="stable")
     token, of = token[order], of[order]
-    wanted: dict[int, list[int]] = {}
-    for i, centre in enumerate(asked):
-        for a in centre:
-            wanted.setdefault(a, []).append(i)
-    for a, mine in wanted.items():
-        x = centres[a]
+    for label, x in askers.values():
+        others = np.flatnonzero((labels != label) & (np.minimum(sizes, len(x)) * 100 >= np.maximum(sizes, len(x)) * t.percent))
+        if not len(others):
+            continue
         begin, end = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
         lists = [of[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True) if e > b]
-        goal = t.overlap(len(x), sizes).tolist()
-        least = int(min(goal[i] for i in mine))
-        good = {i for i, _ in t_occurrence(lists, least, lambda i: max(least, goal[i]))}  # noqa: B023
-        yield from ((a, i, i in good) for i in mine)
+        goal = t.overlap(len(x), sizes)
+        least, reach = int(goal[others].min()), goal.tolist()
+        for i, _ in t_occurrence(lists, least, lambda i: max(least, reach[i])):  # noqa: B023
+            one, other = find(label), find(names[i])
+            if one != other:
+                root[max(one, other)] = min(one, other)
+                yield min(one, other), max(one, other)
+
 
+def _searched(members: DataFrame, askers: DataFrame, classes: DataFrame, t: Threshold, per_block: int = 400_000, most_askers: int = 256) -> DataFrame:
+    """a, b: links of components that askers have in their bundles. Both tables hold bundle, c and label, each c once a bundle.
 
-def _compared(pairs: DataFrame, classes: DataFrame, t: Threshold, per_block: int = 400_000) -> DataFrame:
-    """a, b, good: whether the classes of each pair are linked. A bundle's candidates are dealt to blocks of about per_block shingles; each gets the centres it needs."""
-    size = classes.select(F.col("c").alias("b"), "n", F.col("tokens").alias("set"))
-    asked = pairs.groupBy("bundle", "b").agg(F.collect_list("a").alias("asked")).join(size.select("b", "n"), "b")
-    weight = asked.groupBy("bundle").agg(F.ceil(F.sum("n") / per_block).cast("long").alias("blocks"))
-    dealt = asked.join(weight, "bundle").select("bundle", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b", "asked")
-    centres = dealt.select("bundle", "block", F.explode("asked").alias("b")).distinct().withColumn("asked", F.lit(None).cast("array<long>"))
-    held = dealt.unionByName(centres).join(size.select("b", "set"), "b")
+    A bundle's members are dealt to blocks of about per_block shingles, its askers to chunks of about most_askers.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")  # so that the join on a hot bundle is many keys
+    salt = F.pmod(F.hash("c"), F.lit(16)).alias("salt")
+    size = members.join(classes.select("c", "n"), "c").groupBy("bundle").agg(F.ceil(F.sum("n") / per_block).alias("blocks"))
+    dealt = size.join(askers.groupBy("bundle").agg(F.ceil(F.count("*") / most_askers).alias("chunks")), "bundle")
+    dealt = dealt.select("*", salts)
+    at = lambda n: F.pmod(F.xxhash64("c"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = members.select("*", salt).join(dealt, ["bundle", "salt"]).select("bundle", at("blocks").alias("block"), each("chunks").alias("chunk"), "c", "label", F.lit(False).alias("asks"))
+    theirs = askers.select("*", salt).join(dealt, ["bundle", "salt"]).select("bundle", each("blocks").alias("block"), at("chunks").alias("chunk"), "c", "label", F.lit(True).alias("asks"))
+    held = mine.unionByName(theirs).join(classes.select("c", F.col("tokens").alias("set")), "c")
 
     def run(frames):
         def rows():
             for f in frames:
-                yield from f[["bundle", "block", "b", "asked", "set"]].itertuples(index=False, name=None)
+                yield from f[["bundle", "block", "chunk", "c", "label", "asks", "set"]].itertuples(index=False, name=None)
 
         out = []
-        for _, block in groupby(rows(), key=lambda r: r[:2]):
-            names, sets, asked, centres = [], [], [], {}
-            for _, _, b, ask, raw in block:
-                if ask is None:
-                    centres[b] = np.frombuffer(raw, np.uint64)
+        for _, block in groupby(rows(), key=lambda r: r[:3]):
+            labels, sets, asking = [], [], {}
+            for *_, c, label, asks, raw in block:
+                if asks:
+                    asking[c] = (label, np.frombuffer(raw, np.uint64))
                 else:
-                    names.append(b)
+                    labels.append(label)
                     sets.append(np.frombuffer(raw, np.uint64))
-                    asked.append(list(ask))
-            out += [(a, names[i], good) for a, i, good in _block_links(sets, asked, centres, t)]
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b", "good"])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b", "good"])
+            if sets and asking:
+                out += _block_links(labels, sets, asking, t)
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return held.repartition("bundle", "block").sortWithinPartitions("bundle", "block").mapInPandas(run, "a long, b long, good boolean")
+    keys = ["bundle", "block", "chunk"]
+    return held.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
 
 
 def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lists with several components: label of each member, the largest component (major) and how many lie outside it (others)."""
-    named = lists.join(roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    """bundle, c, label: the members of lists with several components, bundled by the largest one of their list."""
+    named = lists.select("token", "c").join(roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").withColumn("label", F.coalesce("label", "c"))
     held = named.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token")
-    kinds = held.agg(F.max_by("label", F.struct("k", "label")).alias("major"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
-    return named.join(kinds, "token")
+    kinds = held.agg(F.max_by("label", F.struct("k", "label")).alias("bundle"), F.count("*").alias("kinds")).where("kinds > 1")
+    return named.join(kinds, "token").select("bundle", "c", "label").distinct()
+
+
+def _askers(mixed: DataFrame, most: int | None) -> DataFrame:
+    """Members outside a bundle's component: all of them, or of more than `most` one for each of so many parts by hash."""
+    outside = mixed.where("label <> bundle")
+    if most is None:
+        return outside
+    part = outside.withColumn("part", F.pmod(F.xxhash64("c", F.lit(most)), F.lit(most)))
+    some = part.groupBy("bundle", "part").agg(F.count("*").alias("k"), F.min(F.struct("c", "label")).alias("x"))
+    crowded = some.groupBy("bundle").agg(F.sum("k").alias("k")).where(F.col("k") > most).select("bundle")
+    few = outside.join(crowded, "bundle", "left_anti")
+    return few.unionByName(some.join(crowded, "bundle").select("bundle", "x.c", "x.label"))
 
 
 def _links(lists: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
     """node, root: the components of the links between classes."""
-    tried = saved(_compared(_first_pairs(lists, t), classes, t), "tried")
-    roots = components(tried.where("good").select("a", "b"))
+    first = saved(_first_askers(lists, t), "first")
+    members = first.select(F.col("a").alias("bundle"), F.col("b").alias("c"), F.col("b").alias("label"))
+    askers = first.select("a").distinct().select(F.col("a").alias("bundle"), F.col("a").alias("c"), F.col("a").alias("label"))
+    roots = components(_searched(members, askers, classes, t))
+    dropped(first)
     for most in ROUNDS:
         mixed = saved(_mixed(lists, roots), "mixed")
         if mixed.isEmpty():
             break
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = _next_pairs(mixed, most, t).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
-        fresh = fresh.join(known.select(F.col("a").alias("low"), F.col("b").alias("high")), ["low", "high"], "left_anti").select("a", "b", "bundle")
-        found = saved(_compared(fresh, classes, t), "tried")
-        whole = most is None or mixed.agg(F.max("others")).first()[0] <= most  # every member outside has asked: nothing is left
-        dropped(mixed)
-        tried, good = tried.unionByName(found), found.where("good").select("a", "b")
-        if not good.isEmpty():
-            again = components(good.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        askers = saved(_askers(mixed, most), "askers")
+        asked = most is None or askers.count() == mixed.where("label <> bundle").count()
+        found = saved(_searched(mixed, askers, classes, t), "found")
+        if not found.isEmpty():
+            again = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
             dropped(roots)
             roots = again
-        if whole:
+        for done in (mixed, askers, found):
+            dropped(done)
+        if asked:  # every member outside has asked all of its bundle: nothing is left
             break
-    dropped(tried)
     return roots
 
 
