@@ -10,7 +10,13 @@ shingles lets through: 2**24 bits whatever the benchmark's size. A bit set by ch
 join and the check work on that table, which is as small as the overlap with the benchmark.
 
 Words are runs of digits, a-z (after lower-casing A-Z) and characters beyond ASCII. A null or empty text has none; an
-item without words has no window. Rows that repeat a doc_id are judged each. Other columns are ignored.
+item without words has no window, and items that share a text share its windows; a null item_id hits but is not listed.
+Rows that repeat a doc_id are judged each, as whole texts of any length. An empty table of documents gives an empty one,
+an empty benchmark no hits. Other columns are ignored.
+
+Every shingle of a window is compared at its place, by 64 bits of hash of its words: two different windows of w words are
+taken for one only if all w - 2 of their shingles collide (a single one, if w is 3 or less: a chance of about n m / 2**64
+for n places and m short windows).
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ last language is found, all stretches of a batch in step, then the stretches of
 pass over them. The result is that of one pass over the whole text.
 
 A null text, or one without any letter, is "und" with a score of 0. A text with letters but no learned language (an
-empty sample) is "und" too. Other columns are kept.
+empty sample) is "und" too. Languages with as many letters: the first by name. Rows that repeat a doc_id are judged each;
+an empty table gives an empty one. Other columns are kept, but those that bear the name of an added one are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from ._common import slices, text_bytes
+from ._common import slices, text_bytes, without
 from ._sample import labelled_sample
 from ._words import _BASES, _BYTES, ALNUM, LOWER, Words, _ranges, _sums, mix, words
 
@@ -139,6 +140,7 @@ def best_paths(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarr
 
 def identify(docs: DataFrame, model: Languages, spans: bool = False) -> DataFrame:
     """docs with lang_pred and score, and with spans: (start, end, lang) in characters."""
+    docs = without(docs, ["lang_pred", "score", *["spans"] * spans])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of the fixed size `buckets` times the languages
     names = docs.columns
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))

@@ -4,7 +4,9 @@ One zstandard dictionary is trained from good and one from bad labelled texts. A
 blocks of `BLOCK` bytes so that a long text's own repetitions do not drown the dictionaries; the difference of the two
 sizes over their sum goes through a logistic curve fitted on labelled texts that the dictionaries have not seen.
 
-A null or empty text has a difference of 0. Other columns are kept as they are.
+A null or empty text has a difference of 0, so its score follows from the shares of the labels alone. Rows that repeat a
+doc_id are scored each, by their own text; long texts are whole. An empty table gives an empty one, and without labels
+all scores are 0.5. Other columns are kept as they are, but those that bear the name of an added one are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import slices, without
 from ._sample import labelled_sample
 
 BLOCK = 2048
@@ -81,6 +83,7 @@ def fit(sample: list[tuple[str, int]], size: int = 112_640) -> Quality:
 
 def score(docs: DataFrame, model: Quality) -> DataFrame:
     """docs with score: the probability of label 1."""
+    docs = without(docs, ["score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
     names = docs.columns
 

@@ -34,7 +34,7 @@ BLOCKS = "shard int, block int, n_ids long, width int, bits boolean, planes arra
 
 
 def to_planes(ids: np.ndarray, bits: bool, level: int = 3) -> list[bytes]:
-    raw = np.ascontiguousarray(ids.astype(ids.dtype.newbyteorder("<"))).view(np.uint8).reshape(len(ids), -1)
+    raw = np.ascontiguousarray(ids.astype(ids.dtype.newbyteorder("<"))).view(np.uint8).reshape(len(ids), ids.dtype.itemsize)
     planes = np.packbits(np.unpackbits(raw, axis=1, bitorder="little").T, axis=1, bitorder="little") if bits else raw.T
     squeeze = zstandard.ZstdCompressor(level=level)
     return [squeeze.compress(np.ascontiguousarray(p).tobytes()) for p in planes]
@@ -50,11 +50,11 @@ def from_planes(planes: list[bytes], n: int, width: int, bits: bool) -> np.ndarr
     return raw.reshape(-1).view(f"<u{width}")
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int, spaces_matter: bool) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, end_id: int, spaces_matter: bool, ordinary: bool = False) -> DataFrame:
     """doc_id, no_id, row, n_tokens, width and the compressed ids of each document, as a table."""
 
     def run(batches):
-        enc, squeeze = encoder(path, spaces_matter), zstandard.ZstdCompressor(level=1)
+        enc, squeeze = encoder(path, spaces_matter, ordinary), zstandard.ZstdCompressor(level=1)
         end = enc.dtype(end_id).tobytes()
         for b in slices(batches):
             ids = [x + end for x in enc.ids(t or "" for t in b.column("text").to_pylist())]
@@ -66,8 +66,11 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, spaces_matter: boo
     return saved(named.mapInArrow(run, "doc_id long, no_id boolean, row long, n_tokens long, width int, ids binary"), "ids")
 
 
-def write_store(docs: DataFrame, path: str, end_id: int, spaces_matter: bool, block: int = 65_536, bits: bool = False, per_shard: int = 8_000_000) -> tuple[DataFrame, DataFrame]:
-    """(blocks, index): the two tables of the format. Each shard is a task's sorted range of about per_shard ids."""
+def write_store(docs: DataFrame, path: str, end_id: int, spaces_matter: bool, block: int = 65_536, bits: bool = False, per_shard: int = 8_000_000, ordinary: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(blocks, index): the two tables of the format. Each shard is a task's sorted range of about per_shard ids.
+
+    ordinary: strings of special tokens in a text are ordinary text; else they get their ids, as the library gives them.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -107,7 +110,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, spaces_matter: bool, bl
         if held:
             yield table([full(held)])
 
-    ids = encode_documents(docs, path, end_id, spaces_matter)
+    ids = encode_documents(docs, path, end_id, spaces_matter, ordinary)
     total = ids.agg(F.sum("n_tokens")).first()[0] or 0
     ranged = ids.repartitionByRange(max(1, -(-total // per_shard)), "doc_id", "row").sortWithinPartitions("doc_id", "row")
     blocks = saved(ranged.mapInArrow(run, BLOCKS), "blocks")
@@ -135,6 +138,29 @@ def crc_joined(one: int, two: int, length: int) -> int:
     return times(power, one) ^ two
 
 
+def _bases(index: DataFrame) -> DataFrame:
+    """shard, block, base: ids before each block."""
+    shards = index.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shard_base = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_base"))  # a row a shard
+    block_base = F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return index.select("shard", "block", block_base.alias("before")).join(shard_base, "shard").select("shard", "block", (F.col("shard_base") + F.col("before")).alias("base"))
+
+
+def read_range(blocks: DataFrame, index: DataFrame, begin: int, end: int) -> DataFrame:
+    """at, id: the ids at places begin to end - 1 of all. The index names the blocks that hold them; only those are decoded."""
+
+    def run(frames):
+        for f in frames:
+            for x in f.itertuples(index=False):
+                low, high = max(0, begin - x.base), min(x.n_ids, end - x.base)
+                ids = from_planes(list(x.planes), x.n_ids, x.width, x.bits)[low:high]
+                yield pd.DataFrame({"at": np.arange(x.base + low, x.base + high), "id": ids.astype(np.int64)})
+
+    wanted = index.join(_bases(index), ["shard", "block"]).where((F.col("base") < end) & (F.col("base") + F.col("n_ids") > begin))
+    held = blocks.join(wanted.select("shard", "block", "base"), ["shard", "block"])
+    return held.select("base", "n_ids", "width", "bits", "planes").mapInPandas(run, "at long, id long")
+
+
 def read_documents(blocks: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (of little-endian 32-bit ids) of each document.
 
@@ -163,10 +189,7 @@ def read_documents(blocks: DataFrame, index: DataFrame) -> DataFrame:
 
         return parts.map(one)
 
-    shards = index.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    shard_base = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_base"))  # a row a shard
-    block_base = F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = index.select("shard", "block", block_base.alias("before")).join(shard_base, "shard").select("shard", "block", (F.col("shard_base") + F.col("before")).alias("base"))
+    base = _bases(index)
     pieces = blocks.join(base, ["shard", "block"]).mapInPandas(run, "row long, doc_id long, no_id boolean, at long, in_doc long, n long, crc long")
     docs = pieces.groupBy("row", "doc_id", "no_id").agg(F.min("at").alias("start"), F.sum("n").alias("n_tokens"), F.min("crc").alias("crc"), F.count("*").alias("k"), F.collect_list(F.struct("in_doc", "n", "crc")).alias("parts"))
     crc = F.when(F.col("k") == 1, F.col("crc")).otherwise(joined("parts"))

@@ -5,7 +5,9 @@ first letters, hashed); a document's is the noisy-or of its sentences', 1 - prod
 labels alone, by gradient descent on the noisy-or's log-likelihood over a bounded sample of labelled rows; scoring is one
 pass over whole texts, and names the sentences that gave rise to a high score.
 
-A null or empty text has no sentence and gets the score of one empty sentence. Other columns are kept as they are.
+A null or empty text has no sentence and gets the score of one empty sentence. Rows that repeat a doc_id are scored each, by
+their own text; long texts are whole. An empty table gives an empty one. Other columns are kept as they are, but those
+that bear the name of an added one are replaced. Without labels of both kinds all scores are near 0 or near 1.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, text_bytes
+from ._common import slices, text_bytes, without
 from ._sample import labelled_sample
 from ._words import _BASES, _BYTES, ALNUM, LOWER, Words, _ranges, _sums, mix, words
 
@@ -65,31 +67,37 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 18, rounds: int = 200
     weights, bias = np.zeros(buckets, np.float32), start
     if not len(y) or y.min() == y.max():
         return Toxicity(weights, start if not len(y) or y.max() == 0 else -start)
-    parts, n_sentences, docs = [], 0, []
-    for begin in range(0, len(sample), 250):  # the arrays over bytes are several times the texts
-        raw, offsets = text_bytes(pa.array([t or "" for t, _ in sample[begin : begin + 250]], pa.large_string()))
-        w = words(raw, offsets, ALNUM, True)
-        first, at = sentences(raw, offsets, w)
-        of_sentence = n_sentences + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
-        parts.append((features(raw, w, buckets), of_sentence.astype(np.int32), (begin + w.text_of()).astype(np.int32)))
-        docs.append(begin + np.repeat(np.arange(len(at) - 1), np.diff(at)))
-        n_sentences += len(first)
-    f, of_sentence, of_doc = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
-    doc, n, n1 = np.concatenate(docs), len(y), y.sum()
+    n, n1 = len(y), y.sum()
+
+    def parts():
+        for begin in range(0, n, 250):  # the arrays over bytes are several times the texts
+            raw, offsets = text_bytes(pa.array([t or "" for t, _ in sample[begin : begin + 250]], pa.large_string()))
+            w = words(raw, offsets, ALNUM, True)
+            first, at = sentences(raw, offsets, w)
+            yield begin, w, first, at, features(raw, w, buckets)
+
     in_doc, in_toxic = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    for row in f:
-        pairs = np.unique(of_doc * np.int64(buckets) + row)
-        in_doc += np.bincount(pairs % buckets, minlength=buckets)
-        in_toxic += np.bincount(pairs[y[pairs // buckets] > 0] % buckets, minlength=buckets)
+    for begin, w, _, _, f in parts():
+        of_doc = begin + w.text_of()
+        for row in f:
+            pairs = np.unique(of_doc * np.int64(buckets) + row)
+            in_doc += np.bincount(pairs % buckets, minlength=buckets)
+            in_toxic += np.bincount(pairs[y[pairs // buckets] > 0] % buckets, minlength=buckets)
     p = np.minimum(in_doc / n, 1.0)
     z = (in_toxic / n1 - (in_doc - in_toxic) / (n - n1)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1)))
     chosen = np.flatnonzero(z >= least_z)
     number = np.full(buckets, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
-    kind = number[f]
-    has = kind >= 0
-    sentence, kind = np.broadcast_to(of_sentence, f.shape)[has], kind[has]
-    del f, parts, has
+    found, docs, n_sentences = [], [], 0
+    for begin, w, first, at, f in parts():
+        of_sentence = n_sentences + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
+        kind = number[f]
+        has = kind >= 0
+        found.append((np.broadcast_to(of_sentence, f.shape)[has].astype(np.int32), kind[has]))
+        docs.append(begin + np.repeat(np.arange(len(at) - 1), np.diff(at)))
+        n_sentences += len(first)
+    sentence, kind = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc = np.concatenate(docs)
     v = np.append(np.zeros(len(chosen)), start)
     m, s = np.zeros(len(v)), np.zeros(len(v))
     for step in range(1, rounds + 1):
@@ -106,6 +114,7 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 18, rounds: int = 200
 
 def score(docs: DataFrame, model: Toxicity, sentence_threshold: float = 0.3) -> DataFrame:
     """docs with score and offending: the sentences of at least sentence_threshold, as (sentence, start, end, score) in characters."""
+    docs = without(docs, ["score", "offending"])
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of the fixed size `buckets`
     names = docs.columns
