@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
 
@@ -34,6 +34,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+    """saved(df) and aggregates of its rows, taken while it is written."""
+    if not what:
+        return saved(df, name), {}
+    seen = Observation()
+    out = saved(df.observe(seen, *(c.alias(k) for k, c in what.items())), name)
+    return out, seen.get
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by saved(), when nothing that is still to run reads it."""
     spark = df.sparkSession

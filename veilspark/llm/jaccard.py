@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import dropped, saved, slices, text_bytes
+from ._common import counted, dropped, saved, slices, text_bytes
 from ._sketch import Sketch, opened, sliced
 from ._words import NOT_SPACE, mix, run_hash, words
 from .components import components
 
 _NONE = -(1 << 63)
 #: How many members of a list ask in each round after the first.
-ROUNDS = (4, 32, 256, None)
+ROUNDS = (8, 256, None)
 _SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
 _DESCRIBED = "doc_key long, n long, s1 long, s2 long, tokens binary, prefix array<long>, places array<int>"
 
@@ -249,11 +249,11 @@ def _searched(members: DataFrame, askers: DataFrame, classes: DataFrame, t: Thre
 
 
 def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """bundle, c, label: the members of lists with several components, bundled by the largest one of their list."""
+    """token, bundle, c, label: the members of lists with several components, and the largest one of their list, which bundles it."""
     named = lists.select("token", "c").join(roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").withColumn("label", F.coalesce("label", "c"))
     held = named.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token")
     kinds = held.agg(F.max_by("label", F.struct("k", "label")).alias("bundle"), F.count("*").alias("kinds")).where("kinds > 1")
-    return named.join(kinds, "token").select("bundle", "c", "label").distinct()
+    return named.join(kinds, "token").select("token", "bundle", "c", "label")
 
 
 def _askers(mixed: DataFrame, most: int | None) -> DataFrame:
@@ -276,19 +276,19 @@ def _links(lists: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
     roots = components(_searched(members, askers, classes, t))
     dropped(first)
     for most in ROUNDS:
-        mixed = saved(_mixed(lists, roots), "mixed")
-        if mixed.isEmpty():
+        lists, found = counted(_mixed(lists, roots), "mixed", n=F.count("*"))
+        if not found["n"]:
             break
-        askers = saved(_askers(mixed, most), "askers")
-        asked = most is None or askers.count() == mixed.where("label <> bundle").count()
-        found = saved(_searched(mixed, askers, classes, t), "found")
-        if not found.isEmpty():
-            again = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-            dropped(roots)
-            roots = again
-        for done in (mixed, askers, found):
-            dropped(done)
-        if asked:  # every member outside has asked all of its bundle: nothing is left
+        members, outside = counted(lists.select("bundle", "c", "label").distinct(), "members", n=F.count_if(F.col("label") != F.col("bundle")))
+        askers, asked = counted(_askers(members, most), "askers", n=F.count("*"))
+        links, found = counted(_searched(members, askers, classes, t), "links", n=F.count("*"))
+        dropped(members)
+        dropped(askers)
+        if found["n"]:  # links join components: their roots move, and nodes with them
+            above = components(links).select(F.col("node").alias("root"), F.col("root").alias("above"))
+            moved = roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+            roots = saved(moved.unionByName(above.join(roots.select("node"), F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("above").alias("root"))), "roots")
+        if asked["n"] == outside["n"]:  # every member outside has asked all of its bundle: nothing is left
             break
     return roots
 
@@ -305,9 +305,13 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     roots = _links(lists, classes, t)
     dropped(lists)
     own = described.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_key").alias("least"))
-    named = classes.select("n", "s1", "s2", "c").join(roots.select(F.col("node").alias("c"), "root"), "c").join(own, ["n", "s1", "s2"])
-    of_root = named.groupBy("root").agg(F.min("least").alias("component"))
-    linked = named.join(of_root, "root").select("n", "s1", "s2", "component")
-    found = described.select("doc_key", "n", "s1", "s2").join(own, ["n", "s1", "s2"], "left").join(linked, ["n", "s1", "s2"], "left")
+    named = own.join(classes.select("n", "s1", "s2", "c"), ["n", "s1", "s2"], "left").join(roots.withColumnRenamed("node", "c"), "c", "left")
+    named = saved(named.select("n", "s1", "s2", "least", "root"), "named")
+    of_root = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
+    whole = saved(named.join(of_root, "root", "left").select("n", "s1", "s2", F.coalesce("component", "least").alias("component")), "components")
+    for done in (classes, roots, named):
+        dropped(done)
+    # a table read back on either side: Spark may split the rows of a class with very many copies
+    found = described.select("doc_key", "n", "s1", "s2").join(whole, ["n", "s1", "s2"], "left")
     real_id = lambda c: F.when(c != _NONE, c)
-    return found.select(real_id(F.col("doc_key")).alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.coalesce("component", "least", "doc_key")).alias("component_id"))
+    return found.select(real_id(F.col("doc_key")).alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.coalesce("component", "doc_key")).alias("component_id"))
