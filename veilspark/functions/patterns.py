@@ -94,7 +94,7 @@ TEXT_RULES: tuple[Rule, ...] = (
     Rule("BANK_ACCOUNT", L + r"\d{3,4}-\d{3,4}-\d{6,9}" + R),
     Rule(
         "ADDRESS",
-        r"[一-鿿]{2,4}(?:市|縣)[一-鿿]{2,4}(?:區|鄉|鎮)[一-鿿0-9]{2,10}(?:路|街|大道)"
+        r"[\u4e00-\u9fff]{2,4}(?:市|縣)[\u4e00-\u9fff]{2,4}(?:區|鄉|鎮)[\u4e00-\u9fff0-9]{2,10}(?:路|街|大道)"
         r"(?:[一二三四五六七八九十0-9]{1,3}段)?\d{1,4}號(?:\d{1,3}樓)?",
         hint="號",
     ),
@@ -107,7 +107,8 @@ CODE_RULES: tuple[Rule, ...] = (
     Rule("API_KEY_GITHUB", L + r"(?:ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{20,}" + R),
     Rule("API_KEY_GOOGLE", L + r"AIza[0-9A-Za-z\-_]{35}" + R, hint="AIza"),
 )
-#: (pattern for a column's name, label), the first that fits; found anywhere in the name, without regard to case.
+# Fixed values: (pattern for a column's name, label), the first that fits, found anywhere in the name, without regard to
+# case; the signs of program code; the form of a tag.
 HEADER_RULES: tuple[tuple[str, str], ...] = (
     (r"姓名|名字|聯絡人|^(first|last|full|user)?[_ ]?name$", "PERSON"),
     (r"e-?mail|電子郵件|信箱", "EMAIL_ADDRESS"),

@@ -77,11 +77,11 @@ def is_candidate(v: Column) -> Column:
     return v.isNotNull() & (stripped(v) != "") & ~v.startswith("=")
 
 
-def header_type(name: Column) -> Column:
+def header_type(name: Column, rules: tuple | None = None) -> Column:
     from .patterns import HEADER_RULES
 
     h = stripped(F.coalesce(name, F.lit("")))
-    return F.coalesce(*(F.when(h.rlike("(?iu)" + p), F.lit(label)) for p, label in HEADER_RULES))
+    return F.coalesce(*(F.when(h.rlike("(?iu)" + p), F.lit(label)) for p, label in rules or HEADER_RULES))
 
 
 def cer_normalised(v: Column) -> Column:

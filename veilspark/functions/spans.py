@@ -8,7 +8,7 @@ A span is struct<start int, end int, label string, score double, source string>,
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from .patterns import CODE_RULES, TEXT_RULES, Rule
 
 SPAN = "struct<start:int,end:int,label:string,score:double,source:string>"
 SPANS = f"array<{SPAN}>"
+#: Matches of a text whose places are run up in one array.
+BLOCK = 256
 
 
 def no_spans() -> Column:
@@ -27,17 +29,34 @@ def span(start: Column, end: Column, label: Column, score: Column | None = None,
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), label.alias("label"), (F.lit(None) if score is None else score).cast("double").alias("score"), F.lit(source).alias("source")).cast(SPAN)
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches: what lies between matches gives their places."""
+    """array<struct<start, end, value>> of all matches: what lies between matches gives their places.
+
+    Places are sums of lengths. They are run up in blocks of BLOCK matches, so that no array grows with all matches of a text.
+    """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
 
     def step(acc: Column, p: Column) -> Column:
-        start = acc.at + F.length(p.g)
-        return F.struct((start + F.length(p.m)).alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), (start + F.length(p.m)).alias("end"), p.m.alias("value")))).alias("out"))
+        start, end = acc.at + p.g, acc.at + p.g + F.length(p.m)
+        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), end.alias("end"), p.m.alias("value")))).alias("out"))
+
+    def block(pairs: Column, first: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+        return F.aggregate(F.slice(pairs, first, F.lit(BLOCK)), zero, step, lambda acc: acc.out)
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc.out)
+    def all_blocks(pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(BLOCK))
+        total = lambda first: F.aggregate(F.slice(pairs, first, F.lit(BLOCK)), F.lit(0), lambda n, p: n + p.g + F.length(p.m))
+        bases = F.aggregate(firsts, F.array(F.lit(0)), lambda acc, first: F.concat(acc, F.array(F.element_at(acc, -1) + total(first))))
+        return F.flatten(F.zip_with(firsts, F.slice(bases, F.lit(1), F.size(firsts)), lambda first, at: block(pairs, first, at)))
+
+    return _held(pairs, all_blocks)
 
 
 def rule_spans(text: Column, rule: Rule) -> Column:
@@ -88,6 +107,10 @@ def merged(spans: Column, prefer_zh: Column) -> Column:
 
 def rewritten(text: Column, pieces: Column) -> Column:
     """text with pieces (array<struct<start, end, tag>>, disjoint, by start) put in place."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, p: F.struct(F.concat(acc.out, F.substring(text, acc.at + 1, p.start - acc.at), p.tag).alias("out"), p.end.alias("at"))
-    return F.aggregate(pieces, zero, step, lambda acc: F.concat(acc.out, F.substr(text, acc.at + 1)))
+
+    def whole(pieces: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(pieces, i - 1).end, F.lit(0))
+        parts = F.transform(pieces, lambda p, i: F.concat(F.substring(text, before(i) + 1, p.start - before(i)), p.tag))
+        return F.concat(F.array_join(parts, ""), F.substr(text, before(F.size(pieces)) + 1))
+
+    return _held(pieces, whole)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import KNOWN_MIN, EngineConfig
 from ..functions import normalize
-from ..functions.patterns import CODE_RULES, alternation
+from ..functions.patterns import CODE_RULES, TEXT_RULES, alternation
 from ..functions.scalars import contains_cjk, is_code, stripped
-from ..functions.spans import SPANS, detect_rules, detect_text, dictionary_spans, merged, no_spans, span
+from ..functions.spans import SPANS, detect_rules, dictionary_spans, merged, no_spans, span
 from ..session import kept, spread
 
 #: Named classifiers of text as code; add one to use it by name.
@@ -60,7 +60,9 @@ def model_spans(text: Column, code: Column) -> Column:
 
 def detected(text: Column, code: Column, config: EngineConfig) -> Column:
     """Code rules where the text is code, text rules, models and further detectors, in this order."""
-    return F.concat(F.when(code, detect_rules(text, CODE_RULES)).otherwise(no_spans()), detect_text(text), model_spans(text, code), *(d(text, code) for d in config.detectors))
+    code_rules = CODE_RULES if config.code_rules is None else config.code_rules
+    text_rules = TEXT_RULES if config.text_rules is None else config.text_rules
+    return F.concat(F.when(code, detect_rules(text, code_rules)).otherwise(no_spans()), detect_rules(text, text_rules), model_spans(text, code), *(d(text, code) for d in config.detectors))
 
 
 def dictionary_by_join(docs: DataFrame, values: DataFrame, key: list[str], per_label: bool) -> DataFrame:
@@ -73,7 +75,7 @@ def dictionary_by_join(docs: DataFrame, values: DataFrame, key: list[str], per_l
     longest, sizes = shape["longest"] or 1, sorted(shape["sizes"])  # 1, 2 and 3 at most
     # stretches of a text, each with one character before and enough after it, so that a place costs no look at the whole text
     stretch = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(STRETCH))).alias("at")
-    cut = spread(docs).where(F.length("text") > 0).select(*key, "text", stretch)
+    cut = docs.where(F.length("text") > 0).select(*key, "text", stretch)
     cut = cut.select(*key, "at", (F.col("at") > 0).cast("int").alias("lead"), F.substring("text", F.greatest(F.col("at"), F.lit(1)), F.lit(STRETCH + longest + 2)).alias("piece"))
     inside = F.least(F.length("piece") - F.col("lead"), F.lit(STRETCH))
     placed = cut.select(*key, "at", "lead", "piece", F.explode(F.sequence(F.lit(1), inside)).alias("j")).select(*key, "at", "lead", "piece", "j", F.explode(F.array(*(F.lit(s) for s in sizes or [3]))).alias("k"))
@@ -113,18 +115,22 @@ def _dictionary(docs: DataFrame, values: DataFrame | None, config: EngineConfig,
     return placed.join(found, "__row", "left").withColumn(name, F.coalesce(name, no_spans())).drop("__row")
 
 
-def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame | None = None, sensitive: DataFrame | None = None, safe: DataFrame | None = None) -> DataFrame:
-    """docs with is_code, candidates (all spans found) and spans (what stays). known and sensitive: (label, value); safe: (value)."""
+def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame | None = None, sensitive: DataFrame | None = None, safe: DataFrame | None = None, overlay: bool = False) -> DataFrame:
+    """docs with is_code, candidates (all spans found) and spans (what stays). known and sensitive: (label, value); safe: (value).
+
+    overlay: rules and models are merged first, and what lists find is laid over the rest, where it may overlap it.
+    """
     config = config or EngineConfig()
-    docs = classified(spread(docs))
+    docs = classified(spread(docs, config.partitions))
     text, code = F.col("text"), F.col("is_code")
     if config.normalise:
         change = F.coalesce(normalize.may_change(text, code), F.lit(False)) if not config.whitespace else F.lit(True)
-        # only texts that may change cross to Python; the rest stay in the JVM
-        plain = docs.where(~change).withColumn("__found", F.coalesce(detected(text, code, config), no_spans()))
-        edited = docs.where(change).withColumn("__norm", normalize.normalised(text, code, config)).withColumn("__raw", detected(F.col("__norm.text"), code, config))
-        edited = edited.withColumn("__found", F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__raw")), no_spans())).drop("__raw")
-        docs = plain.withColumn("__norm", F.lit(None).cast(normalize.NORMALISED)).unionByName(edited)
+        # one pass: only texts that may change are sent to Python, nulls for the rest
+        docs = docs.withColumn("__change", change).withColumn("__norm", normalize.normalised(F.when(F.col("__change"), text), code, config))
+        docs = docs.withColumn("__norm", F.when(F.col("__change"), F.col("__norm")))
+        docs = docs.withColumn("__raw", F.coalesce(detected(F.when(F.col("__change"), F.col("__norm.text")).otherwise(text), code, config), no_spans()))
+        back = F.when(F.col("__change"), F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__raw")), no_spans())).otherwise(F.col("__raw"))
+        docs = docs.withColumn("__found", back).drop("__raw", "__change")
     else:
         docs = docs.withColumn("__found", F.coalesce(detected(text, code, config), no_spans()))
     docs = _dictionary(docs, known, config, True, "__known")
@@ -134,10 +140,11 @@ def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame
         docs = docs.withColumn("__known", F.concat(inside, "__known")).drop("__inner")
     docs = docs.drop("__norm")
     docs = _dictionary(docs, sensitive if config.use_known_items else None, config, False, "__listed")
-    docs = docs.withColumn("candidates", F.array_distinct(F.concat("__found", "__known", "__listed")))
+    zh = F.coalesce(contains_cjk(text), F.lit(False))
+    found = merged(F.col("__found"), zh) if overlay else F.col("__found")
+    docs = docs.withColumn("candidates", F.array_distinct(F.concat(found, "__known", "__listed")))
     docs = without_safe(docs, safe)
-    kept = merged(F.col("__unsafe"), F.coalesce(contains_cjk(text), F.lit(False)))
-    return docs.withColumn("spans", kept).drop("__found", "__known", "__listed", "__unsafe")
+    return docs.withColumn("spans", F.col("__unsafe") if overlay else merged(F.col("__unsafe"), zh)).drop("__found", "__known", "__listed", "__unsafe")
 
 
 def without_safe(docs: DataFrame, safe: DataFrame | None) -> DataFrame:

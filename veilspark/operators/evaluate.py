@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 ALIASES = {"PERSON_NAME": "PERSON", "PHONE_NUMBER": "PHONE", "TW_PHONE": "PHONE", "DATE_OF_BIRTH": "DATE", "DATE_TIME": "DATE", "BANK_NAME": "ORGANIZATION", "LOCATION": "ADDRESS"}
 
 
+#: Characters of a document that answers and detections meet in.
+STRETCH = 256
+
+
 def alias(label: Column, table: dict[str, str] | None = None) -> Column:
     m = F.create_map(*(F.lit(x) for kv in (table or ALIASES).items() for x in kv))
     return F.coalesce(F.element_at(m, label), label)
@@ -21,22 +25,42 @@ def expected_positions(gold: DataFrame, articles: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "value").orderBy("ord"))
     asked = gold.withColumn("nth", nth)
     wanted = asked.select("doc_id", "value").distinct().where("value <> ''").join(articles.select("doc_id", "text"), "doc_id")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - F.length("value") + 1)), lambda i: F.substring(F.col("text"), i, F.length("value")) == F.col("value"))
-    found = wanted.select("doc_id", "value", at.alias("at"))
-    both = asked.join(found, ["doc_id", "value"], "left")
-    start = F.when(F.size("at") > 0, F.coalesce(F.get("at", F.col("nth") - 1), F.get("at", F.lit(0))) - 1)
+    # cut before each place of the value, so that the pieces' lengths add up to the places: one pass over a text for a value
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = wanted.select("doc_id", "value", F.startswith("text", "value").alias("leads"), F.posexplode(F.split("text", quoted, -1)).alias("pos", "piece"))
+    before = Window.partitionBy("doc_id", "value").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))).where((F.col("pos") > 0) | F.col("leads"))
+    places = cuts.select("doc_id", "value", (F.col("pos") + F.col("leads").cast("int")).alias("nth"), "start")
+    first = places.where("nth = 1").select("doc_id", "value", F.col("start").alias("first"))
+    both = asked.join(places, ["doc_id", "value", "nth"], "left").join(first, ["doc_id", "value"], "left")
+    start = F.coalesce("start", "first")
     return both.select("doc_id", "ord", "value", "label", start.alias("start"), (start + F.length("value")).alias("end"))
 
 
+def _meeting(e: DataFrame, d: DataFrame) -> DataFrame:
+    """e joined with d where their places share a character: es < de and ds < ee. Both are dealt to stretches of a document,
+    so that no answer meets all detections; a pair counts in the stretch where it begins to overlap."""
+    over = lambda t, s, z: t.where(F.col(s) < F.col(z)).withColumn("__at", F.explode(F.sequence(F.floor(F.col(s) / STRETCH), F.floor((F.col(z) - 1) / STRETCH))))
+    met = over(e, "es", "ee").join(over(d, "ds", "de"), ["doc_id", "__at"]).where("es < de and ds < ee")
+    return met.where(F.col("__at") == F.floor(F.greatest("es", "ds") / STRETCH)).drop("__at")
+
+
 def pairs(expected: DataFrame, detected: DataFrame, exact: bool, by_label: bool) -> DataFrame:
     """doc_id, e, d: the ords of answers and detections that hit each other. Without places, by value."""
     e = expected.select("doc_id", F.col("ord").alias("e"), F.col("start").alias("es"), F.col("end").alias("ee"), F.trim("value").alias("ev"), alias(F.col("label")).alias("el"))
     d = detected.select("doc_id", F.col("ord").alias("d"), F.col("start").alias("ds"), F.col("end").alias("de"), F.trim("value").alias("dv"), alias(F.col("label")).alias("dl"))
-    here = F.col("es").isNotNull() & F.col("ds").isNotNull()
-    place = ((F.col("es") == F.col("ds")) & (F.col("ee") == F.col("de"))) if exact else ((F.col("es") < F.col("de")) & (F.col("ds") < F.col("ee")))
-    value = (F.col("ev") == F.col("dv")) if exact else ((F.col("ev") != "") & (F.col("dv") != "") & (F.col("ev").contains(F.col("dv")) | F.col("dv").contains(F.col("ev"))))
-    hit = (here & place) | (F.col("es").isNull() & F.col("ds").isNull() & value)
-    return e.join(d, "doc_id").where(hit & (F.col("el") == F.col("dl")) if by_label else hit).select("doc_id", "e", "d")
+    if exact:
+        placed = e.join(d.withColumnsRenamed({"ds": "es", "de": "ee"}), ["doc_id", "es", "ee"])
+    else:
+        placed = _meeting(e, d)
+    lost, dim = e.where("es is null"), d.where("ds is null")
+    if exact:
+        named = lost.join(dim.withColumnRenamed("dv", "ev"), ["doc_id", "ev"])
+    else:
+        within = (F.col("ev") != "") & (F.col("dv") != "") & (F.col("ev").contains(F.col("dv")) | F.col("dv").contains(F.col("ev")))
+        named = lost.join(dim, "doc_id").where(within)
+    hit = placed.select("doc_id", "e", "d", "el", "dl").unionByName(named.select("doc_id", "e", "d", "el", "dl"))
+    return (hit.where("el = dl") if by_label else hit).select("doc_id", "e", "d")
 
 
 def score(expected: DataFrame, detected: DataFrame, exact: bool, by_label: bool) -> DataFrame:
@@ -62,7 +86,8 @@ def greedy_match(expected: DataFrame, detected: DataFrame, by_label: bool = True
     """doc_id, e, d: pairs of the largest overlap first, then of the best ratio, each answer and detection once."""
     e = expected.select("doc_id", F.col("ord").alias("e"), F.col("start").alias("es"), F.col("end").alias("ee"), alias(F.col("label")).alias("el"))
     d = detected.select("doc_id", F.col("ord").alias("d"), F.col("start").alias("ds"), F.col("end").alias("de"), alias(F.col("label")).alias("dl"))
-    meet = e.join(d, "doc_id").where("es < de and ds < ee" + " and el = dl" * by_label)
+    meet = _meeting(e, d)
+    meet = meet.where("el = dl") if by_label else meet
     over = F.least("ee", "de") - F.greatest("es", "ds")
     ratio = over / (F.greatest("ee", "de") - F.least("es", "ds"))
     per = meet.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(over.alias("o"), ratio.alias("r"), "e", "d")), asc=False).alias("h"))

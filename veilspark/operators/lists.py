@@ -6,7 +6,7 @@ items(value, label, count, first_seen, last_seen, sources, origin, label_source)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import AUTO_MIN, KEPT_SOURCES, MANUAL_MIN
@@ -40,10 +40,6 @@ def without(table: DataFrame, *others: DataFrame) -> DataFrame:
     return table
 
 
-def _latest_sources(old: Column, new: Column) -> Column:
-    return F.slice(F.array_distinct(F.concat(old, new)), -KEPT_SOURCES, KEPT_SOURCES)
-
-
 def _upsert(items: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """new: value, label, count, sources. Counts add up, the first label stays, the last five sources are kept."""
     both = items.alias("o").join(new.alias("n"), "value", "full_outer")
@@ -67,10 +63,12 @@ def record(items: DataFrame, entries: DataFrame, blocked: DataFrame, safe: DataF
     if distinct_by_source:
         good = good.groupBy("value", "source").agg(F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"))
     by_source = good.groupBy("value", "source").agg(F.count("*").alias("n"), F.max("ord").alias("last"), F.min(F.struct("ord", "label")).alias("f"))
-    # at most five of a value's sources are carried on: those seen last
-    new = by_source.groupBy("value").agg(F.sum("n").alias("count"), F.min("f").getField("label").alias("label"), F.array_sort(F.collect_list(F.struct("last", "source"))).alias("s"))
-    new = new.select("value", "label", "count", F.transform("s", lambda x: x.source).alias("sources"))
-    return _upsert(items, new, now)
+    counts = by_source.groupBy("value").agg(F.sum("n").alias("count"), F.min("f").getField("label").alias("label"))
+    # only the sources seen last are carried on, at most as many as are kept
+    latest = Window.partitionBy("value").orderBy(F.desc("last"), F.desc("source"))
+    few = by_source.select("value", "last", "source").withColumn("k", F.row_number().over(latest)).where(F.col("k") <= KEPT_SOURCES)
+    sources = few.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("last", "source"))), lambda x: x.source).alias("sources"))
+    return _upsert(items, counts.join(sources, "value").select("value", "label", "count", "sources"), now)
 
 
 def classified(values: DataFrame) -> DataFrame:

@@ -15,10 +15,10 @@ from . import codec
 from .detect import detect
 
 
-def header_types(df: DataFrame) -> DataFrame:
+def header_types(df: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     """ix, name and label (null if the name decides nothing) of each column."""
     named = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "ix int, name string")
-    return named.withColumn("label", header_type(F.col("name")))
+    return named.withColumn("label", header_type(F.col("name"), (config or EngineConfig()).header_rules))
 
 
 def cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def column_votes(long: DataFrame, config: EngineConfig | None = None, **lists) -
 
 def decided(df: DataFrame, config: EngineConfig | None = None, **lists) -> DataFrame:
     """ix, name, label, reason: a column's name decides first, then most of its cells' labels, a tie by what comes first."""
-    by_name = header_types(df)
+    by_name = header_types(df, config)
     settled = {r["name"] for r in by_name.where("label is not null").select("name").collect()}
     rest = [c for c in df.columns if c not in settled]
     named = by_name.withColumn("reason", F.when(F.col("label").isNotNull(), "header"))
@@ -57,13 +57,17 @@ def decided(df: DataFrame, config: EngineConfig | None = None, **lists) -> DataF
     return named.join(votes, "ix", "left").select("ix", "name", F.coalesce("label", "voted").alias("label"), F.coalesce("reason", "why").alias("reason"))
 
 
-def mask_columns(df: DataFrame, types: dict[str, str], tags: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(table, map, report of changed cells by column): every cell of the given columns but blanks and formulas becomes its value's tag, in the order of rows, then columns."""
+def mask_columns(df: DataFrame, types: dict[str, str], tags: DataFrame | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table, map, report of changed cells by column): every cell of the given columns but blanks and formulas becomes its value's tag, in the order of rows, then columns.
+
+    order: a column of unique numbers that rows are ordered by; without it the order is that of Spark's partitions, which
+    may change from one reading of a table to the next, and with it the numbers of tags.
+    """
     spark = df.sparkSession
     tags = codec.empty_map(spark) if tags is None else tags
     from ..session import kept
 
-    rows = kept(df.withColumn("row_id", F.monotonically_increasing_id()))
+    rows = kept(df.withColumn("row_id", F.col(order).cast("long") if order else F.monotonically_increasing_id()))
     label = F.element_at(F.create_map(*(F.lit(x) for kv in types.items() for x in kv)), F.col("name")) if types else F.lit(None).cast("string")
     long = cells(rows.select("row_id", *types), list(types)) if types else None
     if long is None:
@@ -79,7 +83,7 @@ def mask_columns(df: DataFrame, types: dict[str, str], tags: DataFrame | None =
     return joined.select(*out), full, used.groupBy("name", "label").agg(F.count("*").alias("cells"))
 
 
-def mask_table(df: DataFrame, config: EngineConfig | None = None, tags: DataFrame | None = None, **lists):
+def mask_table(df: DataFrame, config: EngineConfig | None = None, tags: DataFrame | None = None, order: str | None = None, **lists):
     """(table, map, report) with the columns that `decided` finds."""
     types = {r["name"]: r["label"] for r in decided(df, config, **lists).where("label is not null").orderBy("ix").collect()}  # a row a column
-    return mask_columns(df, types, tags)
+    return mask_columns(df, types, tags, order)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions import normalize, scalars
 from ..functions.patterns import TEXT_RULES
-from ..functions.spans import detect_rules, detect_text, matches, rule_spans
+from ..functions.spans import detect_rules, detect_text, matches, merged, rule_spans
 from ..operators import boxes, codec, evaluate, lists, scan, tables
 from ..operators.detect import detect, long_spans
 from ..streaming import events as ev
@@ -34,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def config(spark: SparkSession) -> EngineConfig:
+    """spark.veilspark.partitions, if set: to how many partitions texts are dealt, where files are fewer than cores."""
+    return EngineConfig(partitions=int(spark.conf.get("spark.veilspark.partitions", "0")) or None)
+
+
 def _values(docs: DataFrame, key: str, column: str, name: str) -> DataFrame:
     found = docs.select(key, F.col(column).alias("text")).select(key, "text", F.explode_outer(rule_spans(F.col("text"), RULES[name])).alias("m")).where("m is not null")
     return found.select(key, F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value"))
@@ -99,7 +105,12 @@ def rule_url_values(spark, sf):
     return _values(table(spark, sf, "pages"), "page_id", "url", "URL")
 
 
-@query()
+@query(f"""
+    WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_EDGE.format("(?:[0-9][ -]?){13,19}")}', 1)) AS value FROM documents),
+    d AS (SELECT *, list_reverse(list_transform(regexp_extract_all(value, '[0-9]'), lambda x: CAST(x AS INT))) AS n FROM v),
+    s AS (SELECT *, list_sum(list_transform(n, lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END)) AS t FROM d)
+    SELECT doc_id, value FROM s WHERE len(n) BETWEEN 13 AND 19 AND t % 10 = 0
+""")
 def rule_credit_card_luhn(spark, sf):
     return _values(table(spark, sf, "documents"), "doc_id", "text", "CREDIT_CARD")
 
@@ -129,30 +140,31 @@ _COUNTED = ("EMAIL", "IP_ADDRESS", "SWIFT_CODE", "US_SSN", "EMPLOYEE_ID", "LICEN
 _ALL_SQL = " UNION ALL ".join(f"SELECT '{n}' AS label, doc_id, source, lang, unnest(regexp_extract_all(text, '{_EDGE.format(_SQL_RULE[n])}', 1)) AS value FROM documents" for n in _COUNTED)
 
 
+@query(f"SELECT source, lang, label, count(*) AS n FROM ({_ALL_SQL}) GROUP BY ALL")
+def raw_rule_counts(spark, sf):
+    """Matches of those rules that SQL can say, by source and language, before any are merged."""
+    spans = table(spark, sf, "documents").select("source", "lang", F.explode_outer(detect_rules(F.col("text"), [RULES[n] for n in _COUNTED])).alias("m")).where("m is not null")
+    return spans.groupBy("source", "lang", F.col("m.label").alias("label")).agg(F.count("*").alias("n"))
+
+
 def _counted(spark, sf) -> DataFrame:
-    """A row for each span that detect() keeps, under all rules. The SQL can say _COUNTED only."""
-    docs = detect(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
+    """A row for each span that detect() keeps, under all rules, which SQL can't say."""
+    docs = detect(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), config(spark))
     found = docs.select("doc_id", "source", "lang", F.explode_outer("spans").alias("m")).where("m is not null")
     return found.select("doc_id", "source", "lang", F.col("m.label").alias("label"))
 
 
-@query(f"SELECT label, count(*) AS n FROM ({_ALL_SQL}) GROUP BY label")
+@query()
 def rule_counts_by_label(spark, sf):
     return _counted(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT lang, label, count(*) AS n FROM ({_ALL_SQL}) GROUP BY ROLLUP (lang, label)")
+@query()
 def label_rollup(spark, sf):
     return scan.label_rollup(_counted(spark, sf), "lang", "label")
 
 
-@query(f"""
-    WITH s AS ({_ALL_SQL}), f AS (SELECT source AS path, count(*) AS n_docs FROM documents GROUP BY 1),
-    c AS (SELECT source AS path, count(*) AS hits, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
-          bool_or(regexp_matches(label, 'KEY|JWT|PASSWORD|PASSWD|SECRET|TOKEN|CARD|NATIONAL_ID|SSN|PRIVATE')) AS high FROM s GROUP BY 1)
-    SELECT f.path, coalesce(hits, 0) AS hits, coalesce(labels, '') AS labels, CASE WHEN hits IS NULL THEN '無' WHEN high THEN '高' ELSE '中' END AS risk
-    FROM f LEFT JOIN c USING (path)
-""")
+@query()
 def file_risk_report(spark, sf):
     docs = table(spark, sf, "documents")
     files = docs.groupBy(F.col("source").alias("path")).agg(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("error"))
@@ -197,28 +209,39 @@ def clean_whitespace(spark, sf):
 def html_normalised(spark, sf):
     norm = normalize.normalised(F.col("html"), F.lit(False))
     pages = table(spark, sf, "pages").select("page_id", "html", norm.alias("n"))
-    return pages.select("page_id", "n.text", F.size("n.starts").alias("n_offsets"), "n.identity")
+    return pages.select("page_id", "n.text", F.size("n.at").alias("n_runs"), "n.identity")
 
 
 @query()
 def merged_spans(spark, sf):
-    return long_spans(detect(table(spark, sf, "documents").select("doc_id", "text")))
+    return long_spans(detect(table(spark, sf, "documents").select("doc_id", "text"), config(spark)))
 
 
 @query()
 def detect_pages(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return long_spans(detect(pages))
+    return long_spans(detect(pages, config(spark)))
 
 
 @query()
 def mask_text(spark, sf):
-    return codec.mask(detect(table(spark, sf, "documents").select("doc_id", "text")))[0].select("doc_id", "masked", "hits")
+    return codec.mask(detect(table(spark, sf, "documents").select("doc_id", "text"), config(spark)))[0].select("doc_id", "masked", "hits")
 
 
-@query("SELECT doc_id, text, text AS restored, true AS same FROM documents")
+@query(f"""
+    WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_EDGE.format(_SQL_RULE["EMAIL"])}', 1)) AS value FROM documents),
+    c AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1)
+    SELECT doc_id, text AS restored, true AS same, coalesce(n, 0) AS hits,
+           len(regexp_extract_all(text, '<EMAIL_[0-9]+>')) + coalesce(n, 0) AS tags FROM documents LEFT JOIN c USING (doc_id)
+""")
 def mask_restore_roundtrip(spark, sf):
-    return codec.round_trip(detect(table(spark, sf, "documents").select("doc_id", "text")))
+    """E-mail addresses masked and brought back: as many tags as addresses in between, the same text in the end."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = docs.withColumn("spans", merged(detect_rules(F.col("text"), [RULES["EMAIL"]]), F.lit(False)))
+    masked, tags = codec.mask(found)
+    back = codec.restore(masked.withColumn("masked", F.coalesce("masked", "text")), tags)
+    count = F.regexp_count("masked", F.lit("<EMAIL_[0-9]+>")).cast("long")
+    return back.select("doc_id", "restored", F.col("restored").eqNullSafe(F.col("text")).alias("same"), F.col("hits").cast("long").alias("hits"), count.alias("tags"))
 
 
 _PLACES_SQL = f"""
@@ -241,7 +264,7 @@ def tag_dictionary(spark, sf):
 def conversation_masking(spark, sf):
     """Conversations masked with one map: a value has one tag in all turns."""
     turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text", F.struct("conv_id", "turn").alias("doc_ord"))
-    return codec.mask(detect(turns))[0].select("doc_id", "masked", "hits")
+    return codec.mask(detect(turns, config(spark)))[0].select("doc_id", "masked", "hits")
 
 
 # ---- lists: values derived from the documents ----
@@ -285,9 +308,13 @@ def classify_values(spark, sf):
     return lists.classified(values)
 
 
-@query()
+@query("""
+    WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS value FROM benchmark),
+    t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS value FROM documents)
+    SELECT doc_id, CAST(count(*) AS INT) AS n FROM t SEMI JOIN (SELECT value FROM w WHERE len(value) >= 6) USING (value) GROUP BY doc_id
+""")
 def known_dictionary(spark, sf):
-    """Customers' market segments and such as a dictionary, in program-like texts: by join, as a large dictionary would be."""
+    """Places of the benchmark's words of six letters and more in each document that holds any: by join, as a large dictionary would be searched."""
     from ..operators.detect import dictionary_by_join
 
     words = table(spark, sf, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("value")).where("length(value) >= 6").distinct().select(F.lit("WORD").alias("label"), "value")
@@ -311,9 +338,9 @@ def column_header_types(spark, sf):
     return spark.createDataFrame([(n,) for n in names], "name string").withColumn("label", scalars.header_type(F.col("name")))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS label, CAST(0 AS BIGINT) AS votes, CAST(0 AS BIGINT) AS hit_cells WHERE false")
+@query()
 def column_vote_customer(spark, sf):
-    votes = tables.column_votes(tables.cells(table(spark, sf, "customer")))
+    votes = tables.column_votes(tables.cells(table(spark, sf, "customer")), config(spark))
     return votes.select("name", "label", "votes", "hit_cells")
 
 
@@ -336,7 +363,7 @@ def _words(spark, sf) -> DataFrame:
 
 
 _WORDS_SQL = """
-    WITH w0 AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\n]+', ' ', 'g')), ' ') AS ws FROM documents WHERE length(text) < 3000),
+    WITH w0 AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\n]+', ' ', 'g')), ' ') AS ws FROM documents),
     w AS (SELECT doc_id AS image_id, unnest(range(0, len(ws))) AS i, unnest(ws) AS text FROM w0),
     words AS (SELECT image_id, i // 10 AS line_id, i % 10 AS ix, text, CAST(i % 10 * 50 AS DOUBLE) AS left_, CAST(i // 10 * 20 AS DOUBLE) AS top_, CAST(length(text) * 7 AS DOUBLE) AS width FROM w),
     lines AS (SELECT image_id, line_id, string_agg(text, '' ORDER BY ix) AS compact, min(left_) AS x0, min(top_) AS y0, max(left_ + width) AS x1, max(top_ + 15) AS y1 FROM words GROUP BY ALL)
@@ -359,10 +386,10 @@ def line_pairs(spark, sf):
 
 @query()
 def page_boxes(spark, sf):
-    return boxes.entries(boxes.find_boxes(_words(spark, sf))).select("output_name", "page", "tag", "label", "value", "bbox")
+    return boxes.entries(boxes.find_boxes(_words(spark, sf), config=config(spark))).select("output_name", "page", "tag", "label", "value", "bbox")
 
 
-_BOX = "b AS (SELECT l_orderkey % 50 AS image_id, l_orderkey * 10 + l_linenumber AS box_id, l_quantity AS x0, l_discount * 100 AS y0, l_quantity + l_tax * 100 + 1 AS x1, l_discount * 100 + 5 AS y1 FROM lineitem WHERE l_orderkey % 40 = 7)"
+_BOX = "b AS (SELECT l_orderkey % 50 AS image_id, l_orderkey * 10 + l_linenumber AS box_id, l_quantity AS x0, l_discount * 100 AS y0, l_quantity + l_tax * 100 + 1 AS x1, l_discount * 100 + 5 AS y1 FROM lineitem)"
 
 
 @query(f"""WITH {_BOX}, p AS (SELECT a.image_id, a.box_id AS a, c.box_id AS b, (least(a.x1, c.x1) - greatest(a.x0, c.x0)) AS w, (least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS h,
@@ -431,7 +458,7 @@ def greedy_match(spark, sf):
     return evaluate.greedy_match(*_gold(spark, sf))
 
 
-@query("SELECT a.item_id, levenshtein(replace(replace(a.text, ' ', ''), chr(9), ''), replace(replace(b.text, ' ', ''), chr(9), '')) / length(replace(replace(a.text, ' ', ''), chr(9), '')) AS cer FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE regexp_full_match(a.text, '[\\x00-\\x7f]*') AND regexp_full_match(b.text, '[\\x00-\\x7f]*')")
+@query()
 def cer(spark, sf):
     b = table(spark, sf, "benchmark")
     pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("found")), "item_id")

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint in the folder the cluster shares, or cached where none is set (tests)."""
+    """df computed once: a checkpoint in the folder that the cluster shares. Only a local session may lack one: it caches.
+
+    Rows get numbers before this, which must not change when an executor is lost; a cache could be computed anew.
+    """
     if df.sparkSession.conf.get("spark.checkpoint.dir", None):
         return df.checkpoint()
+    if not df.sparkSession.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return df.persist()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where it has fewer partitions than the session has cores: for work that costs far more than moving its rows."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """df dealt to so many partitions, for work that costs far more than moving its rows; None: as it is read."""
+    return df if partitions is None or df.isStreaming else df.repartition(partitions)
 
 
 def ranked(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:

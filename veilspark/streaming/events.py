@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -48,22 +49,23 @@ def stale(overrides: DataFrame, current: DataFrame, key: str, seq: str) -> DataF
 def mask_stream(texts: DataFrame, detect: Callable[[DataFrame], DataFrame], map_path: str, out_path: str, checkpoint: str, how: str = "auto", retries: int = 3, **trigger) -> StreamingQuery:
     """Each micro-batch of texts(doc_id, text) masked or restored with one tag map that grows from batch to batch.
 
-    The map is written as a version a batch, <map_path>/v=<batch>, before the batch's output: a batch that runs again
-    starts from the version before it and gives the same tags. A version that exists is not extended again.
+    Each batch adds its new tags to the map as <map_path>/v=<batch>, before its output. The map of a batch is all that the
+    batches before it added, so one that runs again gives the same tags, and what it added before is replaced. Only the
+    first batch may find no map. detect is called for each batch: lists that it reads then are as new as the batch.
     """
     spark = texts.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        tags = codec.empty_map(spark)
         try:
-            tags = spark.read.schema(codec.MAP + ", v long").parquet(map_path).where(F.col("v") == number - 1).drop("v")
-        except Exception as e:
-            if number and "PATH_NOT_FOUND" not in str(e):
+            tags = spark.read.schema(codec.MAP + ", v long").parquet(map_path).where(F.col("v") < number).drop("v")
+        except AnalysisException as e:
+            if number or e.getCondition() != "PATH_NOT_FOUND":
                 raise
+            tags = codec.empty_map(spark)
         for attempt in range(retries):
             try:
                 out, full = codec.process(batch, tags, detect, how)
-                full.write.mode("overwrite").parquet(f"{map_path}/v={number}")
+                full.join(tags.select("tag", "value"), ["tag", "value"], "left_anti").select(tags.columns).write.mode("overwrite").parquet(f"{map_path}/v={number}")
                 out.select("doc_id", "action", F.coalesce("result", "text").alias("text")).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
                 return
             except Exception:
