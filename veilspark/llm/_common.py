@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +55,37 @@ def dropped(df: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def before(sums: DataFrame, keys: list[str], at: str, n: str, name: str, width: int = 1024) -> DataFrame:
+    """sums(keys, at, n) with name: the sum of n over smaller places `at` (whole numbers) of the same keys.
+
+    Places are summed by groups of `width` first, so that no task orders more than a group or the groups' sums.
+    """
+    top = F.floor(F.col(at) / width).cast("long")
+    grouped = sums.withColumn("__top", top)
+    earlier = Window.partitionBy
+    tops = grouped.groupBy(*keys, "__top").agg(F.sum(n).alias("__n"))
+    order = earlier(*keys, F.floor(F.col("__top") / width)).orderBy("__top").rowsBetween(Window.unboundedPreceding, -1)
+    highest = tops.groupBy(*keys, F.floor(F.col("__top") / width).alias("__high")).agg(F.sum("__n").alias("__h"))
+    lead = earlier(*keys, F.lit(0)).orderBy("__high").rowsBetween(Window.unboundedPreceding, -1)
+    highest = highest.select(*keys, "__high", F.coalesce(F.sum("__h").over(lead), F.lit(0)).alias("__first"))
+    tops = tops.select(*keys, "__top", F.floor(F.col("__top") / width).alias("__high"), F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__second"))
+    tops = tops.join(highest, [*keys, "__high"]).select(*keys, "__top", (F.col("__first") + F.col("__second")).alias("__base"))
+    inside = earlier(*keys, "__top").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    own = grouped.withColumn("__own", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    return own.join(tops, [*keys, "__top"]).withColumn(name, F.col("__base") + F.col("__own")).drop("__top", "__own", "__base")
+
+
+def text_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, whose rows Spark sends to Python in batches of at most `rows`: its default of 10,000 texts can be more than a worker holds.
+
+    The setting is the session's; one that the user has chosen stays.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH) == "10000":
+        conf.set(BATCH, str(rows))
+    return docs
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying its texts; null is empty."""
     if column.null_count:
@@ -85,6 +118,4 @@ def without(docs: DataFrame, added: list[str]) -> DataFrame:
 
 def held_out(doc_id, parts: int, part: int):
     """Whether crc32 of doc_id, as text, leaves `part` when divided by `parts`."""
-    from pyspark.sql import functions as F
-
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

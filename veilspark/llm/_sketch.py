@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved, slices, text_bytes
+from ._common import saved, slices, text_batches, text_bytes
 from ._words import mix
 
 _ROW = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
@@ -52,7 +52,7 @@ def sliced(docs: DataFrame, name: str, most: int = 8_000_000) -> DataFrame:
         if held:
             yield row()
 
-    return saved(docs.mapInArrow(run, "slice long, held binary"), name)
+    return saved(text_batches(docs).mapInArrow(run, "slice long, held binary"), name)
 
 
 def opened(held: bytes) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import saved, slices, text_bytes
+from ._common import saved, slices, text_batches, text_bytes
 from ._words import ALNUM, run_hash, words
 
 SHINGLE, BITS = 3, 1 << 24
@@ -56,7 +56,7 @@ def _windows(benchmark: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lens, pa.int32()), pa.array(shingles, pa.list_(pa.int64()))], names=["item_id", "len", "shingles"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    found = items.mapInArrow(run, "item_id string, len int, shingles array<long>")
+    found = text_batches(items).mapInArrow(run, "item_id string, len int, shingles array<long>")
     return saved(found.withColumn("window", F.md5(F.concat_ws(",", F.col("len").cast("string"), F.col("shingles").cast("array<string>")))), "windows")
 
 
@@ -106,7 +106,7 @@ def _hits(docs: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
                 names=["doc_id", "n_words", "places", "shingles"],
             )
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, places array<long>, shingles array<long>")
+    found = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, places array<long>, shingles array<long>")
     return saved(found.withColumn("row", F.monotonically_increasing_id()), "hits")
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from ._common import slices, text_bytes, without
+from ._common import slices, text_batches, text_bytes, without
 from ._sample import labelled_sample
 from ._words import _BASES, _BYTES, ALNUM, LOWER, Words, _ranges, _sums, mix, words
 
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Languages, spans: bool = False) -> DataFram
             yield pa.RecordBatch.from_arrays(out, names=[*names, "lang_pred", "score", *["spans"] * spans])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    return docs.mapInArrow(run, schema + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans)
+    return text_batches(docs).mapInArrow(run, schema + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans)
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 4000, most_bytes: int = 16_384, switch: float = 12.0) -> Languages:

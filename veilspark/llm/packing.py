@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import saved, slices
+from ._common import before, saved, slices, text_batches
 from ._tokens import encoder
 
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -56,7 +56,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, spaces_matter: bool = True,
             yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in ("doc_id", "no_id", "source", "no_source", "row")), *(pa.array(x, pa.int64()) for x in numbers), pa.array(parts, pa.binary())], names=["doc_id", "no_id", "source", "no_source", "row", "doc_tokens", "start", "length", "ids"])
 
     columns = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), F.monotonically_increasing_id().alias("row"), "text")
-    return saved(columns.mapInArrow(run, _CHUNKS), "encoded")
+    return saved(text_batches(columns).mapInArrow(run, _CHUNKS), "encoded")
 
 
 class Progress:
@@ -99,10 +99,9 @@ class Progress:
 def _queue_places(chunks: DataFrame, blocks: int) -> DataFrame:
     """place: tokens before each document in its queue; held: tokens of the queue. Documents lie in a queue by block (a hash of doc_id) and row."""
     docs = chunks.where("start = 0").select(*_QUEUE, "row", "doc_tokens", F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)).alias("block"))
-    queue = Window.partitionBy(*_QUEUE)
-    before = queue.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = docs.groupBy(*_QUEUE, "block").agg(F.sum("doc_tokens").alias("n"))
-    base = sums.select(*_QUEUE, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(queue).alias("held"))
+    held = sums.groupBy(*_QUEUE).agg(F.sum("n").alias("held"))
+    base = before(sums, _QUEUE, "block", "n", "base").join(held, _QUEUE).select(*_QUEUE, "block", "base", "held")
     inside = Window.partitionBy(*_QUEUE, "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     own = docs.withColumn("own", F.coalesce(F.sum("doc_tokens").over(inside), F.lit(0)))
     return own.join(base, [*_QUEUE, "block"]).select("row", (F.col("base") + F.col("own")).alias("place"), "held")
@@ -149,7 +148,7 @@ def _fill(queues: dict[str | None, deque], owed: dict[str | None, Fraction], fir
     return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, least: int = 128, per_task: int = 4_000_000, weights: dict[str | None, float] | None = None, ordinary: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, least: int = 128, per_task: int = 4_000_000, per_block: int = 100_000, weights: dict[str | None, float] | None = None, ordinary: bool = False) -> DataFrame:
     """Pieces of the documents' ids (each followed by end_id) in sequences of at most `window` tokens; columns PIECES.
 
     Every source is one queue, however many there are: without weights a queue's progress follows from what it holds, which
@@ -220,7 +219,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, least:
         return pa.table({c: own[c] for c in _PACKED_NAMES})
 
     kind = np.uint16 if _vocabulary(path) <= 1 << 16 else np.uint32
-    blocks = max(1, total // per_task)
+    blocks = max(1, total // per_block)
     placed = chunks.join(_queue_places(chunks, blocks), "row").select(*taken, "start", "length", "ids", (F.col("place") + F.col("start")).alias("place"))
     dealt = placed.mapInArrow(deal, "p long, place long, start long, skip long, length long, source string, no_source boolean, held long, doc_id long, no_id boolean, doc_tokens long, ids binary")
     packed = dealt.groupBy("p").applyInArrow(fill, _PACKED)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, without
+from ._common import slices, text_batches, without
 from ._sample import labelled_sample
 
 BLOCK = 2048
@@ -93,7 +93,7 @@ def score(docs: DataFrame, model: Quality) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column("text").to_pylist()))], names=[*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", score double")
+    return text_batches(docs).mapInArrow(run, schema + ", score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 6000, most_bytes: int = 16_384) -> Quality:

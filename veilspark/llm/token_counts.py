@@ -21,7 +21,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import slices
+from ._common import slices, text_batches
 
 
 def zipf_scores(path: str) -> dict[bytes, float]:
@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, scores: str | dict[bytes, float]) -> DataFrame
             counts = [len(t) for t in nodes], [sum(pieces[i] for i in t) for t in nodes], [math.fsum(best[i] for i in t) for t in nodes]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x) for x in counts)], names=["doc_id", "n_pre_tokens", "n_tokens", "log_prob"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_pre_tokens long, n_tokens long, log_prob double")
+    return text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_pre_tokens long, n_tokens long, log_prob double")
 
 
 _SPACES = {c: " " for c in (9, 10, 11, 12, 13)}

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import dropped, saved, slices
+from ._common import before, dropped, saved, slices, text_batches
 from ._tokens import encoder
 
 BLOCKS = "shard int, block int, n_ids long, width int, bits boolean, planes array<binary>, rows array<long>, doc_ids array<long>, no_ids array<boolean>, doc_starts array<long>, lengths array<long>"
@@ -63,7 +63,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, spaces_matter: boo
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", "no_id", "row")), n, pa.array([width] * len(ids), pa.int32()), pa.array([squeeze.compress(x) for x in ids], pa.binary())], names=["doc_id", "no_id", "row", "n_tokens", "width", "ids"])
 
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.monotonically_increasing_id().alias("row"), "text")
-    return saved(named.mapInArrow(run, "doc_id long, no_id boolean, row long, n_tokens long, width int, ids binary"), "ids")
+    return saved(text_batches(named).mapInArrow(run, "doc_id long, no_id boolean, row long, n_tokens long, width int, ids binary"), "ids")
 
 
 def write_store(docs: DataFrame, path: str, end_id: int, spaces_matter: bool, block: int = 65_536, bits: bool = False, per_shard: int = 8_000_000, ordinary: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +141,7 @@ def crc_joined(one: int, two: int, length: int) -> int:
 def _bases(index: DataFrame) -> DataFrame:
     """shard, block, base: ids before each block."""
     shards = index.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    shard_base = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_base"))  # a row a shard
+    shard_base = before(shards, [], "shard", "n", "shard_base").select("shard", "shard_base")
     block_base = F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return index.select("shard", "block", block_base.alias("before")).join(shard_base, "shard").select("shard", "block", (F.col("shard_base") + F.col("before")).alias("base"))
 

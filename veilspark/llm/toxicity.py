@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, text_bytes, without
+from ._common import slices, text_batches, text_bytes, without
 from ._sample import labelled_sample
 from ._words import _BASES, _BYTES, ALNUM, LOWER, Words, _ranges, _sums, mix, words
 
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Toxicity, sentence_threshold: float = 0.3) ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(-np.expm1(-a)), pa.array(found, offending)], names=[*names, "score", "offending"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", score double, offending array<struct<sentence:int,start:bigint,end:bigint,score:double>>")
+    return text_batches(docs).mapInArrow(run, schema + ", score double, offending array<struct<sentence:int,start:bigint,end:bigint,score:double>>")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 5000, most_bytes: int = 16_384) -> Toxicity:
