@@ -19,6 +19,7 @@ MAP = "tag string, label string, n long, value string"
 
 
 def empty_map(spark) -> DataFrame:
+    """Also what clearing a map leaves: tags begin at 1 again, and texts masked before stay as they are."""
     return spark.createDataFrame([], MAP)
 
 

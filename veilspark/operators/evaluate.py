@@ -136,6 +136,18 @@ def gained_lost(base: DataFrame, other: DataFrame) -> DataFrame:
     return other.exceptAll(base).withColumn("change", F.lit("gained")).unionByName(base.exceptAll(other).withColumn("change", F.lit("lost")))
 
 
+def average_cer(cases: DataFrame) -> DataFrame:
+    """average_cer of cases(cer)."""
+    return cases.agg(F.avg("cer").alias("average_cer"))
+
+
+def by_scale(cases: DataFrame, labels: list[str]) -> DataFrame:
+    """label, and PASS or MISS at each scale, of cases(scale, detected array<string>): found in any case of that scale."""
+    wanted = cases.select("scale", F.explode(F.array(*map(F.lit, labels))).alias("label"), "detected")
+    met = F.when(F.max(F.array_contains("detected", F.col("label")).cast("int")) > 0, "PASS").otherwise("MISS")
+    return wanted.groupBy("label").pivot("scale").agg(met)
+
+
 def recall_matrix(cases: DataFrame, labels: list[str]) -> DataFrame:
     """case, and PASS or MISS for each label, of cases(case, detected array<string>)."""
     return cases.select("case", *(F.when(F.array_contains("detected", x), "PASS").otherwise("MISS").alias(x) for x in labels), F.array_except(F.array(*map(F.lit, labels)), "detected").alias("missing"))

@@ -40,6 +40,11 @@ def without(table: DataFrame, *others: DataFrame) -> DataFrame:
     return table
 
 
+def is_blocked(values: DataFrame, blocked: DataFrame) -> DataFrame:
+    """values with blocked: whether the value is on the list."""
+    return values.join(blocked.select("value", F.lit(True).alias("blocked")).distinct(), "value", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+
+
 def _upsert(items: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """new: value, label, count, sources. Counts add up, the first label stays, the last five sources are kept."""
     both = items.alias("o").join(new.alias("n"), "value", "full_outer")

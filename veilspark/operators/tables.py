@@ -29,18 +29,21 @@ def cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return rows.select("row_id", F.inline(each))
 
 
-def column_votes(long: DataFrame, config: EngineConfig | None = None, **lists) -> DataFrame:
-    """ix, name, label, votes, hit_cells, first: how often each label lies in a column's cells. Each distinct value is detected once."""
+def column_votes(long: DataFrame, config: EngineConfig | None = None, of: tuple[str, ...] = (), **lists) -> DataFrame:
+    """ix, name, label, votes, hit_cells, first: how often each label lies in a column's cells. Each distinct value is detected once.
+
+    of: further columns of `long` that tell tables apart.
+    """
     config = config or EngineConfig()
     good = long.where(is_candidate(F.col("value")))
-    values = good.groupBy("ix", "name", "value").agg(F.count("*").alias("n"), F.min("row_id").alias("row"))
+    values = good.groupBy(*of, "ix", "name", "value").agg(F.count("*").alias("n"), F.min("row_id").alias("row"))
     distinct = values.select("value").distinct().select(F.col("value").alias("doc_id"), F.col("value").alias("text"), F.lit(False).alias("is_code"))
     found = detect(distinct, config, **lists).where(F.size("spans") > 0).select(F.col("doc_id").alias("value"), F.posexplode(F.transform("spans", lambda m: m.label)).alias("pos", "label"))
     found = found.where(~F.col("label").isin(*config.ignored_column_labels)) if config.ignored_column_labels else found
     each = values.join(found, "value")
-    hit = values.join(found.select("value").distinct(), "value", "left_semi").groupBy("ix").agg(F.sum("n").alias("hit_cells"))
-    votes = each.groupBy("ix", "name", "label").agg(F.sum("n").alias("votes"), F.min(F.struct("row", "pos")).alias("first"))
-    return votes.join(hit, "ix")
+    hit = values.join(found.select("value").distinct(), "value", "left_semi").groupBy(*of, "ix").agg(F.sum("n").alias("hit_cells"))
+    votes = each.groupBy(*of, "ix", "name", "label").agg(F.sum("n").alias("votes"), F.min(F.struct("row", "pos")).alias("first"))
+    return votes.join(hit, [*of, "ix"])
 
 
 def decided(df: DataFrame, config: EngineConfig | None = None, **lists) -> DataFrame:

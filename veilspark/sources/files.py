@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +15,19 @@ from ..operators.codec import imported_map
 from ..operators.scan import extension, file_kind
 
 
+#: Bytes of a table's head that its delimiter and encoding are taken from.
+HEAD = 65_536
+_CELLS = ["path", "delimiter", "row_id", "ix", "name", "value", "error"]
+
+
 def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, kind, length, modified, content of the supported files: no skipped or already masked folder, no masked file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    inner = F.regexp_replace("path", "^.*?" + _quoted(folder.rstrip("/").rpartition("/")[2]) + "/", "")
+    inner = F.regexp_replace("path", "^.*?" + quoted(folder.rstrip("/").rpartition("/")[2]) + "/", "")
     return scannable(found, inner).withColumn("kind", file_kind(F.col("path"))).orderBy("path")
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
@@ -70,38 +78,120 @@ def read_texts(files: DataFrame, errors: str = "error") -> DataFrame:
     return files.withColumn("__d", decoded(F.col("content"), errors=errors)).select(*files.columns, "__d.*")
 
 
-def encoded(text: Column, encoding: Column) -> Column:
-    """Bytes in the encoding that a text came in."""
+def text_bytes(texts: DataFrame) -> DataFrame:
+    """path, content: texts(path, text, encoding) in the encoding that each came in."""
 
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else t.encode(n or "utf-8", "replace") for t, n in zip(texts, names, strict=True)])
+    def run(frames):
+        for f in frames:
+            content = [None if t is None else t.encode(e or "utf-8", "replace") for t, e in zip(f["text"], f["encoding"], strict=True)]
+            yield pd.DataFrame({"path": f["path"], "content": content})
 
-    return run(text, encoding)
+    return texts.select("path", "text", "encoding").mapInPandas(run, "path string, content binary")
 
 
 def sniff_delimiter(head: str) -> str:
-    """Of , ; tab and |, the one that splits the first lines most evenly; a comma if none does."""
-    lines = [x for x in head[:4096].splitlines() if x.strip()][:20]
-    best = (0, ",")
-    for d in ",;\t|":
-        counts = [x.count(d) for x in lines]
-        if counts and min(counts) > 0 and len(set(counts)) <= 2:
-            best = max(best, (min(counts) * (2 - len(set(counts)) + 1), d), key=lambda b: b[0])
-    return best[1]
+    """Of , ; tab and |, what the standard library's sniffer sees in the first 4096 characters; a comma if it sees nothing."""
+    try:
+        return csv.Sniffer().sniff(head[:4096], delimiters=",;\t|").delimiter
+    except csv.Error:
+        return ","
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+    """A wide table, all columns as text; the first row names them. What is not given of delimiter and encoding (UTF-8 or
+    cp950) is taken from the first file's head."""
+    if delimiter is None or encoding is None:
+        first = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, HEAD).alias("content"), F.col("length") > HEAD).limit(1)
+        raw, cut = first.first() or (b"", False)
+        text, found = decode_table(bytes(raw), cut)
+        encoding = encoding or found
+        delimiter = delimiter or ("\t" if path.lower().endswith(".tsv") else sniff_delimiter(text))
+    if encoding == "cp950":  # which Spark's own reader does not know: cell by cell, then wide again
+        cells = delimited_cells(spark.read.format("binaryFile").load(path), delimiter)
+        names = [r["value"] for r in cells.where("row_id = 0").select("ix", "value").distinct().orderBy("ix").collect()]  # a row a column
+        of = lambda i, n: F.max(F.when(F.col("ix") == i, F.col("value"))).alias(n)
+        return cells.where("row_id > 0").groupBy("path", "row_id").agg(*(of(i, n) for i, n in enumerate(names))).select(*(F.col(f"`{n}`") for n in names))
+    df = spark.read.csv(path, sep=delimiter, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', enforceSchema=False, encoding="UTF-8")
+    return df.withColumnsRenamed({c: c.removeprefix("\ufeff") for c in df.columns[:1]})
+
+
+def decode_table(raw: bytes, cut: bool = False) -> tuple[str, str]:
+    """(text, encoding): UTF-8 with or without a byte-order mark, then cp950, else UTF-8 with replacements. cut: the bytes may end inside a character."""
+    for e in ("utf-8-sig", "cp950"):
+        for n in range(4 if cut else 1):
+            try:
+                return raw[: len(raw) - n].decode(e), e
+            except UnicodeDecodeError:
+                continue
+    return raw.decode("utf-8", "replace"), "utf-8"
+
+
+def delimited_cells(files: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """path, delimiter, row_id, ix, name, value, error: all cells of delimited files(path, content), each with its own
+    encoding and, unless one is given, delimiter; a row of one file in which only error is set if it can't be read. row_id 0 holds the header."""
+
+    def run(frames):
+        for f in frames:
+            for path, raw in zip(f["path"], f["content"], strict=True):
+                out = []
+                try:
+                    text, _ = decode_table(bytes(raw))
+                    cut = delimiter or ("\t" if path.lower().endswith(".tsv") else sniff_delimiter(text))
+                    names = []
+                    for n, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=cut)):
+                        names = row if n == 0 else names
+                        out += [(path, cut, n, i, names[i] if i < len(names) else "", v, None) for i, v in enumerate(row)]
+                        if len(out) > 50_000:
+                            yield pd.DataFrame(out, columns=_CELLS)
+                            out = []
+                except Exception as e:
+                    out = [(path, None, None, None, None, None, str(e) or type(e).__name__)]
+                yield pd.DataFrame(out, columns=_CELLS).astype({"row_id": "Int64", "ix": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, delimiter string, row_id long, ix int, name string, value string, error string")
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All columns as text; the first row names them. Without a delimiter it is taken from the file's head."""
-    if delimiter is None:
-        delimiter = "\t" if path.lower().endswith(".tsv") else sniff_delimiter("\n".join(r[0] for r in spark.read.text(path).limit(20).collect()))
-    return spark.read.csv(path, sep=delimiter, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', enforceSchema=False)
+def delimited_bytes(cells: DataFrame) -> DataFrame:
+    """path, content: cells(path, delimiter, row_id, ix, value) as delimited files again, in UTF-8 with a byte-order mark. A file is one group, as it was one to read."""
+
+    def run(key, f):
+        out = io.StringIO(newline="")
+        rows = f.sort_values(["row_id", "ix"])
+        writer = csv.writer(out, delimiter=rows["delimiter"].iloc[0], lineterminator="\n")
+        for _, row in rows.groupby("row_id", sort=False):
+            writer.writerow(row["value"])
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue().encode("utf-8-sig")]})
+
+    return cells.groupBy("path").applyInPandas(run, "path string, content binary")
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",") -> None:
     df.write.mode("overwrite").csv(path, sep=delimiter, header=True, quote='"', escape='"')
 
 
+def write_files(files: DataFrame) -> DataFrame:
+    """path and error (null if it was written) of files(path, content): each under its own name. Executors write them, through
+    Arrow's file systems; a file that exists is replaced, so a task that runs again does no harm. Call an action once."""
+
+    def run(frames):
+        from pyarrow import fs
+
+        for f in frames:
+            errors = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    store, place = fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri("file://" + path.removeprefix("file:"))
+                    store.create_dir(place.rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(place) as out:
+                        out.write(content)
+                    errors.append(None)
+                except Exception as e:
+                    errors.append(str(e) or type(e).__name__)
+            yield pd.DataFrame({"path": f["path"], "error": errors})
+
+    return files.select("path", "content").mapInPandas(run, "path string, error string")
+
+
 def write_texts(df: DataFrame, path: str, column: str = "masked") -> None:
     df.select(column).write.mode("overwrite").text(path)
 
@@ -125,6 +215,24 @@ def read_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return marked.where(F.col("_corrupt_record").isNull() & F.col("value").isNotNull()).drop("_corrupt_record")
 
 
+def unreadable(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path and record of what read_list leaves out, to be set aside."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.where(F.from_json("value", f"array<struct<{schema}>>").isNull()).select(F.input_file_name().alias("path"), F.col("value").alias("record"))
+
+
+def write_list(items: DataFrame, path: str, version: int) -> None:
+    """A list as a new version beside the earlier ones, <path>/v=<version>, so that a failed write harms none of them."""
+    items.write.mode("error").json(f"{path}/v={version}")
+
+
+def newest_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The latest version that write_list has finished."""
+    marked = spark.read.schema(schema + ", v long").json(path)
+    top = marked.agg(F.max("v")).first()[0]
+    return marked.where(F.col("v") == F.lit(top)).drop("v")
+
+
 def known_entities(lines: DataFrame) -> DataFrame:
     """label, value of lines(value) "LABEL<tab>value"; blanks, comments and malformed lines are left out."""
     line = F.regexp_replace(F.col("value"), "^\\x{feff}", "")
