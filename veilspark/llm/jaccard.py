@@ -40,6 +40,7 @@ from ._words import NOT_SPACE, mix, run_hash, words
 from .components import components
 
 _NONE = -(1 << 63)
+PART = 2048
 #: How many members of a list ask in each round after the first.
 ROUNDS = (8, 256, None)
 _SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
@@ -137,10 +138,20 @@ def _close(t: Threshold, a: str, b: str) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * t.percent) & (F.least(i, j) + F.least(n - i, m - j) >= need)
 
 
+def _dealt(lists: DataFrame) -> DataFrame:
+    """lists with part: long lists are dealt to parts of about PART members, so that joins on a list are no single task's."""
+    return lists.withColumn("part", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / PART).cast("long")))
+
+
+def _for_parts(of_list: DataFrame) -> DataFrame:
+    """of_list(token, size, ...), a row for each part of the list."""
+    return of_list.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / PART).cast("long") - 1))).drop("size")
+
+
 def _first_askers(lists: DataFrame, t: Threshold) -> DataFrame:
     """a, b: of the classes that come first in a list, the one that each class b shares most lists with."""
-    centre = lists.groupBy("token").agg(F.min_by(F.struct("c", "n", "place"), "c").alias("y"))
-    met = lists.select("token", F.struct("c", "n", "place").alias("x")).join(centre, "token")
+    centre = lists.groupBy("token", "size").agg(F.min_by(F.struct("c", "n", "place"), "c").alias("y"))
+    met = _dealt(lists).select("token", "part", F.struct("c", "n", "place").alias("x")).join(_for_parts(centre), ["token", "part"])
     met = met.where((F.col("x.c") != F.col("y.c")) & _close(t, "x", "y"))
     often = met.groupBy(F.col("x.c").alias("b"), F.col("y.c").alias("a")).agg(F.count("*").alias("k"))
     return often.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
@@ -249,11 +260,11 @@ def _searched(members: DataFrame, askers: DataFrame, classes: DataFrame, t: Thre
 
 
 def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """token, bundle, c, label: the members of lists with several components, and the largest one of their list, which bundles it."""
-    named = lists.select("token", "c").join(roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    held = named.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token")
+    """token, size, bundle, c, label: the members of lists with several components, and the largest one of their list, which bundles it."""
+    named = lists.select("token", "size", "c").join(roots.select(F.col("node").alias("c"), F.col("root").alias("label")), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    held = named.groupBy("token", "size", "label").agg(F.count("*").alias("k")).groupBy("token", "size")
     kinds = held.agg(F.max_by("label", F.struct("k", "label")).alias("bundle"), F.count("*").alias("kinds")).where("kinds > 1")
-    return named.join(kinds, "token").select("token", "bundle", "c", "label")
+    return _dealt(named).join(_for_parts(kinds.drop("kinds")), ["token", "part"]).select("token", "size", "bundle", "c", "label")
 
 
 def _askers(mixed: DataFrame, most: int | None) -> DataFrame:
@@ -300,8 +311,9 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     alive = described.where(F.col("tokens").isNotNull()).groupBy("n", "s1", "s2").agg(*(F.first(x).alias(x) for x in ("tokens", "prefix", "places")))
     classes = saved(alive.withColumn("c", F.monotonically_increasing_id()), "classes")
     each = classes.select("c", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("c", "n", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
-    shared = each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    shared = saved(each.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     lists = saved(each.join(shared, "token"), "lists")
+    dropped(shared)
     roots = _links(lists, classes, t)
     dropped(lists)
     own = described.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_key").alias("least"))
