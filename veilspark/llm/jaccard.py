@@ -320,7 +320,9 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     named = own.join(classes.select("n", "s1", "s2", "c"), ["n", "s1", "s2"], "left").join(roots.withColumnRenamed("node", "c"), "c", "left")
     named = saved(named.select("n", "s1", "s2", "least", "root"), "named")
     of_root = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    whole = saved(named.join(of_root, "root", "left").select("n", "s1", "s2", F.coalesce("component", "least").alias("component")), "components")
+    of_root = of_root.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))  # so that a large component is many keys
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("n", "s1", "s2"), F.lit(16)))
+    whole = saved(dealt.join(of_root, ["root", "part"], "left").select("n", "s1", "s2", F.coalesce("component", "least").alias("component")), "components")
     for done in (classes, roots, named):
         dropped(done)
     # a table read back on either side: Spark may split the rows of a class with very many copies

@@ -35,6 +35,9 @@ for _a, _b, _s in _RANGES:
     _SCRIPT[_a:_b] = _s
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: First bytes of characters that weigh in a vote: not those whose characters are mostly quotes, dashes, signs and emoji.
+_VOTES = _LETTER.copy()
+_VOTES[[b for b in range(0xC3, 0xF0) if b != 0xE2]] = True
 
 
 @dataclass
@@ -148,18 +151,19 @@ def identify(docs: DataFrame, model: Languages, spans: bool = False) -> DataFram
     def run(batches):
         model = shared.value
         k = max(1, len(model.names))
-        for b in slices(batches, most=4_000_000):
+        for b in slices(batches, most=max(50_000, 64_000_000 // k**2)):  # the pass holds k * k states for each word
             raw, offsets = text_bytes(b.column("text"))
             w = words(raw, offsets, ALNUM, True)
             path = best_paths(model.word_scores(raw, w), w.first, model.switch)
-            letters = np.concatenate([[0], np.cumsum(_LETTER[raw] | (raw >= 0xC0))])
+            letters = np.concatenate([[0], np.cumsum(_VOTES[raw])])
             weight = letters[w.end] - letters[w.start]
             text = w.text_of()
             held = np.bincount(text * k + path, weight, b.num_rows * k).reshape(-1, k) if len(path) else np.zeros((b.num_rows, k))
             total, top = held.sum(1), held.argmax(1)
             ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])
             known = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
-            for i in np.flatnonzero(~known & (total > 0)):
+            beyond = np.concatenate([[0], np.cumsum(raw >= 0xC0)])
+            for i in np.flatnonzero(~known & (beyond[offsets[1:]] > beyond[offsets[:-1]])):
                 known[i] = any(c.isalpha() for c in b.column("text")[int(i)].as_py() or "")
             known &= len(model.names) > 0
             lang = [model.names[t] if ok else "und" for t, ok in zip(top, known, strict=True)]

@@ -1,4 +1,11 @@
-"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and, but for the last, returns documents' columns."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and, but for the last, returns documents' columns.
+
+Nulls, empty and very long texts: whole texts are judged; a null or empty one is never toxic by its words, never a near
+copy, repeat or hit, and stays. A null doc_id is a document's id as any other and sorts first. Decisions on a doc_id
+(near copies, contamination) hold for all rows that bear it; rows equal in every column are one where near copies go.
+Ties: the smallest doc_id of a group of near copies stays, the earliest (doc_id, place) of a repeated passage. Columns beyond
+those of documents are dropped, whatever their names. An empty table gives an empty table of the same columns.
+"""
 
 from __future__ import annotations
 
