@@ -352,8 +352,8 @@ def column_mask_counts(spark, sf):
 
 @query("SELECT n_nationkey, '<PERSON_' || row_number() OVER (ORDER BY n_nationkey) || '>' AS n_name, n_regionkey FROM nation")
 def column_mask(spark, sf):
-    nation = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).sortWithinPartitions("n_nationkey")
-    return tables.mask_columns(nation, {"n_name": "PERSON"})[0]
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return tables.mask_columns(nation, {"n_name": "PERSON"}, order="n_nationkey")[0]
 
 
 # ---- words, lines and boxes: documents laid out as words of 10 to a line ----
