@@ -13,6 +13,7 @@ from ..functions.patterns import TEXT_RULES
 from ..functions.spans import detect_rules, detect_text, matches, merged, rule_spans
 from ..operators import boxes, codec, evaluate, lists, scan, tables
 from ..operators.detect import detect, long_spans
+from ..session import spread
 from ..streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,11 @@ def config(spark: SparkSession) -> EngineConfig:
     return EngineConfig(partitions=int(spark.conf.get("spark.veilspark.partitions", "0")) or None)
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt as config() says."""
+    return spread(table(spark, sf_dir, name), config(spark).partitions)
+
+
 def _values(docs: DataFrame, key: str, column: str, name: str) -> DataFrame:
     found = docs.select(key, F.col(column).alias("text")).select(key, "text", F.explode_outer(rule_spans(F.col("text"), RULES[name])).alias("m")).where("m is not null")
     return found.select(key, F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value"))
@@ -68,17 +74,17 @@ def _sql_values(name: str) -> str:
 
 @query(_sql_values("EMAIL"))
 def rule_email_values(spark, sf):
-    return _values(table(spark, sf, "documents"), "doc_id", "text", "EMAIL")
+    return _values(texts(spark, sf, "documents"), "doc_id", "text", "EMAIL")
 
 
 @query(_sql_values("IP_ADDRESS"))
 def rule_ip_values(spark, sf):
-    return _values(table(spark, sf, "documents"), "doc_id", "text", "IP_ADDRESS")
+    return _values(texts(spark, sf, "documents"), "doc_id", "text", "IP_ADDRESS")
 
 
 @query(_sql_values("SWIFT_CODE"))
 def rule_swift_values(spark, sf):
-    return _values(table(spark, sf, "documents"), "doc_id", "text", "SWIFT_CODE")
+    return _values(texts(spark, sf, "documents"), "doc_id", "text", "SWIFT_CODE")
 
 
 _SECRET_SQL = """
@@ -89,7 +95,7 @@ _SECRET_SQL = """
 
 @query(_SECRET_SQL)
 def rule_generic_secret_values(spark, sf):
-    return _values(table(spark, sf, "documents"), "doc_id", "text", "GENERIC_SECRET")
+    return _values(texts(spark, sf, "documents"), "doc_id", "text", "GENERIC_SECRET")
 
 
 @query("""
@@ -97,12 +103,12 @@ def rule_generic_secret_values(spark, sf):
     WHERE regexp_full_match(t, '[A-Za-z0-9]{8,29}') AND regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[0-9]')
 """)
 def rule_credential_values(spark, sf):
-    return _values(table(spark, sf, "documents"), "doc_id", "text", "CREDENTIAL_LIKE")
+    return _values(texts(spark, sf, "documents"), "doc_id", "text", "CREDENTIAL_LIKE")
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(url, 'https?://[^\\s\"''<>]+')) AS value FROM pages")
 def rule_url_values(spark, sf):
-    return _values(table(spark, sf, "pages"), "page_id", "url", "URL")
+    return _values(texts(spark, sf, "pages"), "page_id", "url", "URL")
 
 
 @query(f"""
@@ -112,7 +118,7 @@ def rule_url_values(spark, sf):
     SELECT doc_id, value FROM s WHERE len(n) BETWEEN 13 AND 19 AND t % 10 = 0
 """)
 def rule_credit_card_luhn(spark, sf):
-    return _values(table(spark, sf, "documents"), "doc_id", "text", "CREDIT_CARD")
+    return _values(texts(spark, sf, "documents"), "doc_id", "text", "CREDIT_CARD")
 
 
 @query("""
@@ -143,7 +149,7 @@ _ALL_SQL = " UNION ALL ".join(f"SELECT '{n}' AS label, doc_id, source, lang, unn
 @query(f"SELECT source, lang, label, count(*) AS n FROM ({_ALL_SQL}) GROUP BY ALL")
 def raw_rule_counts(spark, sf):
     """Matches of those rules that SQL can say, by source and language, before any are merged."""
-    spans = table(spark, sf, "documents").select("source", "lang", F.explode_outer(detect_rules(F.col("text"), [RULES[n] for n in _COUNTED])).alias("m")).where("m is not null")
+    spans = texts(spark, sf, "documents").select("source", "lang", F.explode_outer(detect_rules(F.col("text"), [RULES[n] for n in _COUNTED])).alias("m")).where("m is not null")
     return spans.groupBy("source", "lang", F.col("m.label").alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -269,7 +275,7 @@ def conversation_masking(spark, sf):
 
 # ---- lists: values derived from the documents ----
 def _entries(spark, sf) -> DataFrame:
-    v = _values(table(spark, sf, "documents"), "doc_id", "text", "SWIFT_CODE")
+    v = _values(texts(spark, sf, "documents"), "doc_id", "text", "SWIFT_CODE")
     return v.select("value", F.lit("SWIFT_CODE").alias("label"), F.concat(F.lit("doc"), F.col("doc_id") % 3).alias("source"), F.col("doc_id").alias("ord"))
 
 
@@ -302,10 +308,10 @@ def block_items(spark, sf):
 
 @query()
 def classify_values(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "text")
     spans = docs.select("text", F.explode_outer(detect_text(F.col("text"))).alias("m")).where("m is not null")
     values = spans.select(F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value")).distinct()
-    return lists.classified(values)
+    return lists.classified(spread(values, config(spark).partitions))
 
 
 @query("""
@@ -318,7 +324,7 @@ def known_dictionary(spark, sf):
     from ..operators.detect import dictionary_by_join
 
     words = table(spark, sf, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("value")).where("length(value) >= 6").distinct().select(F.lit("WORD").alias("label"), "value")
-    found = dictionary_by_join(table(spark, sf, "documents").select("doc_id", "text"), words, ["doc_id"], False)
+    found = dictionary_by_join(texts(spark, sf, "documents").select("doc_id", "text"), words, ["doc_id"], False)
     return found.select("doc_id", F.size("spans").alias("n"))
 
 
@@ -358,7 +364,7 @@ def column_mask(spark, sf):
 
 # ---- words, lines and boxes: documents laid out as words of 10 to a line ----
 def _words(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \\n]+", " ")), " ")).alias("i", "text"))
+    docs = texts(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \\n]+", " ")), " ")).alias("i", "text"))
     return docs.select(F.col("doc_id").alias("image_id"), F.lit(0).alias("page"), F.floor(F.col("i") / 10).alias("line_id"), (F.col("i") % 10).alias("word_ix"), "text", (F.col("i") % 10 * 50).cast("double").alias("left"), (F.floor(F.col("i") / 10) * 20).cast("double").alias("top"), (F.length("text") * 7).cast("double").alias("width"), F.lit(15.0).alias("height"))
 
 
