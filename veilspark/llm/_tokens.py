@@ -51,7 +51,7 @@ class Encoder:
     these skip the first two, which take most of the time, and words and marks are remembered apart.
     """
 
-    def __init__(self, path: str, spaces_matter: bool, ordinary: bool = False, keep: int = 600_000):
+    def __init__(self, path: str, spaces_matter: bool, ordinary: bool = False, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
