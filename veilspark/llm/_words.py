@@ -73,20 +73,27 @@ class Words:
         return at[at + k <= last]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool) -> Words:
-    """Maximal runs of `inside` bytes of each text."""
+def bounds(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the maximal runs of `inside` bytes of each text, as in Words."""
     if not len(raw):
         none = np.zeros(0, np.int64)
-        return Words(none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64))
+        return none, none, np.zeros(len(offsets), np.int64)
     w = inside[raw]
     cut = np.zeros(len(raw) + 1, bool)
     cut[offsets] = True
     before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
     before[1:], after[:-1] = w[:-1], w[1:]
     start = np.flatnonzero(w & (~before | cut[:-1]))
-    end = np.flatnonzero(w & (~after | cut[1:])) + 1
+    return start, np.flatnonzero(w & (~after | cut[1:])) + 1, np.searchsorted(start, offsets)
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool) -> Words:
+    """Maximal runs of `inside` bytes of each text."""
+    start, end, first = bounds(raw, offsets, inside)
+    if not len(start):
+        return Words(start, end, start.astype(np.uint64), first)
     sums = _sums(_BYTES[LOWER[raw] if lower else raw], _BASES[0])
-    return Words(start, end, mix(_ranges(sums, start, end, _BASES[0])), np.searchsorted(start, offsets))
+    return Words(start, end, mix(_ranges(sums, start, end, _BASES[0])), first)
 
 
 def run_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
