@@ -21,6 +21,7 @@ from .substring_dedup import substring_dedup
 from .jaccard import jaccard_components
 from .ranked_search import ranked_search
 from .resampling import resample
+from .suffix_dedup import suffix_dedup
 
 
 def _path(name: str) -> str:
@@ -87,6 +88,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=90, k=3)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup(docs, window=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed="2024")
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -96,7 +102,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k, op5_toxicity, op10_quality, op7_language, op3_token_counts, op2_decontamination, op9_substring_dedup, op6_jaccard_join, op12_importance_resampling, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_store, op8_top_k, op5_toxicity, op10_quality, op7_language, op3_token_counts, op2_decontamination, op9_substring_dedup, op6_jaccard_join, op11_suffix_dedup, op12_importance_resampling, op13_ranked_search)}
 SQL: dict[str, str] = {
     "op8_top_k": """
         WITH v AS (
