@@ -51,8 +51,11 @@ def _values(docs: DataFrame, key: str, column: str, name: str) -> DataFrame:
     return found.select(key, F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value"))
 
 
-# RE2 has no lookaround: where a match is bounded by one character on either side, the SQL consumes both.
-_EDGE = "(?:^|[^A-Za-z0-9_])({})(?:[^A-Za-z0-9_]|$)"
+# RE2 has no lookaround. Values end in a letter or digit, so \\b says that none follows; the character before is consumed,
+# which no earlier value can hold, as it ends in a letter or digit itself.
+_EDGE = r"(?:^|[^A-Za-z0-9_])({})\b"
+#: A card number may end in a space or hyphen, after which \\B says that neither letter nor digit follows.
+_CARD = r"(?:^|[^A-Za-z0-9_])((?:[0-9][ -]?){12,18}[0-9](?:[ -]\B|\b))"
 _OCT = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _SQL_RULE = {
     "EMAIL": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
@@ -112,7 +115,7 @@ def rule_url_values(spark, sf):
 
 
 @query(f"""
-    WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_EDGE.format("(?:[0-9][ -]?){13,19}")}', 1)) AS value FROM documents),
+    WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_CARD}', 1)) AS value FROM documents),
     d AS (SELECT *, list_reverse(list_transform(regexp_extract_all(value, '[0-9]'), lambda x: CAST(x AS INT))) AS n FROM v),
     s AS (SELECT *, list_sum(list_transform(n, lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END)) AS t FROM d)
     SELECT doc_id, value FROM s WHERE len(n) BETWEEN 13 AND 19 AND t % 10 = 0
