@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Folders of local sessions that set none, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"{CHECKPOINT} must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set(CHECKPOINT, found)
+        application = spark.sparkContext.applicationId
+        found = _LOCAL[application] = _LOCAL.get(application) or tempfile.mkdtemp(prefix="veilspark-")
     return found.rstrip("/")
 
 
