@@ -77,6 +77,16 @@ def test_one_long_text(spark):
     assert sorted(map(tuple, got), key=str) == expected(rows, 100)
 
 
+@pytest.mark.parametrize("narrow", [((1, 1),), ((1, 8),), ((3, 1), (1, 5)), ((4, 7),)])
+def test_common_anchors_are_parted(spark, rows, narrow):
+    """However snippets are parted, the same bytes go."""
+    rng = random.Random(6)
+    line = "a line of eighty characters or so that is common " + "x y z " * 6
+    mine = [r[:2] for r in rows if len(r[1] or "") < 5_000] + [(50_000 + i, "".join(rng.choice("abcdef ") for _ in range(60)) + line + "".join(rng.choice("abcdef ") for _ in range(60))) for i in range(40)]
+    got = suffix_dedup(spark.createDataFrame(mine, "doc_id long, text string"), narrow=narrow).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == expected(mine, 100)
+
+
 def test_empty_table(spark, empty_dir):
     assert QUERIES["op11_suffix_dedup"](spark, empty_dir).collect() == []
 

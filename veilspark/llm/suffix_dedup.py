@@ -7,8 +7,11 @@ which of its anchors may occur again; it only overestimates, so it loses none, a
 snippets alone are sent, dealt by anchor. Copies of one snippet in a slice are known repeats but for the first, and are not
 sent: a passage that a third of all documents hold is sent once a slice.
 
+Where a string shorter than a window is very common, its snippets are many and differ. So snippets of an anchor that occurs very
+often are parted further, by the anchor's place in a window and the bytes that all windows of that place share (NARROW).
+
 A bucket of anchors puts its distinct snippets, each at its earliest place, one after another and builds a run-length
-index of them: a Burrows-Wheeler transform by runs with sampled run ends (run_index). Streaming through the text, the
+index of them, for a share of anchors at a time: a Burrows-Wheeler transform by runs with sampled run ends (run_index). Streaming through the text, the
 index gives the matching statistics of each place; windows whose matches reach the window's length are linked, and of
 linked ones all but the earliest (doc_id, start) are repeats. What lies between the separators of snippets matches no
 further than they do, so a snippet's ends are exact to the byte. Repeats go back to their slice, where a last pass cuts
@@ -32,14 +35,17 @@ from pyspark.sql import functions as F
 
 from ._common import slices, text_bytes, without
 from ._sketch import Sketch, opened, sliced
-from ._words import _BASES, _BYTES, _ranges, _sums, long_run_hash, mix
+from ._words import _BASES, _BYTES, mix
 from .run_index import RunIndex
 
-_NONE = -(1 << 63)
+_NONE, _HIGH = -(1 << 63), ~np.uint64((1 << 24) - 1)
 _SENT = "bucket long, slice long, n long, snippets binary, text binary"
 ADDED = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
-#: Of a snippet: two hashes, its document, row in its slice, first window and number of windows.
-_SNIPPET = [("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("row", "<i4"), ("start", "<i8"), ("count", "<i4")]
+#: From so many occurrences on, as a power of two, an anchor's snippets are parted by where it stands in their windows, to so
+#: many places a part.
+NARROW = ((18, 1), (12, 8))
+#: Of a snippet: what it is dealt by, two hashes, its document, row in its slice, first window and number of windows.
+_SNIPPET = [("key", "<u4"), ("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("row", "<i4"), ("start", "<i8"), ("count", "<i4")]
 _MARK = [("row", "<i4"), ("start", "<i8"), ("count", "<i4")]
 
 
@@ -71,42 +77,95 @@ def _smallest(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - span)], h[w - span :]) if w > span else h
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base, kept for the next call."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, 1 << 19), base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base][:n]
+
+
+def _sums(values: np.ndarray, base: int) -> np.ndarray:
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(base, len(values)), dtype=np.uint64, out=out[1:])
+    return out
+
+
+def _hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    return mix((sums[end] - sums[begin]) * _powers(pow(base, -1, 1 << 64), len(sums))[begin])
+
+
 def _snippets_of(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(anchor, h1, h2, row, start, count) of the snippets of texts of less than 2**24 bytes in all."""
-    k = max(1, 2 * window // 5)
-    w, n, lengths = window - k + 1, len(raw), np.diff(offsets)
-    row = np.repeat(np.arange(len(lengths)), np.maximum(lengths - window + 1, 0))
-    start = _ranges_of(offsets[:-1], np.maximum(lengths - window + 1, 0))
-    if not len(start):
+    """(anchor, its place, h1, h2, row, start, count) of the snippets of texts of less than 2**24 bytes in all."""
+    k, n = max(1, 2 * window // 5), len(raw)
+    if n < window:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint32), none, none, none
+        return none.astype(np.uint64), none, none.astype(np.uint64), none.astype(np.uint32), none, none, none
     values = _BYTES[raw]
-    anchor = long_run_hash(values, np.arange(n - k + 1), k, 0)
-    ordered = (anchor & ~np.uint64((1 << 24) - 1)) | np.arange(len(anchor), dtype=np.uint64)  # of equal hashes the first place
-    at = (_smallest(ordered, w)[start] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    count = np.diff(np.append(new, len(at)))
-    begin, row = start[new], row[new]
+    sums = _sums(values, _BASES[1])
+    h = sums[k:] - sums[:-k]
+    h *= _powers(pow(_BASES[1], -1, 1 << 64), len(h))
+    ordered = (h & _HIGH) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first place
+    least = _smallest(ordered, window - k + 1)
+    lengths = np.diff(offsets)
+    some = np.column_stack([np.maximum(lengths - window + 1, 0), np.minimum(lengths, window - 1)]).ravel()
+    valid = np.repeat(np.tile([True, False], len(lengths)), some)[: len(least)]
+    new = np.append(True, least[1:] != least[:-1])
+    new[1:] |= ~valid[:-1]
+    last = np.append(new[1:] | ~valid[1:], True)
+    begin = np.flatnonzero(valid & new)
+    count = np.flatnonzero(valid & last) + 1 - begin
+    at = (least[begin] & ~_HIGH).astype(np.int64)
+    row = np.searchsorted(offsets, begin, "right") - 1
     end = begin + count + window - 1
-    h1, h2 = (mix(_ranges(_sums(values, base), begin, end, base)) for base in _BASES[2:4])
-    return anchor[at[new]], h1, (h2 >> np.uint64(32)).astype(np.uint32), row, begin - offsets[row], count
+    h2 = _hash(_sums(values, _BASES[2]), begin, end, _BASES[2]) >> np.uint64(32)
+    return mix(h[at]), at - offsets[row], _hash(sums, begin, end, _BASES[1]), h2.astype(np.uint32), row, begin - offsets[row], count
 
 
-def _snippets(batch: pa.RecordBatch, window: int, most: int = 1_000_000) -> list[np.ndarray]:
+def _snippets(batch: pa.RecordBatch, window: int, most: int = 1 << 15) -> list[np.ndarray]:
     """The same of a slice, a part of its texts, or of one long text, at a time."""
     found, base = [], 0
     for b in slices(iter([batch]), most=most):
         raw, offsets = text_bytes(b.column("text"))
         pieces = [(0, raw, offsets)]
-        if len(raw) > 4 * most:  # a single text; a snippet that is cut in two stays in the bucket of its anchor
+        if len(raw) > 2 * most:  # a single text; a snippet that is cut in two stays in the bucket of its anchor
             pieces = [(a, p := raw[a : a + most + window - 1], np.array([0, len(p)])) for a in range(0, len(raw), most)]
         for a, part, cuts in pieces:
-            anchor, h1, h2, row, start, count = _snippets_of(part, cuts, window)
-            found.append((anchor, h1, h2, base + row, a + start, count))
+            anchor, at, h1, h2, row, start, count = _snippets_of(part, cuts, window)
+            found.append((anchor, a + at, h1, h2, base + row, a + start, count))
         base += b.num_rows
     return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
+def _narrowed(raw: np.ndarray, offsets: np.ndarray, at, row, start, count, window: int, width: int, block: int = 1 << 15) -> list[np.ndarray]:
+    """(key, h1, h2, row, start, count) of snippets parted into classes of `width` places of the anchor in a window.
+
+    Equal windows have their anchor at the same place, so they stay in one class. All windows of a class share the
+    window - width + 1 bytes at fixed places around the anchor; the class and these bytes' hash are the key.
+    """
+    high, low = at - start, at - start - count + 1
+    n = high // width - low // width + 1
+    of = np.repeat(np.arange(len(at)), n)
+    c = high[of] // width - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+    to, from_ = np.minimum(high[of], c * width + width - 1), np.maximum(low[of], c * width)
+    first, many = at[of] - to, to - from_ + 1
+    key, h1, h2 = np.empty(len(of), np.uint64), np.empty(len(of), np.uint64), np.empty(len(of), np.uint64)
+    for b in range(0, len(of), block):
+        s = slice(b, b + block)
+        length = many[s] + window - 1
+        values = _BYTES[raw[_ranges_of(offsets[row[of[s]]] + first[s], length)]]
+        end = np.cumsum(length)
+        sums, shared = _sums(values, _BASES[1]), end - length + (at[of[s]] - c[s] * width) - first[s]
+        h1[s] = _hash(sums, end - length, end, _BASES[1])
+        h2[s] = _hash(_sums(values, _BASES[2]), end - length, end, _BASES[2])
+        key[s] = mix(_hash(sums, shared, shared + window - width + 1, _BASES[1]) + c[s].astype(np.uint64))
+    return [key, h1, (h2 >> np.uint64(32)).astype(np.uint32), row[of], first, many]
+
+
 def _first(order: np.ndarray, *by: np.ndarray) -> np.ndarray:
     """Of each of `order` the first there that is equal in all of `by`, of which order is sorted."""
     if not len(order):
@@ -154,7 +213,7 @@ def _repeated(h1, h2, doc, start, count, text: np.ndarray, begin: np.ndarray, wi
     return found + same
 
 
-def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucket: int) -> DataFrame:
+def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucket: int, narrow: tuple, per_index: int = 2_000_000) -> DataFrame:
     """slice, late: for each slice the marked runs of windows, in pieces of _MARK."""
     step = (window - 2 * window // 5 + 2) // 2  # the mean distance of anchors
     sketch, buckets = Sketch(size // step, per_key, 2), max(12, size // per_bucket)
@@ -163,27 +222,33 @@ def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucke
         return _snippets(b, window)[0]
 
     def sent(number: int, batch: pa.RecordBatch, found) -> list[tuple]:
-        anchor, h1, h2, row, start, count = _snippets(batch, window)
-        keep = sketch.levels(anchor, found) > 0
-        anchor, h1, h2, row, start, count = (x[keep] for x in (anchor, h1, h2, row, start, count))
+        anchor, *snippets = _snippets(batch, window)
+        raw, offsets = text_bytes(batch.column("text"))
+        level, at = sketch.levels(anchor, found), snippets.pop(0)
+        parts_ = []
+        for least, width in (*narrow, (1, 0)):
+            mine = np.flatnonzero(level >= least)
+            level[mine] = 0
+            held = [x[mine] for x in snippets]
+            parts_.append(_narrowed(raw, offsets, at[mine], *held[2:], window, min(width, window)) if width else [anchor[mine], *held])
+        key, h1, h2, row, start, count = (np.concatenate(x) for x in zip(*parts_, strict=True))
         doc = batch.column("__doc_key").to_numpy()[row]
         order = np.lexsort((start, doc, h2, h1))
         first = np.empty(len(order), np.int64)
         first[order] = _first(order, h1, h2)
         late = (doc != doc[first]) | (start != start[first])
-        raw, offsets = text_bytes(batch.column("text"))
         out, known = [], np.flatnonzero(late)
         if len(known):
             out.append((number % buckets, number, 0, _packed(_MARK, (row[known], start[known], count[known])), b""))
         chosen = np.flatnonzero(~late)
-        to = ((anchor[chosen] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        to = ((key[chosen] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[by], np.arange(buckets + 1))
         squeeze = zstandard.ZstdCompressor(level=1)
         for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
             c = np.sort(chosen[by[cuts[i] : cuts[i + 1]]])
             text = raw[_ranges_of(offsets[row[c]] + start[c], count[c] + window - 1)]
-            out.append((int(i), number, len(c), _packed(_SNIPPET, (h1[c], h2[c], doc[c], row[c], start[c], count[c])), squeeze.compress(text.tobytes())))
+            out.append((int(i), number, len(c), _packed(_SNIPPET, (key[c], h1[c], h2[c], doc[c], row[c], start[c], count[c])), squeeze.compress(text.tobytes())))
         return out
 
     def find(batches):
@@ -197,17 +262,22 @@ def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucke
         known, mine = frame[frame["n"] == 0], frame[frame["n"] > 0]
         out = list(zip(known["slice"], known["snippets"], strict=True))
         if len(mine):
-            h1, h2, doc, row, start, count = (np.concatenate(x) for x in zip(*(_unpacked(_SNIPPET, s) for s in mine["snippets"]), strict=True))
-            count = count.astype(np.int64)
-            text = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, mine["text"])), np.uint8)
-            length = count + window - 1
-            of = np.repeat(np.arange(len(mine)), mine["n"])
-            snippet, from_, n = (np.concatenate(x) for x in zip(*_repeated(h1, h2, doc, start, count, text, np.cumsum(length) - length, window), strict=True))
-            by = np.argsort(of[snippet], kind="stable")
-            cuts, numbers = np.searchsorted(of[snippet][by], np.arange(len(mine) + 1)), mine["slice"].to_numpy()
-            for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                o = by[cuts[i] : cuts[i + 1]]
-                out.append((numbers[i], _packed(_MARK, (row[snippet[o]], from_[o], n[o]))))
+            key, *snippets = (np.concatenate(x) for x in zip(*(_unpacked(_SNIPPET, s) for s in mine["snippets"]), strict=True))
+            row, snippets[5] = snippets[3], snippets[5].astype(np.int64)
+            length = snippets[5] + window - 1
+            text, begin = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, mine["text"])), np.uint8), np.cumsum(length) - length
+            of, numbers = np.repeat(np.arange(len(mine)), mine["n"]), mine["slice"].to_numpy()
+            share = key % np.uint32(1 + len(text) // per_index)
+            for k in range(1 + len(text) // per_index):  # an index each
+                at = np.flatnonzero(share == k)
+                found = _repeated(*(x[at] for i, x in enumerate(snippets) if i != 3), text, begin[at], window)
+                snippet, from_, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                snippet = at[snippet]
+                by = np.argsort(of[snippet], kind="stable")
+                cuts = np.searchsorted(of[snippet][by], np.arange(len(mine) + 1))
+                for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                    o = by[cuts[i] : cuts[i + 1]]
+                    out.append((numbers[i], _packed(_MARK, (row[snippet[o]], from_[o], n[o]))))
         return pd.DataFrame(out, columns=["slice", "marks"])
 
     found = sketch.counted(parts, keys).mapInArrow(find, _SENT)
@@ -215,16 +285,16 @@ def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucke
     return late.groupBy("slice").agg(F.collect_list("marks").alias("late"))
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, per_key: float = 4.0, per_bucket: int = 16_000_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 100, per_key: float = 4.0, per_bucket: int = 16_000_000, narrow: tuple = NARROW) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal runs of removed bytes), kept (the other bytes) and kept_sha256. Columns of docs with these names are replaced.
 
-    per_bucket: bytes of the corpus for each bucket of anchors.
+    per_bucket: bytes of the corpus for each bucket of anchors. narrow: see NARROW.
     """
     docs = without(docs, ADDED)
     names = docs.columns
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = sliced(docs.withColumn("__doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))), "slices")
-    both = parts.join(_repeats(parts, size, window, per_key, per_bucket), "slice", "left")
+    both = parts.join(_repeats(parts, size, window, per_key, per_bucket, narrow), "slice", "left")
 
     def cut(batches):
         from hashlib import sha256
