@@ -213,7 +213,7 @@ def _repeated(h1, h2, doc, start, count, text: np.ndarray, begin: np.ndarray, wi
     return found + same
 
 
-def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucket: int, narrow: tuple, per_index: int = 2_000_000) -> DataFrame:
+def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucket: int, narrow: tuple, per_index: int = 400_000) -> DataFrame:
     """slice, late: for each slice the marked runs of windows, in pieces of _MARK."""
     step = (window - 2 * window // 5 + 2) // 2  # the mean distance of anchors
     sketch, buckets = Sketch(size // step, per_key, 2), max(12, size // per_bucket)
@@ -267,17 +267,17 @@ def _repeats(parts: DataFrame, size: int, window: int, per_key: float, per_bucke
             length = snippets[5] + window - 1
             text, begin = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, mine["text"])), np.uint8), np.cumsum(length) - length
             of, numbers = np.repeat(np.arange(len(mine)), mine["n"]), mine["slice"].to_numpy()
-            share = key % np.uint32(1 + len(text) // per_index)
-            for k in range(1 + len(text) // per_index):  # an index each
-                at = np.flatnonzero(share == k)
-                found = _repeated(*(x[at] for i, x in enumerate(snippets) if i != 3), text, begin[at], window)
-                snippet, from_, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                snippet = at[snippet]
-                by = np.argsort(of[snippet], kind="stable")
-                cuts = np.searchsorted(of[snippet][by], np.arange(len(mine) + 1))
-                for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                    o = by[cuts[i] : cuts[i + 1]]
-                    out.append((numbers[i], _packed(_MARK, (row[snippet[o]], from_[o], n[o]))))
+            shares, late = 1 + len(text) // per_index, []
+            for k in range(shares):  # an index each
+                at = np.flatnonzero(key % np.uint32(shares) == k)
+                snippet, from_, n = (np.concatenate(x) for x in zip(*_repeated(*(x[at] for i, x in enumerate(snippets) if i != 3), text, begin[at], window), strict=True))
+                late.append((at[snippet].astype(np.int32), from_, n.astype(np.int32)))
+            snippet, from_, n = (np.concatenate(x) for x in zip(*late, strict=True))
+            by = np.argsort(of[snippet], kind="stable")
+            cuts = np.searchsorted(of[snippet][by], np.arange(len(mine) + 1))
+            for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                o = by[cuts[i] : cuts[i + 1]]
+                out.append((numbers[i], _packed(_MARK, (row[snippet[o]], from_[o], n[o]))))
         return pd.DataFrame(out, columns=["slice", "marks"])
 
     found = sketch.counted(parts, keys).mapInArrow(find, _SENT)
