@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from veilspark.config import EngineConfig
 from veilspark.functions import patterns
 from veilspark.functions.normalize import normalise_one
-from veilspark.functions.spans import matches, merged, rewritten
+from veilspark.functions.intervals import merged
+from veilspark.functions.spans import matches, rewritten
 from veilspark.operators import codec
 from veilspark.operators.detect import detect, zh_chunks, zh_spans
 

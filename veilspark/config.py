@@ -14,11 +14,10 @@ HIGH_RISK = ("KEY", "JWT", "PASSWORD", "PASSWD", "SECRET", "TOKEN", "CARD", "NAT
 OUTPUT_SUFFIX = "_masked"
 RISK_HIGH, RISK_MEDIUM, RISK_ERROR, RISK_NONE = "高", "中", "錯誤", "無"
 # Least lengths of detected, added and known values; sources kept of a value; punctuation that compatibility
-# forms leave alone; the length beyond which a text is not normalised unless max_chars says otherwise.
+# forms leave alone.
 AUTO_MIN, MANUAL_MIN, KNOWN_MIN = 3, 2, 3
 KEPT_SOURCES = 5
 KEPT_PUNCTUATION = "，；：！？（）～"
-MAX_NORMALISED = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -30,7 +29,7 @@ class EngineConfig:
     whitespace: bool = False
     chinese: str | None = None  #: "auto", "s2t" or "t2s", with the pairs in `chinese_pairs`
     chinese_pairs: tuple[str, str] = ("", "")  #: simplified characters, and the traditional one for each
-    max_chars: int | None = MAX_NORMALISED  #: longer texts are searched as they are; None: no limit
+    max_chars: int | None = None  #: longer texts are searched as they are; None: no limit
     use_known_items: bool = True
     ignored_column_labels: tuple[str, ...] = ()
     #: Texts are dealt to so many partitions before detection, where a source has too few; None: as they are read.
@@ -39,7 +38,5 @@ class EngineConfig:
     text_rules: tuple | None = None
     code_rules: tuple | None = None
     header_rules: tuple | None = None
-    #: A dictionary of more values than this is joined instead of becoming one regular expression.
-    most_alternatives: int = 2_000
     #: Extra detectors: functions of (text, is_code) columns that return an array of spans.
     detectors: tuple = field(default_factory=tuple)

@@ -119,13 +119,3 @@ HEADER_RULES: tuple[tuple[str, str], ...] = (
 )
 CODE_SIGNAL = r"[{};]|=>|\bdef \b|\bclass \b|\bimport \b|#include|\bfunction\b|\bconst \b|\bvar \b|\breturn \b"
 TAG = r"<([A-Z_]+)_(\d+)>"
-
-
-def alternation(values: list[str]) -> str | None:
-    """One pattern for all values, the longest first; a value that begins or ends with an ASCII letter or digit does not match inside a longer run of them."""
-    parts = []
-    for v in sorted(values, key=len, reverse=True):
-        if v:
-            p = re.sub(r"([^\w\s])", r"\\\1", v, flags=re.ASCII) if v.isascii() else "\\Q" + v.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-            parts.append(("(?<![A-Za-z0-9])" if v[0].isascii() and v[0].isalnum() else "") + p + ("(?![A-Za-z0-9])" if v[-1].isascii() and v[-1].isalnum() else ""))
-    return "|".join(parts) or None

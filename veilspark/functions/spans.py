@@ -1,4 +1,4 @@
-"""Spans: where rules match, which of overlapping ones stay, and texts rewritten at spans.
+"""Spans: where rules match, and texts rewritten at spans. Which of overlapping ones stay: see intervals.
 
 Explode arrays of spans with the _outer forms and drop nulls after: Spark puts a filter on the array under a plain explode,
 which would run every rule again.
@@ -13,10 +13,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .intervals import SPAN, SPANS
 from .patterns import CODE_RULES, TEXT_RULES, Rule
 
-SPAN = "struct<start:int,end:int,label:string,score:double,source:string>"
-SPANS = f"array<{SPAN}>"
 #: Matches of a text whose places are run up in one array.
 BLOCK = 256
 
@@ -34,39 +33,38 @@ def _held(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches: what lies between matches gives their places.
+def _applied(function: str, value: Column, sql: str) -> Column:
+    """A function of an array and a lambda in SQL: lambdas in lambdas take hundreds of calls to the JVM if they are built call by call."""
+    return F.call_function(function, value, F.expr(sql))
 
-    Places are sums of lengths. They are run up in blocks of BLOCK matches, so that no array grows with all matches of a text.
-    """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
 
-    def step(acc: Column, p: Column) -> Column:
-        start, end = acc.at + p.g, acc.at + p.g + F.length(p.m)
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), end.alias("end"), p.m.alias("value")))).alias("out"))
+_BLOCKS = f"sequence(1, greatest(size(p), 1), {BLOCK})"
+_LENGTH = f"aggregate(slice(p, f, {BLOCK}), 0, (n, q) -> n + q.g + length(q.m))"
+_BASES = f"aggregate({_BLOCKS}, array(0), (b, f) -> concat(b, array(element_at(b, -1) + {_LENGTH})))"
+_NOTHING = "cast(array() AS array<struct<start:int,end:int,value:string>>)"
+_STEP = "named_struct('at', b.at + q.g + length(q.m), 'out', concat(b.out, array(named_struct('start', b.at + q.g, 'end', b.at + q.g + length(q.m), 'value', q.m))))"
+_BLOCK = f"aggregate(slice(p, f, {BLOCK}), named_struct('at', a, 'out', {_NOTHING}), (b, q) -> {_STEP}, b -> b.out)"
+_PAIRS = "zip_with(slice(x.gaps, 1, size(x.found)), x.found, (g, m) -> named_struct('g', length(g), 'm', m))"
+_PLACES = f"x -> get(transform(array({_PAIRS}), p -> flatten(zip_with({_BLOCKS}, slice({_BASES}, 1, size({_BLOCKS})), (f, a) -> {_BLOCK}))), 0)"
 
-    def block(pairs: Column, first: Column, at: Column) -> Column:
-        zero = F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-        return F.aggregate(F.slice(pairs, first, F.lit(BLOCK)), zero, step, lambda acc: acc.out)
 
-    def all_blocks(pairs: Column) -> Column:
-        firsts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(BLOCK))
-        total = lambda first: F.aggregate(F.slice(pairs, first, F.lit(BLOCK)), F.lit(0), lambda n, p: n + p.g + F.length(p.m))
-        bases = F.aggregate(firsts, F.array(F.lit(0)), lambda acc, first: F.concat(acc, F.array(F.element_at(acc, -1) + total(first))))
-        return F.flatten(F.zip_with(firsts, F.slice(bases, F.lit(1), F.size(firsts)), lambda first, at: block(pairs, first, at)))
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>> of all matches: what lies between matches gives their places.
 
-    return _held(pairs, all_blocks)
+    Places are sums of lengths. They are run up in blocks of BLOCK matches, so that no array grows with all matches of a text.
+    """
+    held = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.get(_applied("transform", F.array(held), _PLACES), F.lit(0))
 
 
 def rule_spans(text: Column, rule: Rule) -> Column:
     found = matches(text, rule.java)
     if rule.inner:
-        found = F.transform(found, lambda m: F.struct((m.start + rule.inner).alias("start"), (m.end - rule.inner).alias("end"), F.substring(m.value, F.lit(1 + rule.inner), F.length(m.value) - 2 * rule.inner).alias("value")))
+        found = _applied("transform", found, f"m -> named_struct('start', m.start + {rule.inner}, 'end', m.end - {rule.inner}, 'value', substring(m.value, {1 + rule.inner}, length(m.value) - {2 * rule.inner}))")
     if rule.validator is not None:
         found = F.filter(found, lambda m: rule.validator(m.value))
-    out = F.transform(found, lambda m: span(m.start, m.end, F.lit(rule.name)))
-    return F.when(text.rlike(rule.hint or rule.java), out).otherwise(no_spans())
+    named = F.transform(found, lambda m: F.struct(m.start, m.end, F.lit(rule.name), F.lit(None), F.lit("regex"))).cast(SPANS)
+    return F.when(text.rlike(rule.hint or rule.java), named).otherwise(no_spans())
 
 
 def detect_rules(text: Column, rules: Iterable[Rule]) -> Column:
@@ -82,29 +80,6 @@ def detect_code(text: Column) -> Column:
     return detect_rules(text, (*CODE_RULES, *TEXT_RULES))
 
 
-def dictionary_spans(text: Column, pattern: str | None, labels: dict[str, str] | str) -> Column:
-    """Matches of a dictionary's alternation. labels: one label for all, or a label for each value (SENSITIVE for others)."""
-    if pattern is None:
-        return no_spans()
-    if isinstance(labels, str):
-        label = lambda m: F.lit(labels)
-    else:
-        table = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
-        label = lambda m: F.coalesce(F.element_at(table, m.value), F.lit("SENSITIVE"))
-    return F.when(text.rlike(pattern), F.transform(matches(text, pattern), lambda m: span(m.start, m.end, label(m)))).otherwise(no_spans())
-
-
-def merged(spans: Column, prefer_zh: Column) -> Column:
-    """Spans that don't overlap, by start: rules first, then models of the text's language, then others; in each the longer, then the surer, then the earlier listed ones."""
-    model = lambda s: F.when((s == "zh") == prefer_zh, 1).otherwise(2)
-    tier = lambda s: F.when(s == "regex", 0).when(s.isin("zh", "en"), model(s)).otherwise(3)
-    ordered = F.array_sort(
-        F.transform(spans, lambda m, i: F.struct(tier(m.source).alias("t"), (m.start - m.end).alias("l"), (-F.coalesce(m.score, F.lit(0.0))).alias("c"), i.alias("i"), m.alias("m")))
-    )
-    kept = F.aggregate(ordered, no_spans(), lambda k, x: F.when(F.exists(k, lambda y: (x.m.start < y.end) & (y.start < x.m.end)), k).otherwise(F.concat(k, F.array(x.m))))
-    return F.array_sort(kept)
-
-
 def rewritten(text: Column, pieces: Column) -> Column:
     """text with pieces (array<struct<start, end, tag>>, disjoint, by start) put in place."""
 

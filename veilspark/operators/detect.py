@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..config import KNOWN_MIN, EngineConfig
 from ..functions import normalize
-from ..functions.patterns import CODE_RULES, TEXT_RULES, alternation
+from ..functions.intervals import SPANS, distinct, merged
+from ..functions.patterns import CODE_RULES, TEXT_RULES
 from ..functions.scalars import contains_cjk, is_code, stripped
-from ..functions.spans import SPANS, detect_rules, dictionary_spans, merged, no_spans, span
-from ..session import kept, spread
+from ..functions.spans import detect_rules, no_spans
+from ..session import kept, settled, spread
+from .dictionary import with_dictionary
 
 #: Named classifiers of text as code; add one to use it by name.
 CLASSIFIERS: dict[str, Callable[[Column], Column]] = {"heuristic": is_code}
@@ -24,8 +26,6 @@ CLASSIFIERS: dict[str, Callable[[Column], Column]] = {"heuristic": is_code}
 MODELS: dict[str, Callable[[Column], Column]] = {}
 # What the models' labels become or are dropped for.
 ZH_LABELS = {"name": "PERSON", "address": "ADDRESS", "company": "ORGANIZATION", "government": "ORGANIZATION", "organization": "ORGANIZATION", "position": "POSITION"}
-#: Characters between two cuts of a text, and the most distinct heads of a dictionary that are sent to all tasks.
-STRETCH, MOST_HEADS = 512, 100_000
 EN_GENERAL, EN_EXCLUDED, ZH_LEAST, ZH_CHUNK, ZH_OVERLAP = ("PERSON", "ORGANIZATION", "LOCATION"), ("US_DRIVER_LICENSE",), 0.7, 350, 50
 
 
@@ -65,56 +65,6 @@ def detected(text: Column, code: Column, config: EngineConfig) -> Column:
     return F.concat(F.when(code, detect_rules(text, code_rules)).otherwise(no_spans()), detect_rules(text, text_rules), model_spans(text, code), *(d(text, code) for d in config.detectors))
 
 
-def dictionary_by_join(docs: DataFrame, values: DataFrame, key: list[str], per_label: bool) -> DataFrame:
-    """key and spans of a dictionary too large for a pattern: three-character windows of the texts meet the values' first
-    three, the rest is compared in place; of what overlaps, the leftmost and then the longest stays, as a pattern of all
-    values would find. per_label: labels are searched apart and may overlap. Values of fewer characters meet by their own length."""
-    edge = lambda c: c.rlike("^[A-Za-z0-9]$")
-    keyed = values.select("label", "value", F.least(F.length("value"), F.lit(3)).alias("k")).withColumn("head", F.substring("value", F.lit(1), F.col("k"))).where("k > 0")
-    shape = keyed.agg(F.max(F.length("value")).alias("longest"), F.collect_set("k").alias("sizes")).first()
-    longest, sizes = shape["longest"] or 1, sorted(shape["sizes"])  # 1, 2 and 3 at most
-    # stretches of a text, each with one character before and enough after it, so that a place costs no look at the whole text
-    stretch = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(STRETCH))).alias("at")
-    cut = docs.where(F.length("text") > 0).select(*key, "text", stretch)
-    cut = cut.select(*key, "at", (F.col("at") > 0).cast("int").alias("lead"), F.substring("text", F.greatest(F.col("at"), F.lit(1)), F.lit(STRETCH + longest + 2)).alias("piece"))
-    inside = F.least(F.length("piece") - F.col("lead"), F.lit(STRETCH))
-    placed = cut.select(*key, "at", "lead", "piece", F.explode(F.sequence(F.lit(1), inside)).alias("j")).select(*key, "at", "lead", "piece", "j", F.explode(F.array(*(F.lit(s) for s in sizes or [3]))).alias("k"))
-    here = F.col("j") + F.col("lead")
-    windows = placed.withColumn("head", F.substring("piece", here, F.col("k"))).where(F.length("head") == F.col("k"))
-    heads = keyed.select("k", "head").distinct()
-    if heads.count() <= MOST_HEADS:  # then most places end here, before any shuffle
-        windows = windows.join(F.broadcast(heads), ["k", "head"], "left_semi")
-    windows = windows.select(*key, "k", "head", (F.col("at") + F.col("j")).alias("p"), F.when(here > 1, F.substring("piece", here - 1, F.lit(1))).otherwise("").alias("before"), F.substring("piece", here, F.lit(longest + 1)).alias("rest"))
-    after = F.substring("rest", F.length("value") + 1, F.lit(1))
-    clear = ~(edge(F.substring("value", 1, 1)) & edge(F.col("before"))) & ~(edge(F.substring("value", -1, 1)) & edge(after))
-    found = windows.join(keyed, ["k", "head"]).where(F.startswith(F.col("rest"), F.col("value")) & clear)
-    group = [*key, "label"] if per_label else key
-    ordered = found.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((F.col("p") - 1).alias("s"), (-F.length("value")).alias("l"), "label"))).alias("m"))
-    disjoint = F.aggregate("m", no_spans(), lambda k, x: F.when((F.size(k) > 0) & (F.element_at(k, -1).end > x.s), k).otherwise(F.concat(k, F.array(span(x.s, x.s - x.l, x["label"])))))
-    spans = ordered.select(*group, F.when(F.size("m") > 0, disjoint).otherwise(no_spans()).alias("spans"))
-    return spans.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")) if per_label else spans
-
-
-def _dictionary(docs: DataFrame, values: DataFrame | None, config: EngineConfig, per_label: bool, name: str, text: Column | None = None) -> DataFrame:
-    """docs with the spans of a dictionary of (label, value) in `text` (a column of docs): by pattern if it is small, else by join on a number given to each row."""
-    text = F.col("text") if text is None else text
-    if values is None:
-        return docs.withColumn(name, no_spans())
-    held = values.select("label", "value").where(F.length("value") >= (1 if per_label else KNOWN_MIN)).distinct()
-    rows = held.limit(config.most_alternatives + 1).collect()  # at most most_alternatives pairs
-    if len(rows) <= config.most_alternatives:
-        if per_label:
-            by_label: dict[str, list[str]] = {}
-            for r in sorted(rows):
-                by_label.setdefault(r["label"], []).append(r["value"])
-            return docs.withColumn(name, F.coalesce(F.concat(no_spans(), *(dictionary_spans(text, alternation(v), label) for label, v in by_label.items())), no_spans()))
-        labels = {r["value"]: r["label"] for r in rows}
-        return docs.withColumn(name, F.coalesce(dictionary_spans(text, alternation(list(labels)), labels), no_spans()))
-    placed = kept(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = dictionary_by_join(placed.select("__row", text.alias("text")), held, ["__row"], per_label).withColumnRenamed("spans", name)
-    return placed.join(found, "__row", "left").withColumn(name, F.coalesce(name, no_spans())).drop("__row")
-
-
 def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame | None = None, sensitive: DataFrame | None = None, safe: DataFrame | None = None, overlay: bool = False) -> DataFrame:
     """docs with is_code, candidates (all spans found) and spans (what stays). known and sensitive: (label, value); safe: (value).
 
@@ -128,21 +78,21 @@ def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame
         # one pass: only texts that may change are sent to Python, nulls for the rest
         docs = docs.withColumn("__change", change).withColumn("__norm", normalize.normalised(F.when(F.col("__change"), text), code, config))
         docs = docs.withColumn("__norm", F.when(F.col("__change"), F.col("__norm")))
-        docs = docs.withColumn("__raw", F.coalesce(detected(F.when(F.col("__change"), F.col("__norm.text")).otherwise(text), code, config), no_spans()))
+        docs = settled(docs, "__raw", F.coalesce(detected(F.when(F.col("__change"), F.col("__norm.text")).otherwise(text), code, config), no_spans()))
         back = F.when(F.col("__change"), F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__raw")), no_spans())).otherwise(F.col("__raw"))
         docs = docs.withColumn("__found", back).drop("__raw", "__change")
     else:
-        docs = docs.withColumn("__found", F.coalesce(detected(text, code, config), no_spans()))
-    docs = _dictionary(docs, known, config, True, "__known")
+        docs = settled(docs, "__found", F.coalesce(detected(text, code, config), no_spans()))
+    docs = with_dictionary(docs, known, "__known", True)
     if config.normalise and known is not None:  # also as the normalised text has them, but in code
-        docs = _dictionary(docs, known, config, True, "__inner", F.when(~code, F.col("__norm.text")))
+        docs = with_dictionary(docs, known, "__inner", True, F.when(~code, F.col("__norm.text")))
         inside = F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__inner")), no_spans())
         docs = docs.withColumn("__known", F.concat(inside, "__known")).drop("__inner")
     docs = docs.drop("__norm")
-    docs = _dictionary(docs, sensitive if config.use_known_items else None, config, False, "__listed")
+    docs = with_dictionary(docs, sensitive if config.use_known_items else None, "__listed", False, least=KNOWN_MIN)
     zh = F.coalesce(contains_cjk(text), F.lit(False))
     found = merged(F.col("__found"), zh) if overlay else F.col("__found")
-    docs = docs.withColumn("candidates", F.array_distinct(F.concat(found, "__known", "__listed")))
+    docs = docs.withColumn("candidates", distinct(F.concat(found, "__known", "__listed")))
     docs = without_safe(docs, safe)
     return docs.withColumn("spans", F.col("__unsafe") if overlay else merged(F.col("__unsafe"), zh)).drop("__found", "__known", "__listed", "__unsafe")
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import once
+
 # Labels that count as equal.
 ALIASES = {"PERSON_NAME": "PERSON", "PHONE_NUMBER": "PHONE", "TW_PHONE": "PHONE", "DATE_OF_BIRTH": "DATE", "DATE_TIME": "DATE", "BANK_NAME": "ORGANIZATION", "LOCATION": "ADDRESS"}
 
@@ -67,8 +69,7 @@ def score(expected: DataFrame, detected: DataFrame, exact: bool, by_label: bool)
     """doc_id, tp, fp, fn: answers take detections in order, one each. Without `exact`, what overlaps anything is neither wrong nor missed."""
     hit = pairs(expected, detected, exact, by_label)
     per = hit.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("e", "d"))).alias("h"))
-    zero = F.array().cast("array<struct<e:bigint,d:bigint>>")
-    taken = F.aggregate("h", zero, lambda k, x: F.when(F.exists(k, lambda y: (y.e == x.e) | (y.d == x.d)), k).otherwise(F.concat(k, F.array(F.struct(x.e.cast("long").alias("e"), x.d.cast("long").alias("d"))))))
+    taken = once(F.transform("h", lambda x: F.struct(x.e.cast("long").alias("e"), x.d.cast("long").alias("d"))))
     tp = per.select("doc_id", F.size(taken).alias("tp"), F.size(F.array_distinct(F.transform("h", lambda x: x.e))).alias("e_hit"), F.size(F.array_distinct(F.transform("h", lambda x: x.d))).alias("d_hit"))
     counts = expected.groupBy("doc_id").agg(F.count("*").alias("ne")).join(detected.groupBy("doc_id").agg(F.count("*").alias("nd")), "doc_id", "full_outer").join(tp, "doc_id", "left").na.fill(0)
     lost, wrong = ("tp", "tp") if exact else ("e_hit", "d_hit")
@@ -91,8 +92,7 @@ def greedy_match(expected: DataFrame, detected: DataFrame, by_label: bool = True
     over = F.least("ee", "de") - F.greatest("es", "ds")
     ratio = over / (F.greatest("ee", "de") - F.least("es", "ds"))
     per = meet.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(over.alias("o"), ratio.alias("r"), "e", "d")), asc=False).alias("h"))
-    zero = F.array().cast("array<struct<e:bigint,d:bigint>>")
-    taken = F.aggregate("h", zero, lambda k, x: F.when(F.exists(k, lambda y: (y.e == x.e) | (y.d == x.d)), k).otherwise(F.concat(k, F.array(F.struct(x.e.cast("long").alias("e"), x.d.cast("long").alias("d"))))))
+    taken = once(F.transform("h", lambda x: F.struct(x.e.cast("long").alias("e"), x.d.cast("long").alias("d"))))
     return per.select("doc_id", F.inline(taken))
 
 

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig
+from ..config import KNOWN_MIN, EngineConfig
 from ..functions import normalize, scalars
 from ..functions.patterns import TEXT_RULES
-from ..functions.spans import detect_rules, detect_text, matches, merged, rule_spans
+from ..functions.intervals import merged
+from ..functions.spans import detect_rules, detect_text, matches, rule_spans
 from ..operators import boxes, codec, evaluate, lists, scan, tables
 from ..operators.detect import detect, long_spans
-from ..session import spread
+from ..operators.dictionary import with_dictionary
+from ..session import settled, spread
 from ..streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,7 +248,7 @@ def mask_text(spark, sf):
 def mask_restore_roundtrip(spark, sf):
     """E-mail addresses masked and brought back: as many tags as addresses in between, the same text in the end."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = docs.withColumn("spans", merged(detect_rules(F.col("text"), [RULES["EMAIL"]]), F.lit(False)))
+    found = settled(docs, "spans", detect_rules(F.col("text"), [RULES["EMAIL"]])).withColumn("spans", merged(F.col("spans"), F.lit(False)))
     masked, tags = codec.mask(found)
     back = codec.restore(masked.withColumn("masked", F.coalesce("masked", "text")), tags)
     count = F.regexp_count("masked", F.lit("<EMAIL_[0-9]+>")).cast("long")
@@ -320,15 +322,13 @@ def classify_values(spark, sf):
 @query("""
     WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS value FROM benchmark),
     t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS value FROM documents)
-    SELECT doc_id, CAST(count(*) AS INT) AS n FROM t SEMI JOIN (SELECT value FROM w WHERE len(value) >= 6) USING (value) GROUP BY doc_id
+    SELECT doc_id, CAST(count(*) AS INT) AS n FROM t SEMI JOIN (SELECT value FROM w WHERE len(value) >= 3) USING (value) GROUP BY doc_id
 """)
 def known_dictionary(spark, sf):
-    """Places of the benchmark's words of six letters and more in each document that holds any: by join, as a large dictionary would be searched."""
-    from ..operators.detect import dictionary_by_join
-
-    words = table(spark, sf, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("value")).where("length(value) >= 6").distinct().select(F.lit("WORD").alias("label"), "value")
-    found = dictionary_by_join(texts(spark, sf, "documents").select("doc_id", "text"), words, ["doc_id"], False)
-    return found.select("doc_id", F.size("spans").alias("n"))
+    """Places of the benchmark's words, as a list of sensitive values holds them, in each document that holds any."""
+    words = table(spark, sf, "benchmark").select(F.lit("WORD").alias("label"), F.explode(F.split("text", "[^A-Za-z]+")).alias("value"))
+    found = with_dictionary(texts(spark, sf, "documents").select("doc_id", "text"), words, "spans", False, least=KNOWN_MIN)
+    return found.select("doc_id", F.size("spans").alias("n")).where("n > 0")
 
 
 # ---- tables ----

@@ -18,6 +18,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later expressions refer to and don't take over: Spark can't plan a Python function over nested lambdas."""
+    return df.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, value))
+
+
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     """df dealt to so many partitions, for work that costs far more than moving its rows; None: as it is read."""
     return df if partitions is None or df.isStreaming else df.repartition(partitions)
