@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..operators.codec import imported_map
 from ..operators.scan import extension, file_kind
 
 
-#: Bytes of a table's head that its delimiter and encoding are taken from.
+#: Bytes in which the first line of a table is looked for, to tell which files have the same columns.
 HEAD = 65_536
 _CELLS = ["path", "delimiter", "row_id", "ix", "name", "value", "error"]
 
@@ -97,32 +98,58 @@ def sniff_delimiter(head: str) -> str:
         return ","
 
 
+def table_shapes(files: DataFrame) -> DataFrame:
+    """path, encoding, delimiter of delimited files(path, content): each file's own, from all of its bytes (of which Spark reads 2 GB at most)."""
+
+    def run(frames):
+        for f in frames:
+            found = [(p, *decode_table(bytes(raw))) for p, raw in zip(f["path"], f["content"], strict=True)]
+            yield pd.DataFrame([(p, e, "\t" if p.lower().endswith(".tsv") else sniff_delimiter(t)) for p, t, e in found], columns=["path", "encoding", "delimiter"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, encoding string, delimiter string")
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A wide table, all columns as text; the first row names them. What is not given of delimiter and encoding (UTF-8 or
-    cp950) is taken from the first file's head."""
-    if delimiter is None or encoding is None:
-        first = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, HEAD).alias("content"), F.col("length") > HEAD).limit(1)
-        raw, cut = first.first() or (b"", False)
-        text, found = decode_table(bytes(raw), cut)
-        encoding = encoding or found
-        delimiter = delimiter or ("\t" if path.lower().endswith(".tsv") else sniff_delimiter(text))
-    if encoding == "cp950":  # which Spark's own reader does not know: cell by cell, then wide again
-        cells = delimited_cells(spark.read.format("binaryFile").load(path), delimiter)
-        names = [r["value"] for r in cells.where("row_id = 0").select("ix", "value").distinct().orderBy("ix").collect()]  # a row a column
-        of = lambda i, n: F.max(F.when(F.col("ix") == i, F.col("value"))).alias(n)
-        return cells.where("row_id > 0").groupBy("path", "row_id").agg(*(of(i, n) for i, n in enumerate(names))).select(*(F.col(f"`{n}`") for n in names))
-    df = spark.read.csv(path, sep=delimiter, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', enforceSchema=False, encoding="UTF-8")
-    return df.withColumnsRenamed({c: c.removeprefix("\ufeff") for c in df.columns[:1]})
-
-
-def decode_table(raw: bytes, cut: bool = False) -> tuple[str, str]:
-    """(text, encoding): UTF-8 with or without a byte-order mark, then cp950, else UTF-8 with replacements. cut: the bytes may end inside a character."""
+    """A wide table of the files at path, all columns as text; each file's first row names its columns, and columns of one name are one.
+
+    Each file has its own encoding (UTF-8, else cp950, else UTF-8 with replacements) and delimiter, where none is given.
+    UTF-8 is read by Spark; what it has no decoder for goes cell by cell and becomes wide again, by header.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    shapes = [(r["path"], encoding or r["encoding"], delimiter or r["delimiter"]) for r in table_shapes(files).orderBy("path").collect()]  # a row a file
+    wide = []
+    for cut in dict.fromkeys(d for _, e, d in shapes if e == "utf-8-sig"):
+        for mine in _same_header(spark, [p for p, e, d in shapes if (e, d) == ("utf-8-sig", cut)]):
+            df = spark.read.csv(mine, sep=cut, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', enforceSchema=False, encoding="UTF-8")
+            wide.append(df.withColumnsRenamed({c: c.removeprefix("\ufeff") for c in df.columns[:1]}))
+    for cut in dict.fromkeys(d for _, e, d in shapes if e != "utf-8-sig"):
+        cells = delimited_cells(files.where(F.col("path").isin([p for p, e, d in shapes if e != "utf-8-sig" and d == cut])), cut)
+        headers = cells.where("row_id = 0").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ix", "value"))).alias("h")).collect()  # a row a file
+        for names in dict.fromkeys(tuple(x["value"] for x in r["h"]) for r in headers):
+            mine = cells.where(F.col("path").isin([r["path"] for r in headers if tuple(x["value"] for x in r["h"]) == names]))
+            of = [F.max(F.when(F.col("ix") == i, F.col("value"))).alias(n) for i, n in enumerate(names)]
+            wide.append(mine.where("row_id > 0").groupBy("path", "row_id").agg(*of).drop("path", "row_id"))
+    if not wide:
+        return spark.read.csv(path, header=True)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), wide)
+
+
+def _same_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The paths in groups of one first line: Spark's reader takes the names of one file for all."""
+    heads: dict[str, list[str]] = {}
+    lines = spark.read.format("binaryFile").load(paths).select("path", F.split(F.substring("content", 1, HEAD).cast("string"), "\\r\\n|\\r|\\n", 2)[0].alias("h"))
+    for r in lines.orderBy("path").collect():  # a line a file
+        heads.setdefault((r["h"] or "").removeprefix("\ufeff"), []).append(r["path"])
+    return list(heads.values())
+
+
+def decode_table(raw: bytes) -> tuple[str, str]:
+    """(text, encoding): UTF-8 with or without a byte-order mark, then cp950, else UTF-8 with replacements."""
     for e in ("utf-8-sig", "cp950"):
-        for n in range(4 if cut else 1):
-            try:
-                return raw[: len(raw) - n].decode(e), e
-            except UnicodeDecodeError:
-                continue
+        try:
+            return raw.decode(e), e
+        except UnicodeDecodeError:
+            continue
     return raw.decode("utf-8", "replace"), "utf-8"
 
 
@@ -261,18 +288,3 @@ def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").csv(path, sep="\t", header=True)
-
-
-def xlsx_rows(spark: SparkSession, path: str) -> DataFrame:
-    """sheet, row_id, ix, value of each cell; needs openpyxl on the executors."""
-
-    def run(frames):
-        import io
-
-        import openpyxl
-
-        for f in frames:
-            out = [(p, s.title, r, c, None if v is None else str(v)) for p, raw in zip(f["path"], f["content"], strict=True) for s in openpyxl.load_workbook(io.BytesIO(raw)).worksheets for r, row in enumerate(s.iter_rows(values_only=True)) for c, v in enumerate(row)]
-            yield pd.DataFrame(out, columns=["path", "sheet", "row_id", "ix", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet string, row_id long, ix int, value string")
