@@ -56,3 +56,40 @@ def empty_dir(spark, tmp_path_factory):
     for name, schema in (("documents", DOCS), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("embeddings", "vec_id long, embedding array<float>, label int")):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return folder
+
+
+@pytest.fixture(scope="session")
+def plain_toxicity():
+    """A function of a model, a text and a threshold: the noisy-or of its sentences, and (number, sentence, chance) of those that reach the threshold; word by word."""
+    import math
+    import re
+
+    import numpy as np
+
+    from veilspark.llm import toxicity
+    from veilspark.llm._words import ALNUM, words
+
+    held = {}
+
+    def weight(model, word):
+        if word not in held.setdefault(id(model), {}):
+            raw = np.frombuffer(word.encode(), np.uint8)
+            w = words(raw, np.array([0, len(raw)]), ALNUM, True)
+            held[id(model)][word] = sum(float(model.weights[f[0]]) for f in toxicity.features(raw, w, len(model.weights)).astype(int))
+        return held[id(model)][word]
+
+    def run(model, text, threshold=0.3):
+        found, last = [], None
+        for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or ""):
+            if last is None or re.search(r"[.!?\n]", text[last : m.start()]):
+                found.append([m.start(), m.end(), model.bias])
+            last = found[-1][1] = m.end()
+            found[-1][2] += weight(model, m[0])
+        clean, offending = 0.0, []
+        for n, (a, z, logit) in enumerate(found or [(0, 0, model.bias)]):
+            clean -= math.log1p(math.exp(min(logit, 700)))
+            if found and (p := 1 / (1 + math.exp(-max(logit, -700)))) >= threshold:
+                offending.append((n, text[a:z], p))
+        return -math.expm1(clean), offending
+
+    return run
