@@ -111,6 +111,18 @@ def rule_credential_values(spark, sf):
     return _values(texts(spark, sf, "documents"), "doc_id", "text", "CREDENTIAL_LIKE")
 
 
+@query("""
+    WITH t AS (SELECT o_orderkey, 'ref ' || lower(hex(o_orderkey * 2654435761 + 65536)) || '-' || o_orderkey || ', by ' || lower(hex(o_custkey * 40503 + 1048576)) AS text FROM orders),
+    w AS (SELECT o_orderkey, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS value FROM t)
+    SELECT o_orderkey, value FROM w WHERE regexp_full_match(value, '[A-Za-z0-9]{8,29}') AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
+""")
+def rule_credential_orders(spark, sf):
+    """References made of the orders' numbers, of which some look like credentials."""
+    code = lambda c: F.lower(F.hex(c))
+    text = F.concat(F.lit("ref "), code(F.col("o_orderkey") * 2654435761 + 65536), F.lit("-"), F.col("o_orderkey"), F.lit(", by "), code(F.col("o_custkey") * 40503 + 1048576))
+    return _values(table(spark, sf, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text", "CREDENTIAL_LIKE")
+
+
 @query("SELECT page_id, unnest(regexp_extract_all(url, 'https?://[^\\s\"''<>]+')) AS value FROM pages")
 def rule_url_values(spark, sf):
     return _values(texts(spark, sf, "pages"), "page_id", "url", "URL")
@@ -204,6 +216,14 @@ def contains_cjk(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scalars.contains_cjk(F.col("text")).alias("cjk"))
 
 
+@query("SELECT c_custkey, substr('a1 國é學。王ｱ', 1 + CAST(c_custkey % 9 AS INT), 1 + CAST(c_custkey % 2 AS INT)) AS mark, regexp_matches(mark, '[\\x{4e00}-\\x{9fff}]') AS cjk FROM customer")
+def contains_cjk_marks(spark, sf):
+    """Marks of one or two characters for the customers, some of them Chinese."""
+    n = F.col("c_custkey")
+    mark = F.substring(F.lit("a1 國é學。王ｱ"), (1 + n % 9).cast("int"), (1 + n % 2).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", mark.alias("mark")).withColumn("cjk", scalars.contains_cjk(F.col("mark")))
+
+
 @query("SELECT doc_id, regexp_replace(text, '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{00ad}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS clean FROM documents")
 def strip_invisible(spark, sf):
     return table(spark, sf, "documents").select("doc_id", normalize.strip_invisible(F.col("text")).alias("clean"))
@@ -332,9 +352,10 @@ def known_dictionary(spark, sf):
 
 
 # ---- tables ----
-_HEADER_SQL = """
-    WITH h AS (SELECT * FROM (VALUES ('c_custkey'), ('c_name'), ('name'), ('E-mail'), ('hotel'), ('discard'), ('user_name'), ('id_no'), ('電話'), ('p_type'), ('Home Address')) t(name))
-    SELECT name, CASE WHEN regexp_matches(trim(name), '姓名|名字|聯絡人|^(first|last|full|user)?[_ ]?name$', 'i') THEN 'PERSON'
+TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+_HEADER_SQL = f"""
+    WITH h AS ({" UNION ALL ".join(f"SELECT '{t}' AS source, column_name AS name FROM (DESCRIBE {t})" for t in TABLES)})
+    SELECT source, name, CASE WHEN regexp_matches(trim(name), '姓名|名字|聯絡人|^(first|last|full|user)?[_ ]?name$', 'i') THEN 'PERSON'
         WHEN regexp_matches(trim(name), 'e-?mail|電子郵件|信箱', 'i') THEN 'EMAIL_ADDRESS' WHEN regexp_matches(trim(name), 'phone|mobile|tel|電話|手機', 'i') THEN 'PHONE_NUMBER'
         WHEN regexp_matches(trim(name), '身分證|身份證|統一編號|national[_ ]?id|^id[_ ]?(no|number)$|ssn', 'i') THEN 'TW_NATIONAL_ID'
         WHEN regexp_matches(trim(name), 'address|地址', 'i') THEN 'ADDRESS' WHEN regexp_matches(trim(name), 'credit|card|信用卡|卡號', 'i') THEN 'CREDIT_CARD' END AS label FROM h
@@ -343,8 +364,9 @@ _HEADER_SQL = """
 
 @query(_HEADER_SQL)
 def column_header_types(spark, sf):
-    names = ["c_custkey", "c_name", "name", "E-mail", "hotel", "discard", "user_name", "id_no", "電話", "p_type", "Home Address"]
-    return spark.createDataFrame([(n,) for n in names], "name string").withColumn("label", scalars.header_type(F.col("name")))
+    """What the names of all columns of all tables tell."""
+    names = [(t, n) for t in TABLES for n in table(spark, sf, t).columns]
+    return spark.createDataFrame(names, "source string, name string").withColumn("label", scalars.header_type(F.col("name")))
 
 
 @query()
