@@ -199,3 +199,18 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     masked, tags = codec.mask(detect(docs))
     assert masked.count() == 0 and tags.count() == 0 and codec.round_trip(detect(docs)).count() == 0
+
+
+def test_every_match_has_a_sign():
+    """No rule matches where detect_rules has passed a text over; texts of signs cut to pieces."""
+    import random
+
+    rng, found = random.Random(3), 0
+    texts = [t for t in SAMPLES if t] + [r["text"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()] + [r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    texts += ["ABCDEFGHABCDEFGHJ", "AB:CD:EF:AB:CD:EF", "“plain words”", "Report.Pdf", "C:\\x\\y", "/a/b", "eyJa.b.c", "sk-" + "a" * 20, "AKIA" + "B" * 16, "gho_" + "c" * 20, "github_pat_" + "d" * 22, "AIza" + "e" * 35]
+    pieces = [t[a : a + rng.randrange(1, 60)] for t in texts for a in (rng.randrange(max(1, len(t))) for _ in range(30))]
+    for text in texts + pieces:
+        hit = [r.name for r in (*patterns.TEXT_RULES, *patterns.CODE_RULES) if re.search(r.pattern, text, re.I if r.ignore_case else 0)]
+        found += len(hit)
+        assert not hit or re.search(patterns.SIGN, text), (hit, text)
+    assert found > 500

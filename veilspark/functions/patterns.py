@@ -107,6 +107,11 @@ CODE_RULES: tuple[Rule, ...] = (
     Rule("API_KEY_GITHUB", L + r"(?:ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{20,}" + R),
     Rule("API_KEY_GOOGLE", L + r"AIza[0-9A-Za-z\-_]{35}" + R, hint="AIza"),
 )
+#: Every text in which one of these rules matches has one of these signs: a digit, or what a rule without digits needs.
+SIGN = (
+    r"[\d@°年號]|https?://|[A-Z]{6}|[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:|[A-Za-z]:\\|/[^/\s]+/|eyJ|sk-|AKIA|ASIA|gh[a-z]_|github_pat_|AIza"
+    rf"|[{_QUOTES}][^{_QUOTES}\r\n]{{4}}|(?iu:\.(?:{FILE_SUFFIXES}))(?![A-Za-z0-9_])"
+)
 # Fixed values: (pattern for a column's name, label), the first that fits, found anywhere in the name, without regard to
 # case; the signs of program code; the form of a tag.
 HEADER_RULES: tuple[tuple[str, str], ...] = (

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .intervals import SPAN, SPANS
-from .patterns import CODE_RULES, TEXT_RULES, Rule
+from .patterns import CODE_RULES, SIGN, TEXT_RULES, Rule, to_java
 
 #: Matches of a text whose places are run up in one array.
 BLOCK = 256
@@ -67,9 +67,14 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.hint or rule.java), named).otherwise(no_spans())
 
 
+_OWN = {*TEXT_RULES, *CODE_RULES}
+
+
 def detect_rules(text: Column, rules: Iterable[Rule]) -> Column:
-    """The spans of all rules, in their order."""
-    return F.coalesce(F.concat(*(rule_spans(text, r) for r in rules)), no_spans())
+    """The spans of all rules, in their order. Texts without any sign of the own rules, as most cells and lines are, end at that."""
+    rules = list(rules)
+    found = F.coalesce(F.concat(*(rule_spans(text, r) for r in rules)), no_spans())
+    return F.when(text.rlike(to_java(SIGN)), found).otherwise(no_spans()) if _OWN.issuperset(rules) else found
 
 
 def detect_text(text: Column) -> Column:
