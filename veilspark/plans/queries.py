@@ -170,6 +170,14 @@ def raw_rule_counts(spark, sf):
     return spans.groupBy("source", "lang", F.col("m.label").alias("label")).agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT label, source, lang, count(*) AS n, count(DISTINCT value) AS n_values, grouping(label, source, lang) AS level FROM ({_ALL_SQL}) GROUP BY CUBE (label, source, lang)")
+def raw_rule_cube(spark, sf):
+    """Matches and distinct values of the same rules by label, source and language, and by all subsets of these."""
+    docs = texts(spark, sf, "documents").select("source", "lang", "text", F.explode_outer(detect_rules(F.col("text"), [RULES[n] for n in _COUNTED])).alias("m")).where("m is not null")
+    spans = docs.select("source", "lang", "m.label", F.substring("text", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("value"))
+    return spans.cube("label", "source", "lang").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"), F.grouping_id().alias("level"))
+
+
 def _counted(spark, sf) -> DataFrame:
     """A row for each span that detect() keeps, under all rules, which SQL can't say."""
     docs = detect(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), config(spark))
