@@ -14,6 +14,10 @@ from ..functions.patterns import CODE_RULES, TEXT_RULES
 from ..functions.scalars import clean_label, contains_cjk, stripped
 from ..functions.spans import detect_rules, detect_text
 
+# What the results of adding a value say.
+LEFT_BLOCKED, LEFT_SAFE, EXISTS, NEW, SKIPPED = "已從黑名單移出", "已從安全清單移出", "已存在", "新增", "略過"
+TOO_SHORT = f"太短 (至少 {MANUAL_MIN} 個字)"
+
 ITEMS = "value string, label string, count long, first_seen timestamp, last_seen timestamp, sources array<string>, origin string, label_source string"
 BLOCKED = "value string, label string, count long, blocked_at timestamp"
 SAFE = "value string, note string, added_at timestamp"
@@ -115,9 +119,9 @@ def add_manual(items: DataFrame, blocked: DataFrame, safe: DataFrame, wanted: Da
     joined = new.join(items.select("value", F.col("label").alias("old"), F.lit(True).alias("exists")), "value", "left").join(was(blocked, "b"), "value", "left").join(was(safe, "s"), "value", "left")
     change = (F.col("how") == "user") | F.coalesce(F.col("old"), F.lit("")).isin("", "SENSITIVE")
     final = joined.withColumn("final", F.when(F.col("exists"), F.when(change, F.col("label")).otherwise(F.col("old"))).otherwise(F.col("label")))
-    note = F.concat_ws("；", F.when(F.col("b"), "已從黑名單移出"), F.when(F.col("s"), "已從安全清單移出"))
-    results = final.select("ord", "value", F.col("final").alias("label"), F.when(F.col("exists"), "已存在").otherwise("新增").alias("status"), note.alias("note"))
-    results = results.unionByName(short.select("ord", "value", F.lit("").alias("label"), F.lit("略過").alias("status"), F.lit(f"太短 (至少 {MANUAL_MIN} 個字)").alias("note")))
+    note = F.concat_ws("；", F.when(F.col("b"), LEFT_BLOCKED), F.when(F.col("s"), LEFT_SAFE))
+    results = final.select("ord", "value", F.col("final").alias("label"), F.when(F.col("exists"), EXISTS).otherwise(NEW).alias("status"), note.alias("note"))
+    results = results.unionByName(short.select("ord", "value", F.lit("").alias("label"), F.lit(SKIPPED).alias("status"), F.lit(TOO_SHORT).alias("note")))
     kept_label = items.join(final.where("exists").select("value", "final", "how", change.alias("change")), "value", "left")
     old = kept_label.select(
         "value", F.when(F.col("final").isNotNull(), F.col("final")).otherwise(F.col("label")).alias("label"), "count", "first_seen",
