@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import AUTO_MIN, KEPT_SOURCES, MANUAL_MIN
-from ..functions.patterns import CODE_RULES, TEXT_RULES
+from ..functions.patterns import CODE_RULES
 from ..functions.scalars import clean_label, contains_cjk, stripped
-from ..functions.spans import detect_rules, detect_text
+from ..functions.spans import detect_rules, detect_text, no_spans
 
 # What the results of adding a value say.
 LEFT_BLOCKED, LEFT_SAFE, EXISTS, NEW, SKIPPED = "已從黑名單移出", "已從安全清單移出", "已存在", "新增", "略過"
@@ -88,10 +88,10 @@ def classified(values: DataFrame) -> DataFrame:
     zh = contains_cjk(v)
     # Sentences in which a model sees a value in context.
     carriers = ((("聯絡人是", "，請盡快回覆。"), ("Please contact ", " for details.")), (("資料如下：", "。"), ("Details: ", ".")))
-    texts = [(F.lit(""), v, detect_text(v)), (F.lit(""), v, detect_rules(v, (*CODE_RULES, *TEXT_RULES)))]
+    text = lambda lead, t, code=False: F.struct(lead.alias("lead"), t.alias("t"), F.lit(code).alias("code"))
+    texts = [text(F.lit(""), v), text(F.lit(""), v, True)]
     for (za, zb), (ea, eb) in carriers:
-        t = F.when(zh, F.concat(F.lit(za), v, F.lit(zb))).otherwise(F.concat(F.lit(ea), v, F.lit(eb)))
-        texts.append((F.when(zh, za).otherwise(ea), t, detect_text(t)))
+        texts.append(text(F.when(zh, za).otherwise(ea), F.when(zh, F.concat(F.lit(za), v, F.lit(zb))).otherwise(F.concat(F.lit(ea), v, F.lit(eb)))))
 
     def picked(lead: Column, spans: Column) -> Column:
         start, size = F.length(lead), F.greatest(F.length(v), F.lit(1))
@@ -101,7 +101,9 @@ def classified(values: DataFrame) -> DataFrame:
         best = F.array_min(F.transform(fits, lambda m, i: F.struct(tier(m).alias("t"), (-cover(m)).alias("c"), (-F.coalesce(m.score, F.lit(0.0))).alias("s"), i.alias("i"), m.label.alias("label"))))
         return best.label
 
-    found = F.coalesce(*(picked(lead, spans) for lead, _, spans in texts))
+    spans = lambda x: F.concat(F.when(x.code, detect_rules(x.t, CODE_RULES)).otherwise(no_spans()), detect_text(x.t))
+    # one after another, and only until one has a label
+    found = F.aggregate(F.array(*texts), F.lit(None).cast("string"), lambda label, x: F.coalesce(label, picked(x["lead"], spans(x))))
     return values.withColumn("label", clean_label(found)).withColumn("how", F.when(found.isNull(), "default").otherwise("rule"))
 
 
