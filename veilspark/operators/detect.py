@@ -17,7 +17,7 @@ from ..functions.intervals import SPANS, distinct, merged
 from ..functions.patterns import CODE_RULES, TEXT_RULES
 from ..functions.scalars import contains_cjk, is_code, stripped
 from ..functions.spans import detect_rules, no_spans
-from ..session import kept, settled, spread
+from ..session import batched, kept, settled, spread
 from .dictionary import with_dictionary
 
 #: Named classifiers of text as code; add one to use it by name.
@@ -71,7 +71,7 @@ def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame
     overlay: rules and models are merged first, and what lists find is laid over the rest, where it may overlap it.
     """
     config = config or EngineConfig()
-    docs = classified(spread(docs, config.partitions))
+    docs = classified(spread(batched(docs), config.partitions))
     text, code = F.col("text"), F.col("is_code")
     if config.normalise:
         change = F.coalesce(normalize.may_change(text, code), F.lit(False)) if not config.whitespace else F.lit(True)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import SPANS, closed, disjoint, opened
 from ..functions.spans import no_spans
-from ..session import kept
+from ..session import batched, kept
 
 #: Characters of a shard's values. An automaton takes some 40 bytes for each.
 SHARD = 2_000_000
@@ -128,7 +128,7 @@ def with_dictionary(docs: DataFrame, values: DataFrame | None, name: str, per_la
     text = F.col("text") if text is None else text
     if values is None:
         return docs.withColumn(name, no_spans())
-    spark = docs.sparkSession
+    spark = batched(docs).sparkSession
     n, shards = _shards(values, per_label, least, size or SHARD)
     if n == 1:
         return docs.withColumn(name, _search(spark, shards, True, per_label)(text))

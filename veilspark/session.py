@@ -23,6 +23,18 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, value))
 
 
+#: Rows of a batch for Python: its default of 10,000 texts, with what is made of each, can be more than a worker holds.
+ROWS, BATCH = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, whose texts Spark sends to Python in batches of ROWS at most. The setting is the session's; one that the user has chosen stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == "10000":
+        conf.set(BATCH, str(ROWS))
+    return df
+
+
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     """df dealt to so many partitions, for work that costs far more than moving its rows; None: as it is read."""
     return df if partitions is None or df.isStreaming else df.repartition(partitions)
