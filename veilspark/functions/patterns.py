@@ -40,7 +40,7 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
 @dataclass(frozen=True)
 class Rule:
     """validator: of the value, as a Column. inner: characters cut from both ends of a match (a quoted value).
-    hint: a cheaper expression that every text with a match also matches."""
+    hint: a cheaper expression that every text with a match also matches. digit: every match holds a digit."""
 
     name: str
     pattern: str
@@ -48,6 +48,7 @@ class Rule:
     validator: Callable[[Column], Column] | None = None
     inner: int = 0
     hint: str | None = None
+    digit: bool = False
 
     @property
     def java(self) -> str:
@@ -64,54 +65,52 @@ FILE_SUFFIXES = (
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _QUOTES = "\"'“”‘’"
 TEXT_RULES: tuple[Rule, ...] = (
-    Rule("TW_PHONE", L + r"09\d{2}[- ]?\d{3}[- ]?\d{3}" + R),
-    Rule("TW_ID", L + r"[A-Z][12]\d{8}" + R),
+    Rule("TW_PHONE", L + r"09\d{2}[- ]?\d{3}[- ]?\d{3}" + R, hint=r"09\d{2}", digit=True),
+    Rule("TW_ID", L + r"[A-Z][12]\d{8}" + R, hint=r"[A-Z][12]\d", digit=True),
     Rule("EMAIL", L + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + R, hint="@"),
-    Rule("CREDIT_CARD", L + r"(?:\d[ -]?){13,19}" + R, validator=scalars.luhn_valid),
+    Rule("CREDIT_CARD", L + r"(?:\d[ -]?){13,19}" + R, validator=scalars.luhn_valid, hint=r"(?:\d[ -]?){13}", digit=True),
     Rule("URL", L + r"https?://[^\s\"'<>]+", hint="https?://"),
-    Rule("FILE_NAME", L + rf"[\w\-. ]+?\.(?:{FILE_SUFFIXES})(?!\s*\()" + R, ignore_case=True, hint=rf"(?i)\.(?:{FILE_SUFFIXES})(?![A-Za-z0-9_])"),
-    Rule("CREDENTIAL_LIKE", L + r"(?=[A-Za-z0-9]{8,29}(?![A-Za-z0-9]))(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*[0-9])[A-Za-z0-9]{8,29}" + R, hint="[0-9]"),
-    Rule("GENERIC_SECRET", L + r"(?=[A-Za-z0-9_-]{30,}(?![A-Za-z0-9_-]))(?=[A-Za-z0-9_-]*[A-Za-z])(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{30,}" + R, hint="[A-Za-z0-9_-]{30}"),
-    Rule("QUOTED_SECRET", rf"[{_QUOTES}]([^{_QUOTES}\r\n]{{4,100}})[{_QUOTES}]", validator=lambda v: scalars.quoted_valid(v, FILE_SUFFIXES), inner=1),
-    Rule("MAC_ADDRESS", L + r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}" + R),
-    Rule("IP_ADDRESS", L + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + R),
-    Rule("IBAN", L + r"[A-Z]{2}\d{2}(?:[ ]?[A-Za-z0-9]{2,4}){3,8}" + R, validator=scalars.iban_valid),
+    Rule("FILE_NAME", L + rf"[\w\-. ]+?\.(?:{FILE_SUFFIXES})(?!\s*\()" + R, ignore_case=True, hint=rf"(?i:\.(?:{FILE_SUFFIXES}))(?![A-Za-z0-9_])"),
+    Rule("CREDENTIAL_LIKE", L + r"(?=[A-Za-z0-9]{8,29}(?![A-Za-z0-9]))(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*[0-9])[A-Za-z0-9]{8,29}" + R, hint="[A-Za-z][0-9]|[0-9][A-Za-z]", digit=True),
+    Rule("GENERIC_SECRET", L + r"(?=[A-Za-z0-9_-]{30,}(?![A-Za-z0-9_-]))(?=[A-Za-z0-9_-]*[A-Za-z])(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{30,}" + R, hint="[A-Za-z0-9_-]{30}", digit=True),
+    Rule("QUOTED_SECRET", rf"[{_QUOTES}]([^{_QUOTES}\r\n]{{4,100}})[{_QUOTES}]", validator=lambda v: scalars.quoted_valid(v, FILE_SUFFIXES), inner=1, hint=rf"[{_QUOTES}][^{_QUOTES}\r\n]{{4,100}}+[{_QUOTES}]"),
+    Rule("MAC_ADDRESS", L + r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}" + R, hint=":[0-9A-Fa-f]{2}:"),
+    Rule("IP_ADDRESS", L + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + R, hint=r"\.\d{1,3}\.\d", digit=True),
+    Rule("IBAN", L + r"[A-Z]{2}\d{2}(?:[ ]?[A-Za-z0-9]{2,4}){3,8}" + R, validator=scalars.iban_valid, hint=r"[A-Z]{2}\d{2}", digit=True),
     Rule("SWIFT_CODE", L + r"[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?" + R, hint="[A-Z]{6}"),
-    Rule("VEHICLE_VIN", L + r"[A-HJ-NPR-Z0-9]{17}" + R),
-    Rule("US_SSN", L + r"\d{3}-\d{2}-\d{4}" + R),
-    Rule("US_PHONE", L + r"\+1[ ]?\(\d{3}\)[ ]?\d{3}-\d{4}" + R),
-    Rule("GPS_COORDINATES", r"\d{1,3}\.\d+°\s*[NS]\s*,\s*\d{1,3}\.\d+°\s*[EW]", hint="°"),
-    Rule("DATE_OF_BIRTH", r"\d{4}年\d{1,2}月\d{1,2}日", hint="年"),
-    Rule("LICENSE_NUMBER", L + r"TWMD-\d{7}" + R),
-    Rule("MEDICAL_RECORD_NUMBER", L + r"(?:MRN-\d{4}-\d{6}|CGH-\d{8}-\d{4})" + R),
-    Rule("INSURANCE_POLICY_NUMBER", L + r"POL-TW-\d{7}" + R),
-    Rule("EMPLOYEE_ID", L + r"EMP-\d{5}" + R),
-    Rule("CASE_NUMBER", L + r"CLM-\d{4}-\d{7}" + R),
-    Rule("TAX_ID", r"(?:統一編號|统一编号)\s*\d{8}"),
-    Rule("INSURANCE_ID", r"(?:健保投保序號|健保投保序号)\s*[A-Z]\d{10}"),
-    Rule("DRIVER_LICENSE", L + r"[A-Z]\d{7}" + R),
-    Rule("LICENSE_PLATE", L + r"[A-Z]{3}-\d{4}" + R),
-    Rule("BANK_ACCOUNT", L + r"\d{3,4}-\d{3,4}-\d{6,9}" + R),
+    Rule("VEHICLE_VIN", L + r"[A-HJ-NPR-Z0-9]{17}" + R, hint="[A-Z0-9]{17}"),
+    Rule("US_SSN", L + r"\d{3}-\d{2}-\d{4}" + R, hint=r"-\d{2}-\d{4}", digit=True),
+    Rule("US_PHONE", L + r"\+1[ ]?\(\d{3}\)[ ]?\d{3}-\d{4}" + R, hint=r"\+1 ?\(", digit=True),
+    Rule("GPS_COORDINATES", r"\d{1,3}\.\d+°\s*[NS]\s*,\s*\d{1,3}\.\d+°\s*[EW]", hint="°", digit=True),
+    Rule("DATE_OF_BIRTH", r"\d{4}年\d{1,2}月\d{1,2}日", hint="年", digit=True),
+    Rule("LICENSE_NUMBER", L + r"TWMD-\d{7}" + R, hint="TWMD-", digit=True),
+    Rule("MEDICAL_RECORD_NUMBER", L + r"(?:MRN-\d{4}-\d{6}|CGH-\d{8}-\d{4})" + R, hint="MRN-|CGH-", digit=True),
+    Rule("INSURANCE_POLICY_NUMBER", L + r"POL-TW-\d{7}" + R, hint="POL-TW-", digit=True),
+    Rule("EMPLOYEE_ID", L + r"EMP-\d{5}" + R, hint="EMP-", digit=True),
+    Rule("CASE_NUMBER", L + r"CLM-\d{4}-\d{7}" + R, hint="CLM-", digit=True),
+    Rule("TAX_ID", r"(?:統一編號|统一编号)\s*\d{8}", hint="編號|编号", digit=True),
+    Rule("INSURANCE_ID", r"(?:健保投保序號|健保投保序号)\s*[A-Z]\d{10}", hint="健保投保序", digit=True),
+    Rule("DRIVER_LICENSE", L + r"[A-Z]\d{7}" + R, hint=r"[A-Z]\d{7}", digit=True),
+    Rule("LICENSE_PLATE", L + r"[A-Z]{3}-\d{4}" + R, hint=r"[A-Z]{3}-\d{4}", digit=True),
+    Rule("BANK_ACCOUNT", L + r"\d{3,4}-\d{3,4}-\d{6,9}" + R, hint=r"-\d{3,4}-\d{6}", digit=True),
     Rule(
         "ADDRESS",
         r"[\u4e00-\u9fff]{2,4}(?:市|縣)[\u4e00-\u9fff]{2,4}(?:區|鄉|鎮)[\u4e00-\u9fff0-9]{2,10}(?:路|街|大道)"
         r"(?:[一二三四五六七八九十0-9]{1,3}段)?\d{1,4}號(?:\d{1,3}樓)?",
         hint="號",
+        digit=True,
     ),
 )
 CODE_RULES: tuple[Rule, ...] = (
-    Rule("FILE_PATH", r"(?:[A-Za-z]:\\(?:[^\\/:*?\"<>|\r\n]+\\)*[^\\/:*?\"<>|\r\n]+)|(?:/(?:[^/\s]+/)+[^/\s]+)"),
+    Rule("FILE_PATH", r"(?:[A-Za-z]:\\(?:[^\\/:*?\"<>|\r\n]+\\)*[^\\/:*?\"<>|\r\n]+)|(?:/(?:[^/\s]+/)+[^/\s]+)", hint=r"[A-Za-z]:\\|/[^/\s]+/"),
     Rule("JWT", L + r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+" + R, hint="eyJ"),
     Rule("API_KEY_OPENAI", L + r"sk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,}" + R, hint="sk-"),
-    Rule("API_KEY_AWS", L + r"(?:AKIA|ASIA)[0-9A-Z]{16}" + R),
-    Rule("API_KEY_GITHUB", L + r"(?:ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{20,}" + R),
+    Rule("API_KEY_AWS", L + r"(?:AKIA|ASIA)[0-9A-Z]{16}" + R, hint="AKIA|ASIA"),
+    Rule("API_KEY_GITHUB", L + r"(?:ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{20,}" + R, hint="gh[a-z]_|github_pat_"),
     Rule("API_KEY_GOOGLE", L + r"AIza[0-9A-Za-z\-_]{35}" + R, hint="AIza"),
 )
 #: Every text in which one of these rules matches has one of these signs: a digit, or what a rule without digits needs.
-SIGN = (
-    r"[\d@°年號]|https?://|[A-Z]{6}|[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:|[A-Za-z]:\\|/[^/\s]+/|eyJ|sk-|AKIA|ASIA|gh[a-z]_|github_pat_|AIza"
-    rf"|[{_QUOTES}][^{_QUOTES}\r\n]{{4}}|(?iu:\.(?:{FILE_SUFFIXES}))(?![A-Za-z0-9_])"
-)
+SIGN = "|".join((r"\d", *(r.hint or r.pattern for r in (*TEXT_RULES, *CODE_RULES) if not r.digit)))
 # Fixed values: (pattern for a column's name, label), the first that fits, found anywhere in the name, without regard to
 # case; the signs of program code; the form of a tag.
 HEADER_RULES: tuple[tuple[str, str], ...] = (
@@ -122,5 +121,5 @@ HEADER_RULES: tuple[tuple[str, str], ...] = (
     (r"address|地址", "ADDRESS"),
     (r"credit|card|信用卡|卡號", "CREDIT_CARD"),
 )
-CODE_SIGNAL = r"[{};]|=>|\bdef \b|\bclass \b|\bimport \b|#include|\bfunction\b|\bconst \b|\bvar \b|\breturn \b"
+CODE_SIGNAL = r"(?=[cdfirv{};=#])(?:[{};]|=>|#include|\b(?:(?:def|class|import|const|var|return) \b|function\b))"
 TAG = r"<([A-Z_]+)_(\d+)>"

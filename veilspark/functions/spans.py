@@ -14,10 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .intervals import SPAN, SPANS
-from .patterns import CODE_RULES, SIGN, TEXT_RULES, Rule, to_java
+from .patterns import CODE_RULES, TEXT_RULES, Rule, to_java
 
 #: Matches of a text whose places are run up in one array.
 BLOCK = 256
+DIGIT = to_java(r"\d")
 
 
 def no_spans() -> Column:
@@ -64,17 +65,18 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     if rule.validator is not None:
         found = F.filter(found, lambda m: rule.validator(m.value))
     named = F.transform(found, lambda m: F.struct(m.start, m.end, F.lit(rule.name), F.lit(None), F.lit("regex"))).cast(SPANS)
-    return F.when(text.rlike(rule.hint or rule.java), named).otherwise(no_spans())
+    return F.when(text.rlike(to_java(rule.hint) if rule.hint else rule.java), named).otherwise(no_spans())
 
 
-_OWN = {*TEXT_RULES, *CODE_RULES}
+def detect_rules(text: Column, rules: Iterable[Rule]) -> Column:
+    """The spans of all rules, in their order. Texts without a digit, as most are, pass over the rules that need one."""
 
+    def found(rules: list[Rule]) -> Column:
+        return F.coalesce(F.concat(*(rule_spans(text, r) for r in rules)), no_spans()) if rules else no_spans()
 
-def detect_rules(text: Column, rules: Iterable[Rule]) -> Column:
-    """The spans of all rules, in their order. Texts without any sign of the own rules, as most cells and lines are, end at that."""
     rules = list(rules)
-    found = F.coalesce(F.concat(*(rule_spans(text, r) for r in rules)), no_spans())
-    return F.when(text.rlike(to_java(SIGN)), found).otherwise(no_spans()) if _OWN.issuperset(rules) else found
+    rest = [r for r in rules if not r.digit]
+    return found(rules) if len(rest) == len(rules) else F.when(text.rlike(DIGIT), found(rules)).otherwise(found(rest))
 
 
 def detect_text(text: Column) -> Column:

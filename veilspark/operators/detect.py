@@ -74,10 +74,10 @@ def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame
     docs = classified(spread(batched(docs), config.partitions))
     text, code = F.col("text"), F.col("is_code")
     if config.normalise:
-        change = F.coalesce(normalize.may_change(text, code), F.lit(False)) if not config.whitespace else F.lit(True)
+        change = F.coalesce(normalize.may_change(text, code, config), F.lit(False)) if not config.whitespace else F.lit(True)
         # one pass: only texts that may change are sent to Python, nulls for the rest
-        docs = docs.withColumn("__change", change).withColumn("__norm", normalize.normalised(F.when(F.col("__change"), text), code, config))
-        docs = docs.withColumn("__norm", F.when(F.col("__change"), F.col("__norm")))
+        docs = docs.withColumn("__change", change)
+        docs = settled(docs, "__norm", F.when(F.col("__change"), normalize.normalised(F.when(F.col("__change"), text), code, config)))
         docs = settled(docs, "__raw", F.coalesce(detected(F.when(F.col("__change"), F.col("__norm.text")).otherwise(text), code, config), no_spans()))
         back = F.when(F.col("__change"), F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__raw")), no_spans())).otherwise(F.col("__raw"))
         docs = docs.withColumn("__found", back).drop("__raw", "__change")
