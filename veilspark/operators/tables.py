@@ -6,11 +6,14 @@ distinct value of a column detected once, votes by label; columns whose name dec
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.scalars import header_type, is_candidate, stripped
+from ..session import settled
 from . import codec
 from .detect import detect
 
@@ -35,15 +38,20 @@ def column_votes(long: DataFrame, config: EngineConfig | None = None, of: tuple[
     of: further columns of `long` that tell tables apart.
     """
     config = config or EngineConfig()
+    # cells are short, and detection costs far more than their bytes tell: as many tasks as shuffles have
+    tasks = config.partitions or int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     good = long.where(is_candidate(F.col("value")))
     values = good.groupBy(*of, "ix", "name", "value").agg(F.count("*").alias("n"), F.min("row_id").alias("row"))
     distinct = values.select("value").distinct().select(F.col("value").alias("doc_id"), F.col("value").alias("text"), F.lit(False).alias("is_code"))
-    found = detect(distinct, config, **lists).where(F.size("spans") > 0).select(F.col("doc_id").alias("value"), F.posexplode(F.transform("spans", lambda m: m.label)).alias("pos", "label"))
-    found = found.where(~F.col("label").isin(*config.ignored_column_labels)) if config.ignored_column_labels else found
-    each = values.join(found, "value")
-    hit = values.join(found.select("value").distinct(), "value", "left_semi").groupBy(*of, "ix").agg(F.sum("n").alias("hit_cells"))
-    votes = each.groupBy(*of, "ix", "name", "label").agg(F.sum("n").alias("votes"), F.min(F.struct("row", "pos")).alias("first"))
-    return votes.join(hit, [*of, "ix"])
+    named = F.transform("spans", lambda m, i: F.struct(i.alias("pos"), m.label.alias("label")))
+    named = F.filter(named, lambda x: ~x.label.isin(*config.ignored_column_labels)) if config.ignored_column_labels else named
+    found = settled(detect(distinct, replace(config, partitions=tasks), **lists), "found", named).select(F.col("doc_id").alias("value"), "found").where(F.size("found") > 0)
+    # a vote for each label, and one entry without a place for the cell itself: detection runs once for both
+    entries = F.concat(F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("label"))), "found")
+    each = values.join(found, "value").select(*of, "ix", "name", "n", "row", F.explode_outer(entries).alias("e")).select(*of, "ix", "name", "n", "row", "e.*")
+    votes = each.groupBy(*of, "ix", "name", "label", F.col("pos").isNull().alias("cell")).agg(F.sum("n").alias("votes"), F.min(F.struct("row", "pos")).alias("first"))
+    hit = F.sum(F.when(F.col("cell"), F.col("votes"))).over(Window.partitionBy(*of, "ix"))
+    return votes.withColumn("hit_cells", hit).where(~F.col("cell")).select(*of, "ix", "name", "label", "votes", "first", "hit_cells")
 
 
 def decided(df: DataFrame, config: EngineConfig | None = None, **lists) -> DataFrame:
