@@ -65,24 +65,36 @@ def detected(text: Column, code: Column, config: EngineConfig) -> Column:
     return F.concat(F.when(code, detect_rules(text, code_rules)).otherwise(no_spans()), detect_rules(text, text_rules), model_spans(text, code), *(d(text, code) for d in config.detectors))
 
 
-def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame | None = None, sensitive: DataFrame | None = None, safe: DataFrame | None = None, overlay: bool = False) -> DataFrame:
+def detect(docs: DataFrame, config: EngineConfig | None = None, known: DataFrame | None = None, sensitive: DataFrame | None = None, safe: DataFrame | None = None, overlay: bool = False, wanted: Column | None = None) -> DataFrame:
     """docs with is_code, candidates (all spans found) and spans (what stays). known and sensitive: (label, value); safe: (value).
 
     overlay: rules and models are merged first, and what lists find is laid over the rest, where it may overlap it.
+    wanted: rows that are to stay without any span. Others may go, and without lists they go before they are sent to Python: Spark holds
+    the whole of a row that is there, however little of it was sent, and so the more of them the less they send. None: all rows stay.
     """
     config = config or EngineConfig()
     docs = classified(spread(batched(docs), config.partitions))
     text, code = F.col("text"), F.col("is_code")
+    early = wanted is not None and known is None and (sensitive is None or not config.use_known_items)
     if config.normalise:
         change = F.coalesce(normalize.may_change(text, code, config), F.lit(False)) if not config.whitespace else F.lit(True)
         # one pass: only texts that may change are sent to Python, nulls for the rest
         docs = docs.withColumn("__change", change)
+        rules = F.coalesce(detected(F.col("__text") if early else F.when(F.col("__change"), F.col("__norm.text")).otherwise(text), code, config), no_spans())
+        if early:
+            docs = settled(docs.withColumn("__text", F.when(~F.col("__change"), text)), "__plain", rules)
+            docs = docs.where(F.col("__change") | (F.size("__plain") > 0) | wanted)
         docs = settled(docs, "__norm", F.when(F.col("__change"), normalize.normalised(F.when(F.col("__change"), text), code, config)))
-        docs = settled(docs, "__raw", F.coalesce(detected(F.when(F.col("__change"), F.col("__norm.text")).otherwise(text), code, config), no_spans()))
+        if early:
+            docs = settled(docs.withColumn("__text", F.col("__norm.text")), "__raw", F.when(F.col("__change"), rules).otherwise(F.col("__plain")))
+            docs = docs.where((F.size("__raw") > 0) | wanted).drop("__text", "__plain")
+        else:
+            docs = settled(docs, "__raw", rules)
         back = F.when(F.col("__change"), F.coalesce(normalize.spans_to_original(F.col("__norm"), F.col("__raw")), no_spans())).otherwise(F.col("__raw"))
         docs = docs.withColumn("__found", back).drop("__raw", "__change")
     else:
         docs = settled(docs, "__found", F.coalesce(detected(text, code, config), no_spans()))
+        docs = docs.where((F.size("__found") > 0) | wanted) if early else docs
     docs = with_dictionary(docs, known, "__known", True)
     if config.normalise and known is not None:  # also as the normalised text has them, but in code
         docs = with_dictionary(docs, known, "__inner", True, F.when(~code, F.col("__norm.text")))
